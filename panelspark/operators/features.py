@@ -95,7 +95,7 @@ def median_map(panel: DataFrame, columns: Sequence[str], medians: dict[str, floa
     if medians is None:
         medians = exact_medians(panel, list(columns))
     rows = [(c, float(medians[c]) if medians.get(c) is not None else 0.0) for c in columns]
-    return spark.createDataFrame(rows, "column string, median double")
+    return spark.createDataFrame(rows, "feature string, median double")
 
 
 def category_maps(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -106,9 +106,9 @@ def category_maps(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     stacked = None
     for c in columns:
-        part = panel.select(F.lit(c).alias("column"), category_for_training(c).alias("category")).distinct()
+        part = panel.select(F.lit(c).alias("feature"), category_for_training(c).alias("category")).distinct()
         stacked = part if stacked is None else stacked.unionByName(part)
-    w = Window.partitionBy("column").orderBy("category")
+    w = Window.partitionBy("feature").orderBy("category")
     return stacked.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
 
 
@@ -123,7 +123,7 @@ def encode(
     out = df
     for c in columns:
         clean = category_for_scoring(c) if scoring else category_for_training(c)
-        m = maps.filter(F.col("column") == F.lit(c)).select(
+        m = maps.filter(F.col("feature") == F.lit(c)).select(
             F.col("category").alias(f"_{c}_cat"), F.col("code").alias(f"{c}_code")
         )
         out = out.withColumn(f"_{c}_key", clean).join(

@@ -125,3 +125,299 @@ def q_coverage_filter(spark, sf_dir):
 
     panel = time_range(coalesced_panel(spark, sf_dir), 1995, 2000)
     return rounded(coverage_filter(panel, 5).select(R.entity, R.time, "gini_index"))
+
+
+# ---------------------------------------------------------------- codes, entities
+
+
+@query("real_entities")
+def q_real_entities(spark, sf_dir):
+    """P5: observations of real entities only (aggregate rows have a negative balance)."""
+    o = D.table(spark, sf_dir, "orders").select("o_custkey")
+    real = D.table(spark, sf_dir, "customer").filter(F.col("c_acctbal") >= 0).select("c_custkey")
+    kept = o.join(real, o.o_custkey == real.c_custkey, "left_semi")
+    return kept.groupBy(F.col("o_custkey").alias(R.entity)).agg(F.count(F.lit(1)).alias("n_orders"))
+
+
+def _code_inputs(spark, sf_dir):
+    c = D.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    raw = c.select(
+        "c_custkey",
+        F.when(F.col("c_acctbal") < 0, F.concat(F.lit("AGG"), F.col("c_nationkey").cast("string")))
+        .otherwise(F.col("c_nationkey").cast("string"))
+        .alias("code"),
+    )
+    n = D.table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    standard = n.filter(F.col("n_regionkey") != 0).select(
+        F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("entity")
+    )
+    overrides = n.filter(F.col("n_regionkey") <= 1).select(
+        F.col("n_nationkey").cast("string").alias("code"), F.concat(F.col("n_name"), F.lit("_OVR")).alias("entity")
+    )
+    return raw, standard, overrides
+
+
+@query("code_map")
+def q_code_map(spark, sf_dir):
+    from ..operators.codes import map_codes
+
+    raw, standard, overrides = _code_inputs(spark, sf_dir)
+    mapped, _ = map_codes(raw, "code", standard, overrides)
+    return mapped.select("c_custkey", "code", "entity")
+
+
+@query("code_map_dropped")
+def q_code_map_dropped(spark, sf_dir):
+    from ..operators.codes import map_codes
+
+    raw, standard, overrides = _code_inputs(spark, sf_dir)
+    _, dropped = map_codes(raw, "code", standard, overrides)
+    return dropped
+
+
+# ---------------------------------------------------------------- quality
+
+
+def _lineitem_rules():
+    from ..operators.quality import Rule
+
+    return [
+        Rule("key_length", "l_returnflag", "length", 1, 1, nullable=False, required=True, coerce=False),
+        Rule("year_range", "ship_year", "range", 1995, 2000, nullable=False, required=True),
+        Rule("quantity_range", "l_quantity", "range", 1, 45),
+        Rule("discount_pct_range", "discount_pct", "range", 0, 100),
+        Rule("price_nonneg", "l_extendedprice", "ge", 0),
+        Rule("linenumber_numeric", "linenumber_text", "ge", 0),
+        Rule("optional_absent", "not_a_column", "ge", 0),
+    ]
+
+
+def _lineitem_checked(spark, sf_dir):
+    li = D.table(spark, sf_dir, "lineitem")
+    return li.select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_returnflag",
+        F.year("l_shipdate").cast("int").alias("ship_year"),
+        "l_quantity",
+        (F.col("l_discount") * F.lit(100.0)).alias("discount_pct"),
+        "l_extendedprice",
+        F.col("l_linenumber").cast("string").alias("linenumber_text"),
+    )
+
+
+@query("quality_kept")
+def q_quality_kept(spark, sf_dir):
+    from ..operators.quality import validate
+
+    kept, _ = validate(_lineitem_checked(spark, sf_dir), _lineitem_rules(), ["l_orderkey", "l_linenumber"])
+    return kept.select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("quality_failures")
+def q_quality_failures(spark, sf_dir):
+    from ..operators.quality import validate
+
+    _, failures = validate(_lineitem_checked(spark, sf_dir), _lineitem_rules(), ["l_orderkey", "l_linenumber"])
+    return failures
+
+
+@query("leakage_share")
+def q_leakage_share(spark, sf_dir):
+    from ..operators.quality import leakage_share
+
+    return rounded(leakage_share(dims_panel(spark, sf_dir), "income_group_lag1", "income_group"))
+
+
+# ---------------------------------------------------------------- impute, encode
+
+IMPUTE_COLUMNS = ["gini_index", "gini_index_oecd", "gini_index_eurostat", "missing_feature"]
+
+
+def _imputed(spark, sf_dir):
+    from ..operators.features import add_missing_columns, impute_two_level
+
+    panel = add_missing_columns(pivot_panel(spark, sf_dir), ["missing_feature"])
+    return impute_two_level(panel, IMPUTE_COLUMNS)
+
+
+@query("impute_two_level")
+def q_impute_two_level(spark, sf_dir):
+    filled, _ = _imputed(spark, sf_dir)
+    return rounded(filled.select(R.entity, R.time, *IMPUTE_COLUMNS))
+
+
+@query("medians")
+def q_medians(spark, sf_dir):
+    from ..operators.features import median_map
+
+    filled, _ = _imputed(spark, sf_dir)
+    return rounded(median_map(filled, IMPUTE_COLUMNS))
+
+
+@query("encode_categories")
+def q_encode_categories(spark, sf_dir):
+    from ..operators.features import category_maps
+
+    return category_maps(dims_panel(spark, sf_dir), ["region", "income_group_lag1"])
+
+
+@query("encode_unseen")
+def q_encode_unseen(spark, sf_dir):
+    from ..functions.columns import category_for_scoring
+    from ..operators.features import category_maps, encode
+
+    c = D.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    train = c.filter(F.col("c_acctbal") >= 0).select(F.nullif(F.col("c_mktsegment"), F.lit("HOUSEHOLD")).alias("segment"))
+    maps = category_maps(train, ["segment"])
+    score = c.select(
+        "c_custkey",
+        F.when(F.col("c_acctbal") < 0, F.lit("")).otherwise(F.col("c_mktsegment")).alias("segment"),
+    )
+    out = encode(score, maps, ["segment"], scoring=True)
+    return out.select("c_custkey", category_for_scoring("segment").alias("category"), F.col("segment_code").alias("code"))
+
+
+@query("label_codes")
+def q_label_codes(spark, sf_dir):
+    from ..operators.models import label_indexer
+
+    c = D.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    model = label_indexer("c_mktsegment", "label_code").fit(c)
+    return model.transform(c).select("c_custkey", "c_mktsegment", F.col("label_code").cast("int").alias("label_code"))
+
+
+# ---------------------------------------------------------------- split, evaluation
+
+
+@query("group_split")
+def q_group_split(spark, sf_dir):
+    from ..operators.split import group_split
+
+    rows = group_split(dims_panel(spark, sf_dir), R.entity, target="gini_index_lag1")
+    return rows.groupBy("side").agg(
+        F.count_distinct(R.entity).alias("n_entities"), F.count(F.lit(1)).alias("n_rows")
+    )
+
+
+def _price_predictions(spark, sf_dir):
+    """A mean predictor: average price per quantity, joined back (bounded by distinct quantities)."""
+    from ..operators.joins import small_side
+
+    li = D.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"
+    )
+    means = li.groupBy("l_quantity").agg(F.avg("l_extendedprice").alias("prediction"))
+    return li.join(small_side(means, 1_000_000), on="l_quantity", how="inner")
+
+
+@query("regression_metrics")
+def q_regression_metrics(spark, sf_dir):
+    from ..operators.evaluation import regression_metrics
+
+    scored = _price_predictions(spark, sf_dir).withColumnRenamed("l_returnflag", "target")
+    m = regression_metrics(scored, "l_extendedprice", "prediction", by=["target"])
+    return rounded(m.withColumn("support_ok", F.col("n_test") >= F.lit(20)))
+
+
+def _status_predictions(spark, sf_dir):
+    o = D.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    pred = (
+        F.when(F.year("o_orderdate") <= 1997, F.lit("F"))
+        .when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.lit("O"))
+        .otherwise(F.lit("P"))
+    )
+    return o.withColumn("predicted", pred)
+
+
+@query("class_metrics")
+def q_class_metrics(spark, sf_dir):
+    from ..operators.evaluation import class_metrics
+
+    return rounded(class_metrics(_status_predictions(spark, sf_dir), "o_orderstatus", "predicted"))
+
+
+@query("class_report")
+def q_class_report(spark, sf_dir):
+    from ..operators.evaluation import class_report
+
+    return rounded(class_report(_status_predictions(spark, sf_dir), "o_orderstatus", "predicted"))
+
+
+@query("interval")
+def q_interval(spark, sf_dir):
+    from ..functions.columns import interval_bounds
+    from ..operators.evaluation import regression_metrics
+
+    scored = _price_predictions(spark, sf_dir)
+    std = regression_metrics(scored, "l_extendedprice", "prediction", by=["l_returnflag"]).select(
+        "l_returnflag", "residual_std"
+    )
+    # one row per return flag
+    j = scored.join(F.broadcast(std), on="l_returnflag", how="left")
+    lo, hi = interval_bounds("prediction", "residual_std")
+    return rounded(j.select("l_orderkey", "l_linenumber", "prediction", lo.alias("lo"), hi.alias("hi")))
+
+
+@query("score_impute")
+def q_score_impute(spark, sf_dir):
+    from ..functions.columns import impute_scoring
+    from ..operators.features import median_map
+
+    li = D.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_shipdate")
+    train = li.filter(F.year("l_shipdate") <= 1998)
+    # the median table has one row per feature: read back as scalars
+    meds = {r["feature"]: r["median"] for r in median_map(train, ["l_discount", "l_tax"]).collect()}
+    score = li.filter(F.year("l_shipdate") > 1998).select(
+        "l_orderkey",
+        "l_linenumber",
+        F.nullif(F.col("l_discount"), F.lit(0.0)).alias("discount"),
+        F.nullif(F.col("l_tax"), F.lit(0.0)).alias("tax"),
+        F.lit(None).cast("double").alias("missing_col"),
+    )
+    return rounded(
+        score.select(
+            "l_orderkey",
+            "l_linenumber",
+            impute_scoring("discount", F.lit(meds["l_discount"])).alias("discount"),
+            impute_scoring("tax", F.lit(meds["l_tax"])).alias("tax"),
+            impute_scoring("missing_col", None).alias("missing_col"),
+        )
+    )
+
+
+@query("null_drop_pooled")
+def q_null_drop_pooled(spark, sf_dir):
+    li = D.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
+    pooled = li.filter((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O"))
+    return pooled.select("l_orderkey", "l_linenumber", F.nullif(F.col("l_quantity"), F.lit(1.0)).alias("quantity")).dropna(
+        subset=["quantity"]
+    )
+
+
+@query("run_report")
+def q_run_report(spark, sf_dir):
+    from ..operators.features import dropped_entities, time_range
+    from ..operators.quality import run_report
+
+    panel = coalesced_panel(spark, sf_dir)
+    out_of_range = (
+        panel.filter(~F.col(R.time).between(1995, 2000))
+        .groupBy(F.col(R.time).cast("string").alias("key"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    few = dropped_entities(time_range(panel, 1995, 2000), 5).select(
+        F.col(R.entity).cast("string").alias("key"), F.col("n_times").alias("n")
+    )
+    return run_report([("time_range", "out_of_range", out_of_range), ("coverage", "too_few_times", few)])
+
+
+@query("split_text_fields")
+def q_split_text_fields(spark, sf_dir):
+    p = D.table(spark, sf_dir, "pages").select("page_id", "url")
+    return p.select(
+        "page_id",
+        F.lower(F.trim(F.split(F.col("url"), ":").getItem(0))).alias("scheme"),
+        F.col("url").startswith("https").alias("is_https"),
+        F.split(F.col("url"), "/").getItem(2).alias("host"),
+    )

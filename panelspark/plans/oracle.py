@@ -148,3 +148,261 @@ keep AS (SELECT entity FROM ranged GROUP BY entity HAVING count(DISTINCT time) >
 SELECT entity, time, round((gini_index) * 1e4) / 1e4 AS gini_index
 FROM ranged WHERE entity IN (SELECT entity FROM keep)"""
 )
+
+
+def r4(expr: str) -> str:
+    """SQL twin of ``catalog.rounded``: round(x * 1e4) / 1e4."""
+    return f"round(({expr}) * 1e4) / 1e4"
+
+
+SQL["real_entities"] = """
+SELECT o_custkey AS entity, count(*) AS n_orders
+FROM orders
+WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal >= 0)
+GROUP BY o_custkey"""
+
+CODES = """
+WITH raw AS (
+  SELECT c_custkey,
+         CASE WHEN c_acctbal < 0 THEN 'AGG' || CAST(c_nationkey AS VARCHAR) ELSE CAST(c_nationkey AS VARCHAR) END AS code
+  FROM customer
+),
+std AS (SELECT CAST(n_nationkey AS VARCHAR) AS code, n_name AS entity FROM nation WHERE n_regionkey <> 0),
+ovr AS (SELECT CAST(n_nationkey AS VARCHAR) AS code, n_name || '_OVR' AS entity FROM nation WHERE n_regionkey <= 1),
+mapped AS (
+  SELECT raw.c_custkey, raw.code, coalesce(ovr.entity, std.entity) AS entity
+  FROM raw LEFT JOIN std ON raw.code = std.code LEFT JOIN ovr ON raw.code = ovr.code
+)"""
+
+SQL["code_map"] = CODES + "\nSELECT c_custkey, code, entity FROM mapped WHERE entity IS NOT NULL"
+SQL["code_map_dropped"] = CODES + "\nSELECT code, count(*) AS n_rows FROM mapped WHERE entity IS NULL GROUP BY code"
+
+CHECKED = """
+WITH t AS (
+  SELECT l_orderkey, l_linenumber, l_returnflag, CAST(year(l_shipdate) AS INTEGER) AS ship_year, l_quantity,
+         l_discount * 100.0 AS discount_pct, l_extendedprice, CAST(l_linenumber AS VARCHAR) AS linenumber_text
+  FROM lineitem
+),
+f AS (
+  SELECT *, list_filter([
+      CASE WHEN l_returnflag IS NULL OR NOT (length(l_returnflag) BETWEEN 1 AND 1) THEN 'key_length' END,
+      CASE WHEN ship_year IS NULL OR NOT (ship_year BETWEEN 1995 AND 2000) THEN 'year_range' END,
+      CASE WHEN l_quantity IS NOT NULL AND NOT (l_quantity BETWEEN 1 AND 45) THEN 'quantity_range' END,
+      CASE WHEN discount_pct IS NOT NULL AND NOT (discount_pct BETWEEN 0 AND 100) THEN 'discount_pct_range' END,
+      CASE WHEN l_extendedprice IS NOT NULL AND NOT (l_extendedprice >= 0) THEN 'price_nonneg' END,
+      CASE WHEN linenumber_text IS NOT NULL AND (TRY_CAST(linenumber_text AS DOUBLE) IS NULL
+                OR NOT (TRY_CAST(linenumber_text AS DOUBLE) >= 0)) THEN 'linenumber_numeric' END
+    ], lambda x: x IS NOT NULL) AS failed
+  FROM t
+)"""
+
+SQL["quality_kept"] = CHECKED + "\nSELECT l_orderkey, l_linenumber, l_quantity FROM f WHERE len(failed) = 0"
+
+SQL["quality_failures"] = (
+    CHECKED
+    + """
+SELECT rule, l_orderkey, l_linenumber,
+       CASE rule WHEN 'key_length' THEN l_returnflag
+                 WHEN 'year_range' THEN CAST(ship_year AS VARCHAR)
+                 WHEN 'quantity_range' THEN CAST(l_quantity AS VARCHAR)
+                 WHEN 'discount_pct_range' THEN CAST(discount_pct AS VARCHAR)
+                 WHEN 'price_nonneg' THEN CAST(l_extendedprice AS VARCHAR)
+                 WHEN 'linenumber_numeric' THEN linenumber_text END AS value
+FROM (SELECT *, unnest(failed) AS rule FROM f WHERE len(failed) > 0)"""
+)
+
+SQL["leakage_share"] = (
+    "WITH"
+    + PIVOT
+    + f"""
+SELECT 'income_group_lag1' AS feature, 'income_group' AS target,
+       {r4("avg(CASE WHEN income_group_lag1 IS NOT DISTINCT FROM income_group THEN 1.0 ELSE 0.0 END)")} AS share_equal,
+       count(*) AS n_rows
+FROM panel"""
+)
+
+IMPUTED = (
+    "WITH"
+    + PIVOT
+    + """,
+base_panel AS (SELECT entity, time, gini_index, gini_index_oecd, gini_index_eurostat,
+                      CAST(NULL AS DOUBLE) AS missing_feature FROM pivoted),
+filled1 AS (
+  SELECT entity, time,
+         coalesce(gini_index, median(gini_index) OVER (PARTITION BY entity)) AS gini_index,
+         coalesce(gini_index_oecd, median(gini_index_oecd) OVER (PARTITION BY entity)) AS gini_index_oecd,
+         coalesce(gini_index_eurostat, median(gini_index_eurostat) OVER (PARTITION BY entity)) AS gini_index_eurostat,
+         coalesce(missing_feature, median(missing_feature) OVER (PARTITION BY entity)) AS missing_feature
+  FROM base_panel
+),
+g AS (SELECT median(gini_index) AS m1, median(gini_index_oecd) AS m2, median(gini_index_eurostat) AS m3,
+             median(missing_feature) AS m4 FROM filled1),
+filled AS (
+  SELECT entity, time, coalesce(gini_index, m1) AS gini_index, coalesce(gini_index_oecd, m2) AS gini_index_oecd,
+         coalesce(gini_index_eurostat, m3) AS gini_index_eurostat, coalesce(missing_feature, m4) AS missing_feature
+  FROM filled1, g
+)"""
+)
+
+SQL["impute_two_level"] = (
+    IMPUTED
+    + f"""
+SELECT entity, time, {r4("gini_index")} AS gini_index, {r4("gini_index_oecd")} AS gini_index_oecd,
+       {r4("gini_index_eurostat")} AS gini_index_eurostat, {r4("missing_feature")} AS missing_feature
+FROM filled"""
+)
+
+SQL["medians"] = (
+    IMPUTED
+    + f"""
+SELECT feature, {r4("median")} AS median FROM (
+  SELECT 'gini_index' AS feature, coalesce(median(gini_index), 0.0) AS median FROM filled
+  UNION ALL SELECT 'gini_index_oecd', coalesce(median(gini_index_oecd), 0.0) FROM filled
+  UNION ALL SELECT 'gini_index_eurostat', coalesce(median(gini_index_eurostat), 0.0) FROM filled
+  UNION ALL SELECT 'missing_feature', coalesce(median(missing_feature), 0.0) FROM filled)"""
+)
+
+SQL["encode_categories"] = (
+    "WITH"
+    + PIVOT
+    + """,
+cats AS (
+  SELECT DISTINCT 'region' AS feature, coalesce(region, 'UNKNOWN') AS category FROM panel
+  UNION
+  SELECT DISTINCT 'income_group_lag1', coalesce(income_group_lag1, 'UNKNOWN') FROM panel
+)
+SELECT feature, category, CAST(dense_rank() OVER (PARTITION BY feature ORDER BY category) - 1 AS INTEGER) AS code
+FROM cats"""
+)
+
+SQL["encode_unseen"] = """
+WITH train AS (
+  SELECT DISTINCT coalesce(nullif(c_mktsegment, 'HOUSEHOLD'), 'UNKNOWN') AS category FROM customer WHERE c_acctbal >= 0
+),
+m AS (SELECT category, CAST(dense_rank() OVER (ORDER BY category) - 1 AS INTEGER) AS code FROM train),
+s AS (
+  SELECT c_custkey,
+         coalesce(nullif(CASE WHEN c_acctbal < 0 THEN '' ELSE c_mktsegment END, ''), 'UNKNOWN') AS category
+  FROM customer
+)
+SELECT s.c_custkey, s.category, coalesce(m.code, -1) AS code FROM s LEFT JOIN m ON s.category = m.category"""
+
+SQL["label_codes"] = """
+SELECT c_custkey, c_mktsegment,
+       CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) AS label_code
+FROM customer"""
+
+SQL["group_split"] = (
+    "WITH"
+    + PIVOT
+    + """,
+sided AS (
+  SELECT entity,
+         CASE WHEN (('0x' || substr(md5('42:' || CAST(entity AS VARCHAR)), 1, 8))::BIGINT % 10000) < 2000
+              THEN 'test' ELSE 'train' END AS side
+  FROM panel WHERE gini_index_lag1 IS NOT NULL
+)
+SELECT side, count(DISTINCT entity) AS n_entities, count(*) AS n_rows FROM sided GROUP BY side"""
+)
+
+PRICE = """
+WITH m AS (SELECT l_quantity, avg(l_extendedprice) AS prediction FROM lineitem GROUP BY l_quantity),
+s AS (
+  SELECT l.l_orderkey, l.l_linenumber, l.l_returnflag, l.l_extendedprice, l.l_shipdate, m.prediction
+  FROM lineitem l JOIN m ON l.l_quantity = m.l_quantity
+)"""
+
+SQL["regression_metrics"] = (
+    PRICE
+    + f"""
+SELECT l_returnflag AS target,
+       {r4("avg(abs(l_extendedprice - prediction))")} AS mae,
+       {r4("1 - sum((l_extendedprice - prediction) * (l_extendedprice - prediction)) / (var_pop(l_extendedprice) * count(*))")} AS r2,
+       {r4("stddev_pop(l_extendedprice - prediction)")} AS residual_std,
+       count(*) AS n_test,
+       count(*) >= 20 AS support_ok
+FROM s GROUP BY l_returnflag"""
+)
+
+STATUS = """
+WITH s AS (
+  SELECT o_orderstatus AS y,
+         CASE WHEN year(o_orderdate) <= 1997 THEN 'F'
+              WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'O' ELSE 'P' END AS p
+  FROM orders
+),
+cm AS (SELECT y, p, count(*) AS n FROM s WHERE y IS NOT NULL GROUP BY y, p),
+classes AS (SELECT y AS cls FROM cm UNION SELECT p FROM cm),
+rep AS (
+  SELECT c.cls,
+         coalesce((SELECT sum(n) FROM cm WHERE y = c.cls AND p = c.cls), 0) AS tp,
+         coalesce((SELECT sum(n) FROM cm WHERE y = c.cls), 0) AS support,
+         coalesce((SELECT sum(n) FROM cm WHERE p = c.cls), 0) AS n_pred
+  FROM classes c
+),
+rep2 AS (
+  SELECT cls, support,
+         CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END AS precision,
+         CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall
+  FROM rep
+),
+rep3 AS (
+  SELECT *, CASE WHEN precision + recall > 0 THEN 2.0 * precision * recall / (precision + recall) ELSE 0.0 END AS f1
+  FROM rep2
+)"""
+
+SQL["class_report"] = (
+    STATUS
+    + f"""
+SELECT cls, {r4("precision")} AS precision, {r4("recall")} AS recall, {r4("f1")} AS f1, CAST(support AS BIGINT) AS support
+FROM rep3"""
+)
+
+SQL["class_metrics"] = (
+    STATUS
+    + f"""
+SELECT {r4("(SELECT avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END) FROM s WHERE y IS NOT NULL)")} AS accuracy,
+       (SELECT count(*) FROM s WHERE y IS NOT NULL) AS n_test,
+       {r4("avg(f1)")} AS macro_f1
+FROM rep3"""
+)
+
+SQL["interval"] = (
+    PRICE
+    + f""",
+sd AS (SELECT l_returnflag, stddev_pop(l_extendedprice - prediction) AS residual_std FROM s GROUP BY l_returnflag)
+SELECT l_orderkey, l_linenumber, {r4("prediction")} AS prediction,
+       {r4("prediction - 1.28 * residual_std")} AS lo, {r4("prediction + 1.28 * residual_std")} AS hi
+FROM s JOIN sd USING (l_returnflag)"""
+)
+
+SQL["score_impute"] = f"""
+WITH med AS (
+  SELECT median(l_discount) AS md, median(l_tax) AS mt FROM lineitem WHERE year(l_shipdate) <= 1998
+)
+SELECT l_orderkey, l_linenumber,
+       {r4("coalesce(nullif(l_discount, 0.0), md, 0.0)")} AS discount,
+       {r4("coalesce(nullif(l_tax, 0.0), mt, 0.0)")} AS tax,
+       0.0 AS missing_col
+FROM lineitem, med WHERE year(l_shipdate) > 1998"""
+
+SQL["null_drop_pooled"] = """
+SELECT l_orderkey, l_linenumber, nullif(l_quantity, 1.0) AS quantity
+FROM lineitem
+WHERE l_returnflag = 'N' AND l_linestatus = 'O' AND nullif(l_quantity, 1.0) IS NOT NULL"""
+
+SQL["run_report"] = (
+    "WITH"
+    + PIVOT
+    + """
+SELECT 'time_range' AS step, 'out_of_range' AS reason, CAST(time AS VARCHAR) AS key, count(*) AS n
+FROM coalesced WHERE NOT (time BETWEEN 1995 AND 2000) GROUP BY time
+UNION ALL
+SELECT 'coverage', 'too_few_times', CAST(entity AS VARCHAR), count(DISTINCT time)
+FROM coalesced WHERE time BETWEEN 1995 AND 2000 GROUP BY entity HAVING count(DISTINCT time) < 5"""
+)
+
+SQL["split_text_fields"] = """
+SELECT page_id, lower(trim(split_part(url, ':', 1))) AS scheme, starts_with(url, 'https') AS is_https,
+       split_part(url, '/', 3) AS host
+FROM pages"""
