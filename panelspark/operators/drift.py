@@ -44,7 +44,9 @@ def eligible_columns(reference: DataFrame, current: DataFrame, columns: Sequence
     return [c for c in columns if c in keep]
 
 
-def _stack(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], side: str) -> DataFrame:
+def _stack(
+    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], side: str, keep: Sequence[str] = ()
+) -> DataFrame:
     parts = [
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"), F.lit(None).cast("string").alias("cat"))
         for c in numeric
@@ -53,8 +55,8 @@ def _stack(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], si
         for c in categorical
     ]
     return (
-        df.select(F.explode(F.array(*parts)).alias("s"))
-        .select(F.lit(side).alias("side"), "s.feature", "s.x", "s.cat")
+        df.select(*keep, F.explode(F.array(*parts)).alias("s"))
+        .select(*keep, F.lit(side).alias("side"), "s.feature", "s.x", "s.cat")
         .filter(F.col("x").isNotNull() | F.col("cat").isNotNull())
     )
 
@@ -120,7 +122,7 @@ def psi_grouped(
     bins the group has, so no (group x bin) product is ever built.
     """
     ref_stack = _stack(reference, numeric, categorical, "reference")
-    cur_stack = _stack(current.withColumn("_g", F.col(by)), numeric, categorical, "current")
+    cur_stack = _stack(current.withColumn("_g", F.col(by)), numeric, categorical, "current", keep=["_g"])
     ranges = ref_stack.filter(F.col("x").isNotNull()).groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
 
     def binned(df: DataFrame) -> DataFrame:
@@ -137,8 +139,7 @@ def psi_grouped(
     fl = F.lit(floor)
     ref = ref.withColumn("_absent", (fl - F.col("q")) * F.log(fl / F.col("q"))).select("feature", "bin", "q", "_absent")
     absent_all = ref.groupBy("feature").agg(F.sum("_absent").alias("_absent_all"))
-    cur_stack2 = cur_stack.withColumn("_g", F.col("_g"))
-    cur = binned(cur_stack2).groupBy(F.col("_g").alias(by), "feature", "bin").agg(F.count(F.lit(1)).alias("n"))
+    cur = binned(cur_stack).groupBy(F.col("_g").alias(by), "feature", "bin").agg(F.count(F.lit(1)).alias("n"))
     cur = cur.withColumn("p", F.greatest(F.col("n") / F.sum("n").over(Window.partitionBy(by, "feature")), fl))
     # reference bins: bounded by bins x features plus the distinct categories
     j = cur.join(F.broadcast(ref), on=["feature", "bin"], how="left")
@@ -170,10 +171,12 @@ def drift_report(
     numeric: Sequence[str],
     categorical: Sequence[str] = (),
     report_ts=None,
+    stamp: str | None = None,
 ) -> DataFrame:
     """One report row for what is buffered; refusal (empty) when nothing is buffered.
 
-    Columns not eligible on both sides (D1) are left out.
+    Columns not eligible on both sides (D1) are left out.  ``stamp`` names the
+    report (``yyyymmddThhmmssZ``) instead of the report time.
     """
     cols = eligible_columns(reference, current, list(numeric) + list(categorical))
     num = [c for c in numeric if c in cols]
@@ -197,7 +200,9 @@ def drift_report(
     d = dataset_drift(psi(reference, current, num, cat))
     return d.select(
         ts.alias("report_ts"),
-        F.concat(F.lit("drift_report_"), report_stamp(ts), F.lit(".html")).alias("report_name"),
+        F.concat(F.lit("drift_report_"), F.lit(stamp) if stamp else report_stamp(ts), F.lit(".html")).alias(
+            "report_name"
+        ),
         F.lit(n_cur).cast("long").alias("n_current"),
         "n_columns",
         "n_drifted",

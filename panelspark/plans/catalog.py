@@ -421,3 +421,245 @@ def q_split_text_fields(spark, sf_dir):
         F.col("url").startswith("https").alias("is_https"),
         F.split(F.col("url"), "/").getItem(2).alias("host"),
     )
+
+
+# ---------------------------------------------------------------- drift
+
+DRIFT_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+DRIFT_CATEGORICAL = ["l_returnflag", "l_linestatus"]
+
+
+def _drift_sides(spark, sf_dir):
+    li = D.table(spark, sf_dir, "lineitem").select(*DRIFT_NUMERIC, *DRIFT_CATEGORICAL, "l_shipdate")
+    ref = li.filter(F.year("l_shipdate") <= 1998)
+    cur = li.filter(F.year("l_shipdate") > 1998)
+    return ref, cur
+
+
+@query("psi_columns")
+def q_psi_columns(spark, sf_dir):
+    from ..operators.drift import psi
+
+    ref, cur = _drift_sides(spark, sf_dir)
+    return rounded(psi(ref, cur, DRIFT_NUMERIC, DRIFT_CATEGORICAL))
+
+
+@query("psi_dataset")
+def q_psi_dataset(spark, sf_dir):
+    from ..operators.drift import dataset_drift, psi
+
+    ref, cur = _drift_sides(spark, sf_dir)
+    return rounded(dataset_drift(psi(ref, cur, DRIFT_NUMERIC, DRIFT_CATEGORICAL)))
+
+
+@query("drift_eligible")
+def q_drift_eligible(spark, sf_dir):
+    from ..operators.drift import eligibility
+
+    li = D.table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_shipdate")
+    li = li.withColumn("old_tax", F.when(F.year("l_shipdate") <= 1998, F.col("l_tax")))
+    ref = li.filter(F.year("l_shipdate") <= 1998)
+    cur = li.filter(F.year("l_shipdate") > 1998)
+    return eligibility(ref, cur, ["l_quantity", "l_discount", "old_tax", "absent_col"])
+
+
+@query("drift_on_demand")
+def q_drift_on_demand(spark, sf_dir):
+    from ..operators.drift import drift_report
+
+    ref, cur = _drift_sides(spark, sf_dir)
+    newest = cur.agg(F.max("l_shipdate")).first()[0]  # naive wall-clock time of the newest row
+    rep = drift_report(ref, cur, DRIFT_NUMERIC, DRIFT_CATEGORICAL, stamp=newest.strftime("%Y%m%dT%H%M%SZ"))
+    return rounded(rep.drop("report_ts"))
+
+
+def event_reports(spark, sf_dir):
+    """Report table: one drift report per day of events (days 8..30) against the first week."""
+    from ..functions.columns import report_stamp
+    from ..operators.drift import psi_grouped
+
+    ev = D.events(spark, sf_dir).select("ts", "value", "event_type")
+    day = F.date_trunc("day", F.col("ts"))
+    first = ev.agg(F.min(day)).first()[0]
+    ev = ev.withColumn("_day", F.datediff(day, F.lit(first)))
+    ref = ev.filter(F.col("_day") < 7)
+    cur = ev.filter(F.col("_day") >= 7)
+    per = psi_grouped(ref, cur, "_day", ["value"], ["event_type"])
+    summary = per.groupBy("_day").agg(
+        F.count(F.lit(1)).cast("int").alias("n_columns"),
+        F.sum(F.col("drifted").cast("int")).cast("int").alias("n_drifted"),
+        F.avg(F.col("drifted").cast("double")).alias("share_of_drifted_columns"),
+    )
+    stamps = cur.groupBy("_day").agg(F.max("ts").alias("report_ts"), F.count(F.lit(1)).alias("n_current"))
+    rep = summary.join(stamps, on="_day", how="inner")
+    return rep.select(
+        "report_ts",
+        F.concat(F.lit("drift_report_"), report_stamp(F.col("report_ts")), F.lit(".html")).alias("report_name"),
+        "n_current",
+        "n_columns",
+        "n_drifted",
+        "share_of_drifted_columns",
+        (F.col("share_of_drifted_columns") >= F.lit(0.5)).alias("dataset_drift"),
+    )
+
+
+@query("drift_gauges")
+def q_drift_gauges(spark, sf_dir):
+    from ..operators.drift import gauges
+
+    return rounded(gauges(event_reports(spark, sf_dir)))
+
+
+@query("report_retention")
+def q_report_retention(spark, sf_dir):
+    from ..operators.drift import retention
+
+    kept = retention(event_reports(spark, sf_dir))
+    return rounded(kept.select("report_name", "rank", "n_current", "share_of_drifted_columns"))
+
+
+# ---------------------------------------------------------------- monitoring
+
+
+@query("scored_log")
+def q_scored_log(spark, sf_dir):
+    from ..operators.monitoring import scored_log
+
+    ev = D.events(spark, sf_dir).select("event_id", "event_type", "value")
+    return rounded(scored_log(ev).select("event_id", "event_type", "n_target", "mean_latency"))
+
+
+@query("rate_5m")
+def q_rate_5m(spark, sf_dir):
+    from ..operators.monitoring import request_rate
+
+    return rounded(request_rate(D.events(spark, sf_dir).select("ts", "event_type")))
+
+
+@query("p95_5m")
+def q_p95_5m(spark, sf_dir):
+    from ..operators.monitoring import latency_p95
+
+    return rounded(latency_p95(D.events(spark, sf_dir).select("ts", "event_type", "value")))
+
+
+@query("error_ratio_5m")
+def q_error_ratio_5m(spark, sf_dir):
+    from ..operators.monitoring import error_ratio
+
+    ev = D.events(spark, sf_dir).select("ts", "event_type")
+    return rounded(error_ratio(ev, F.col("event_type") == "error").drop("_start"))
+
+
+@query("sustained_alert")
+def q_sustained_alert(spark, sf_dir):
+    from ..operators.monitoring import error_ratio, sustained
+
+    ev = D.events(spark, sf_dir).select("ts", "event_type")
+    return sustained(error_ratio(ev, F.col("event_type") == "error"))
+
+
+@query("absence")
+def q_absence(spark, sf_dir):
+    from ..operators.monitoring import absences
+
+    return rounded(absences(D.events(spark, sf_dir).select("ts", "event_type")))
+
+
+# ---------------------------------------------------------------- registry
+
+
+def run_metrics(spark, sf_dir):
+    """Metrics of four targets per training run (run = ship / order year), long form.
+
+    gini / mobility / mobility_rank: the mean-price predictor on line items of
+    return flag A / N / R shipped that year; income_group: the status rule on
+    orders of that year.
+    """
+    from ..operators.evaluation import class_metrics, regression_metrics
+
+    scored = _price_predictions(spark, sf_dir).withColumn("run", F.year("l_shipdate").cast("int"))
+    target = (
+        F.when(F.col("l_returnflag") == "A", F.lit("gini"))
+        .when(F.col("l_returnflag") == "N", F.lit("mobility"))
+        .otherwise(F.lit("mobility_rank"))
+    )
+    scored = scored.withColumn("target", target)
+    reg = regression_metrics(scored, "l_extendedprice", "prediction", by=["target", "run"])
+    totals = scored.groupBy("target").agg(F.count(F.lit(1)).alias("_all"))
+    reg = reg.join(F.broadcast(totals), on="target", how="left").withColumn("n_train", F.col("_all") - F.col("n_test"))
+    o = _status_predictions(spark, sf_dir).withColumn("run", F.year("o_orderdate").cast("int")).withColumn(
+        "target", F.lit("income_group")
+    )
+    cls = class_metrics(o, "o_orderstatus", "predicted", by=["target", "run"])
+    o_all = o.agg(F.count(F.lit(1))).first()[0]
+    cls = cls.withColumn("n_train", F.lit(o_all) - F.col("n_test"))
+
+    def longform(df, metrics):
+        pairs = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]
+        return df.select("target", F.col("run").alias("version"), F.explode(F.array(*pairs)).alias("s")).select(
+            "target", "version", "s.metric", "s.value"
+        )
+
+    return longform(reg, ["r2", "mae", "residual_std", "n_test", "n_train"]).unionByName(
+        longform(cls, ["accuracy", "macro_f1", "n_test", "n_train"])
+    )
+
+
+def _stages(spark, sf_dir):
+    from ..operators.registry import gates_table, version_stages
+
+    m = run_metrics(spark, sf_dir)
+    return version_stages(m, gates_table(spark)), m
+
+
+@query("gate_stage")
+def q_gate_stage(spark, sf_dir):
+    st, _ = _stages(spark, sf_dir)
+    return rounded(st)
+
+
+@query("status_upsert")
+def q_status_upsert(spark, sf_dir):
+    from ..operators.registry import latest_per_target, upsert_status
+
+    st, _ = _stages(spark, sf_dir)
+    newest = st.agg(F.max("version")).first()[0]
+    before = latest_per_target(st.filter(F.col("version") < newest))
+    new_rows = st.filter((F.col("version") == newest) & (F.col("target") == "gini"))
+    out = upsert_status(before, new_rows)
+    return rounded(out.select("target", "version", "stage", "metric_value"))
+
+
+@query("run_status")
+def q_run_status(spark, sf_dir):
+    from ..operators.registry import run_status
+
+    st, m = _stages(spark, sf_dir)
+    n = m.filter(F.col("metric") == "n_test").select("target", "version", F.col("value").alias("n_test"))
+    outcomes = st.join(n, on=["target", "version"], how="left").select(
+        F.col("version").alias("run"),
+        "target",
+        (F.col("metric_value").isNotNull() & (F.coalesce(F.col("n_test"), F.lit(0.0)) >= 20)).alias("ok"),
+    )
+    return run_status(outcomes)
+
+
+@query("performance_view")
+def q_performance_view(spark, sf_dir):
+    from ..operators.registry import performance_view
+
+    st, m = _stages(spark, sf_dir)
+    return rounded(performance_view(st, m))
+
+
+# ---------------------------------------------------------------- views
+
+
+@query("entity_series")
+def q_entity_series(spark, sf_dir):
+    from ..operators.views import entity_series, top_entities
+
+    panel = coalesced_panel(spark, sf_dir)
+    chosen = top_entities(panel, R.entity)
+    return rounded(entity_series(panel, chosen, "gini_index"))

@@ -406,3 +406,355 @@ SQL["split_text_fields"] = """
 SELECT page_id, lower(trim(split_part(url, ':', 1))) AS scheme, starts_with(url, 'https') AS is_https,
        split_part(url, '/', 3) AS host
 FROM pages"""
+
+DRIFT = """
+WITH s AS (
+  SELECT CASE WHEN year(l_shipdate) <= 1998 THEN 'reference' ELSE 'current' END AS side,
+         l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus
+  FROM lineitem
+),
+st AS (
+  SELECT side, 'l_quantity' AS feature, CAST(l_quantity AS DOUBLE) AS x, CAST(NULL AS VARCHAR) AS cat FROM s
+  UNION ALL SELECT side, 'l_extendedprice', l_extendedprice, NULL FROM s
+  UNION ALL SELECT side, 'l_discount', l_discount, NULL FROM s
+  UNION ALL SELECT side, 'l_tax', l_tax, NULL FROM s
+  UNION ALL SELECT side, 'l_returnflag', NULL, l_returnflag FROM s
+  UNION ALL SELECT side, 'l_linestatus', NULL, l_linestatus FROM s
+),
+st2 AS (SELECT * FROM st WHERE x IS NOT NULL OR cat IS NOT NULL),
+rng AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM st2 WHERE x IS NOT NULL GROUP BY feature),
+b AS (
+  SELECT st2.side, st2.feature,
+         CASE WHEN st2.x IS NOT NULL THEN CAST(
+           CASE WHEN rng.hi - rng.lo > 0
+                THEN greatest(least(CAST(floor((st2.x - rng.lo) / (rng.hi - rng.lo) * CAST(10 AS DOUBLE)) AS INTEGER), 9), 0)
+                ELSE 0 END AS VARCHAR)
+         ELSE st2.cat END AS bin
+  FROM st2 LEFT JOIN rng ON st2.feature = rng.feature
+),
+c AS (SELECT side, feature, bin, count(*) AS n FROM b GROUP BY side, feature, bin),
+sh AS (SELECT side, feature, bin, n / sum(n) OVER (PARTITION BY side, feature) AS share FROM c),
+j AS (
+  SELECT coalesce(r.feature, cu.feature) AS feature,
+         greatest(coalesce(cu.share, 0.0), 1e-4) AS p, greatest(coalesce(r.share, 0.0), 1e-4) AS q
+  FROM (SELECT * FROM sh WHERE side = 'reference') r
+  FULL OUTER JOIN (SELECT * FROM sh WHERE side = 'current') cu ON r.feature = cu.feature AND r.bin = cu.bin
+),
+ps AS (SELECT feature, sum((p - q) * ln(p / q)) AS psi FROM j GROUP BY feature),
+ds AS (
+  SELECT CAST(count(*) AS INTEGER) AS n_columns,
+         CAST(sum(CASE WHEN psi >= 0.2 THEN 1 ELSE 0 END) AS INTEGER) AS n_drifted,
+         avg(CASE WHEN psi >= 0.2 THEN 1.0 ELSE 0.0 END) AS share
+  FROM ps
+)"""
+
+SQL["psi_columns"] = DRIFT + f"\nSELECT feature, {r4('psi')} AS psi, psi >= 0.2 AS drifted FROM ps"
+
+SQL["psi_dataset"] = (
+    DRIFT
+    + f"""
+SELECT n_columns, n_drifted, {r4('share')} AS share_of_drifted_columns,
+       coalesce(share >= 0.5, false) AS dataset_drift
+FROM ds"""
+)
+
+SQL["drift_on_demand"] = (
+    DRIFT
+    + f"""
+SELECT 'drift_report_' || strftime((SELECT max(l_shipdate) FROM lineitem WHERE year(l_shipdate) > 1998),
+                                   '%Y%m%dT%H%M%SZ') || '.html' AS report_name,
+       (SELECT count(*) FROM lineitem WHERE year(l_shipdate) > 1998) AS n_current,
+       n_columns, n_drifted, {r4('share')} AS share_of_drifted_columns,
+       coalesce(share >= 0.5, false) AS dataset_drift
+FROM ds"""
+)
+
+SQL["drift_eligible"] = """
+WITH t AS (
+  SELECT year(l_shipdate) <= 1998 AS is_ref, l_quantity, l_discount,
+         CASE WHEN year(l_shipdate) <= 1998 THEN l_tax END AS old_tax
+  FROM lineitem
+),
+ref AS (SELECT count(l_quantity) AS a, count(l_discount) AS b, count(old_tax) AS c FROM t WHERE is_ref),
+cur AS (SELECT count(l_quantity) AS a, count(l_discount) AS b, count(old_tax) AS c FROM t WHERE NOT is_ref)
+SELECT 'l_quantity' AS feature, ref.a AS n_reference, cur.a AS n_current, ref.a > 0 AND cur.a > 0 AS eligible FROM ref, cur
+UNION ALL SELECT 'l_discount', ref.b, cur.b, ref.b > 0 AND cur.b > 0 FROM ref, cur
+UNION ALL SELECT 'old_tax', ref.c, cur.c, ref.c > 0 AND cur.c > 0 FROM ref, cur"""
+
+BIN_VALUE = (
+    "CAST(CASE WHEN hi - lo > 0 THEN greatest(least(CAST(floor((value - lo) / (hi - lo) * CAST(10 AS DOUBLE))"
+    " AS INTEGER), 9), 0) ELSE 0 END AS VARCHAR)"
+)
+
+REPORTS = f"""
+WITH ev AS (
+  SELECT ts, value, event_type,
+         date_diff('day', (SELECT min(date_trunc('day', ts)) FROM events), date_trunc('day', ts)) AS d
+  FROM events
+),
+ref AS (SELECT * FROM ev WHERE d < 7),
+cur AS (SELECT * FROM ev WHERE d >= 7),
+rng AS (SELECT min(value) AS lo, max(value) AS hi FROM ref),
+rb AS (
+  SELECT 'value' AS feature, {BIN_VALUE} AS bin FROM ref, rng WHERE value IS NOT NULL
+  UNION ALL SELECT 'event_type', event_type FROM ref WHERE event_type IS NOT NULL
+),
+rs AS (
+  SELECT feature, bin, greatest(count(*) / sum(count(*)) OVER (PARTITION BY feature), 1e-4) AS q
+  FROM rb GROUP BY feature, bin
+),
+cb AS (
+  SELECT d, 'value' AS feature, {BIN_VALUE} AS bin FROM cur, rng WHERE value IS NOT NULL
+  UNION ALL SELECT d, 'event_type', event_type FROM cur WHERE event_type IS NOT NULL
+),
+cs AS (
+  SELECT d, feature, bin, greatest(count(*) / sum(count(*)) OVER (PARTITION BY d, feature), 1e-4) AS p
+  FROM cb GROUP BY d, feature, bin
+),
+grid AS (SELECT DISTINCT d FROM cs),
+allbins AS (SELECT g.d, rs.feature, rs.bin FROM grid g, rs UNION SELECT d, feature, bin FROM cs),
+j AS (
+  SELECT a.d, a.feature, coalesce(cs.p, 1e-4) AS p, coalesce(rs.q, 1e-4) AS q
+  FROM allbins a
+  LEFT JOIN cs ON a.d = cs.d AND a.feature = cs.feature AND a.bin = cs.bin
+  LEFT JOIN rs ON a.feature = rs.feature AND a.bin = rs.bin
+),
+psi AS (SELECT d, feature, sum((p - q) * ln(p / q)) AS psi FROM j GROUP BY d, feature),
+rep AS (
+  SELECT d, CAST(count(*) AS INTEGER) AS n_columns,
+         CAST(sum(CASE WHEN psi >= 0.2 THEN 1 ELSE 0 END) AS INTEGER) AS n_drifted,
+         avg(CASE WHEN psi >= 0.2 THEN 1.0 ELSE 0.0 END) AS share
+  FROM psi GROUP BY d
+),
+stp AS (SELECT d, max(ts) AS report_ts, count(*) AS n_current FROM cur GROUP BY d),
+reports AS (
+  SELECT stp.report_ts, 'drift_report_' || strftime(stp.report_ts, '%Y%m%dT%H%M%SZ') || '.html' AS report_name,
+         n_current, n_columns, n_drifted, share AS share_of_drifted_columns, share >= 0.5 AS dataset_drift
+  FROM rep JOIN stp ON rep.d = stp.d
+)"""
+
+SQL["drift_gauges"] = (
+    REPORTS
+    + f"""
+SELECT {r4('share_of_drifted_columns')} AS drift_share_of_columns,
+       CAST(dataset_drift AS INTEGER) AS drift_dataset_detected, report_name
+FROM reports ORDER BY report_ts DESC, report_name DESC LIMIT 1"""
+)
+
+SQL["report_retention"] = (
+    REPORTS
+    + f"""
+SELECT report_name, rank, n_current, {r4('share_of_drifted_columns')} AS share_of_drifted_columns FROM (
+  SELECT *, CAST(row_number() OVER (ORDER BY report_ts DESC, report_name DESC) AS INTEGER) AS rank FROM reports
+) WHERE rank <= 10"""
+)
+
+SQL["scored_log"] = f"""
+WITH per AS (SELECT event_type, count(*) AS n_target, avg(value) AS mean_latency FROM events GROUP BY event_type)
+SELECT e.event_id, e.event_type, per.n_target, {r4('per.mean_latency')} AS mean_latency
+FROM events e JOIN per ON e.event_type = per.event_type"""
+
+WINDOWS = """
+WITH w AS (
+  SELECT date_trunc('minute', ts) - to_minutes(CAST(k AS BIGINT)) AS ws, event_type, value
+  FROM events CROSS JOIN range(0, 5) t(k)
+)"""
+
+SQL["rate_5m"] = (
+    WINDOWS
+    + f"""
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n,
+       {r4('count(*) / CAST(300 AS DOUBLE)')} AS rate
+FROM w GROUP BY ws, event_type"""
+)
+
+SQL["p95_5m"] = (
+    WINDOWS
+    + f"""
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, event_type,
+       {r4('quantile_cont(value, 0.95)')} AS p95, quantile_cont(value, 0.95) > 2.0 AS breach
+FROM w GROUP BY ws, event_type"""
+)
+
+ERR = (
+    WINDOWS
+    + """,
+er AS (
+  SELECT ws, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS n_error, count(*) AS n
+  FROM w GROUP BY ws
+)"""
+)
+
+SQL["error_ratio_5m"] = (
+    ERR
+    + f"""
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, n_error, n, {r4('n_error / n')} AS error_ratio,
+       n_error / n > 0.1 AS breach
+FROM er"""
+)
+
+SQL["sustained_alert"] = (
+    ERR
+    + """,
+ev AS (SELECT ws + to_minutes(CAST(k AS BIGINT)) AS e FROM er CROSS JOIN range(0, 5) t(k) WHERE n_error / n > 0.1),
+f AS (SELECT e, count(*) AS n_consecutive FROM ev GROUP BY e HAVING count(*) = 5)
+SELECT strftime(e, '%Y-%m-%d %H:%M:%S') AS eval_start, n_consecutive,
+       NOT EXISTS (SELECT 1 FROM f f2 WHERE f2.e = f.e - INTERVAL 1 MINUTE) AS alert_start
+FROM f"""
+)
+
+SQL["absence"] = f"""
+WITH n AS (SELECT event_type, ts, lead(ts) OVER (PARTITION BY event_type ORDER BY ts) AS nxt FROM events)
+SELECT event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS gap_start, strftime(nxt, '%Y-%m-%d %H:%M:%S') AS gap_end,
+       {r4('(epoch_us(nxt) - epoch_us(ts)) / 1e6')} AS gap_seconds
+FROM n WHERE nxt IS NOT NULL AND epoch_us(nxt) - epoch_us(ts) > 180000000"""
+
+REGISTRY = (
+    PRICE
+    + """,
+reg AS (
+  SELECT CASE l_returnflag WHEN 'A' THEN 'gini' WHEN 'N' THEN 'mobility' ELSE 'mobility_rank' END AS target,
+         CAST(year(l_shipdate) AS INTEGER) AS run, l_extendedprice AS y, prediction AS p
+  FROM s
+),
+regm AS (
+  SELECT target, run, avg(abs(y - p)) AS mae,
+         1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2,
+         stddev_pop(y - p) AS residual_std, count(*) AS n_test
+  FROM reg GROUP BY target, run
+),
+tot AS (SELECT target, count(*) AS n_all FROM reg GROUP BY target),
+regm2 AS (SELECT regm.*, tot.n_all - regm.n_test AS n_train FROM regm JOIN tot ON regm.target = tot.target),
+os AS (
+  SELECT CAST(year(o_orderdate) AS INTEGER) AS run, o_orderstatus AS y,
+         CASE WHEN year(o_orderdate) <= 1997 THEN 'F'
+              WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'O' ELSE 'P' END AS p
+  FROM orders
+),
+cm AS (SELECT run, y, p, count(*) AS n FROM os WHERE y IS NOT NULL GROUP BY run, y, p),
+classes AS (SELECT run, y AS cls FROM cm UNION SELECT run, p FROM cm),
+crep AS (
+  SELECT c.run, c.cls,
+         coalesce((SELECT sum(n) FROM cm WHERE cm.run = c.run AND y = c.cls AND p = c.cls), 0) AS tp,
+         coalesce((SELECT sum(n) FROM cm WHERE cm.run = c.run AND y = c.cls), 0) AS support,
+         coalesce((SELECT sum(n) FROM cm WHERE cm.run = c.run AND p = c.cls), 0) AS n_pred
+  FROM classes c
+),
+crep2 AS (
+  SELECT run, cls,
+         CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END AS pr,
+         CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS rc
+  FROM crep
+),
+macro AS (
+  SELECT run, avg(CASE WHEN pr + rc > 0 THEN 2.0 * pr * rc / (pr + rc) ELSE 0.0 END) AS macro_f1
+  FROM crep2 GROUP BY run
+),
+clsm AS (
+  SELECT a.run, a.accuracy, a.n_test, (SELECT count(*) FROM orders) - a.n_test AS n_train, macro.macro_f1
+  FROM (SELECT run, avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) AS n_test
+        FROM os WHERE y IS NOT NULL GROUP BY run) a
+  LEFT JOIN macro ON a.run = macro.run
+),
+metrics AS (
+  SELECT target, run AS version, 'r2' AS metric, r2 AS value FROM regm2
+  UNION ALL SELECT target, run, 'mae', mae FROM regm2
+  UNION ALL SELECT target, run, 'residual_std', residual_std FROM regm2
+  UNION ALL SELECT target, run, 'n_test', CAST(n_test AS DOUBLE) FROM regm2
+  UNION ALL SELECT target, run, 'n_train', CAST(n_train AS DOUBLE) FROM regm2
+  UNION ALL SELECT 'income_group', run, 'accuracy', accuracy FROM clsm
+  UNION ALL SELECT 'income_group', run, 'macro_f1', macro_f1 FROM clsm
+  UNION ALL SELECT 'income_group', run, 'n_test', CAST(n_test AS DOUBLE) FROM clsm
+  UNION ALL SELECT 'income_group', run, 'n_train', CAST(n_train AS DOUBLE) FROM clsm
+),
+gates AS (
+  SELECT * FROM (VALUES ('gini', 'r2', CAST(0.4 AS DOUBLE)), ('mobility', 'r2', CAST(0.15 AS DOUBLE)),
+                        ('mobility_rank', 'r2', CAST(0.15 AS DOUBLE)),
+                        ('income_group', 'accuracy', CAST(0.7 AS DOUBLE))) t(target, gate_metric, gate_min)
+),
+versions AS (SELECT DISTINCT target, version FROM metrics),
+vg AS (
+  SELECT v.target, v.version, g.gate_metric, g.gate_min, m.value AS metric_value
+  FROM versions v LEFT JOIN gates g ON v.target = g.target
+  LEFT JOIN metrics m ON m.target = v.target AND m.version = v.version AND m.metric = g.gate_metric
+),
+vp AS (SELECT *, coalesce(metric_value >= gate_min, false) AS passed FROM vg),
+stages AS (
+  SELECT target, 'income_inequality_' || target AS registered_name, CAST(version AS INTEGER) AS version,
+         CASE WHEN passed AND coalesce(max(CAST(passed AS INTEGER)) OVER (
+                PARTITION BY target ORDER BY version ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) = 1
+              THEN 'Archived' WHEN passed THEN 'Production' ELSE 'Staging' END AS stage,
+         gate_metric AS metric, metric_value, gate_min, passed
+  FROM vp
+)"""
+)
+
+SQL["gate_stage"] = (
+    REGISTRY
+    + f"""
+SELECT target, registered_name, version, stage, metric, {r4('metric_value')} AS metric_value,
+       {r4('gate_min')} AS gate_min, passed
+FROM stages"""
+)
+
+SQL["status_upsert"] = (
+    REGISTRY
+    + f""",
+newest AS (SELECT max(version) AS v FROM stages),
+before AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY target ORDER BY version DESC) AS rn
+    FROM stages WHERE version < (SELECT v FROM newest)
+  ) WHERE rn = 1
+),
+new_rows AS (SELECT * FROM stages WHERE version = (SELECT v FROM newest) AND target = 'gini'),
+upserted AS (
+  SELECT target, version, stage, metric_value FROM before WHERE target NOT IN (SELECT target FROM new_rows)
+  UNION ALL SELECT target, version, stage, metric_value FROM new_rows
+)
+SELECT target, version, stage, {r4('metric_value')} AS metric_value FROM upserted"""
+)
+
+SQL["run_status"] = (
+    REGISTRY
+    + """,
+outcomes AS (
+  SELECT s.version AS run, s.target,
+         s.metric_value IS NOT NULL AND coalesce(m.value, 0.0) >= 20 AS ok
+  FROM stages s LEFT JOIN metrics m ON m.target = s.target AND m.version = s.version AND m.metric = 'n_test'
+)
+SELECT run, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS n_ok, count(*) AS n_targets,
+       CASE WHEN sum(CASE WHEN ok THEN 1 ELSE 0 END) = count(*) THEN 'success'
+            WHEN sum(CASE WHEN ok THEN 1 ELSE 0 END) > 0 THEN 'partial_success' ELSE 'failed' END AS status
+FROM outcomes GROUP BY run"""
+)
+
+SQL["performance_view"] = (
+    REGISTRY
+    + f""",
+latest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY version DESC) AS rn FROM stages)
+  WHERE rn = 1
+),
+wide AS (
+  SELECT target, version,
+         max(CASE WHEN metric = 'mae' THEN value END) AS mae,
+         max(CASE WHEN metric = 'macro_f1' THEN value END) AS macro_f1,
+         CAST(max(CASE WHEN metric = 'n_train' THEN value END) AS BIGINT) AS n_train,
+         CAST(max(CASE WHEN metric = 'n_test' THEN value END) AS BIGINT) AS n_test
+  FROM metrics GROUP BY target, version
+)
+SELECT l.target, l.version, l.stage, l.metric, {r4('l.metric_value')} AS metric_value,
+       {r4('coalesce(w.mae, w.macro_f1)')} AS second_metric,
+       CASE WHEN w.mae IS NOT NULL THEN 'mae' WHEN w.macro_f1 IS NOT NULL THEN 'macro_f1' END AS second_metric_name,
+       w.n_train, w.n_test, {r4('l.gate_min')} AS gate_min, l.metric_value < l.gate_min AS quality_alert
+FROM latest l LEFT JOIN wide w ON l.target = w.target AND l.version = w.version"""
+)
+
+SQL["entity_series"] = (
+    "WITH"
+    + PIVOT
+    + f""",
+top AS (SELECT entity FROM coalesced GROUP BY entity ORDER BY count(*) DESC, entity LIMIT 8)
+SELECT entity, time, {r4('gini_index')} AS gini_index FROM coalesced WHERE entity IN (SELECT entity FROM top)"""
+)
