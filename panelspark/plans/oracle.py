@@ -758,3 +758,56 @@ SQL["entity_series"] = (
 top AS (SELECT entity FROM coalesced GROUP BY entity ORDER BY count(*) DESC, entity LIMIT 8)
 SELECT entity, time, {r4('gini_index')} AS gini_index FROM coalesced WHERE entity IN (SELECT entity FROM top)"""
 )
+
+ORDERS_NAMED = "orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey"
+
+SQL["flatten_paged"] = f"""
+SELECT CAST(o.o_custkey AS VARCHAR) AS entity, c.c_name AS entity_name, CAST(year(o.o_orderdate) AS INTEGER) AS time,
+       {r4('o.o_totalprice')} AS value
+FROM {ORDERS_NAMED}
+WHERE o.o_orderpriority <> '5-LOW' AND o.o_custkey IS NOT NULL AND o.o_totalprice IS NOT NULL"""
+
+SQL["flatten_sdmx"] = f"""
+SELECT CAST(o.o_custkey AS VARCHAR) AS entity, c.c_name AS entity_name, o.o_orderstatus AS status,
+       CAST(year(o.o_orderdate) AS INTEGER) AS time, {r4('avg(o.o_totalprice)')} AS value
+FROM {ORDERS_NAMED}
+GROUP BY o.o_custkey, c.c_name, o.o_orderstatus, year(o.o_orderdate)"""
+
+SQL["flatten_jsonstat"] = f"""
+SELECT CAST(o.o_custkey AS VARCHAR) AS entity, c.c_name AS entity_name,
+       CAST(year(o.o_orderdate) AS INTEGER) AS time, {r4('avg(o.o_totalprice)')} AS value
+FROM {ORDERS_NAMED}
+GROUP BY o.o_custkey, c.c_name, year(o.o_orderdate)"""
+
+SQL["long_roundtrip"] = SQL["long_observations"]
+
+SQL["panel_roundtrip"] = (
+    "WITH"
+    + PIVOT
+    + f"""
+SELECT entity, time, {r4('priority_level')} AS priority_level, {r4('urgent_share')} AS urgent_share,
+       {r4('gini_index')} AS gini_index, gini_source
+FROM coalesced"""
+)
+
+SQL["absent_source"] = (
+    "WITH"
+    + BASE
+    + f"""
+SELECT source, count(*) AS n_rows, {r4('sum(value)')} AS total_value FROM long GROUP BY source"""
+)
+
+SQL["entity_dimension"] = """
+SELECT c.c_custkey AS entity, c.c_name AS entity_name, n.n_name AS income_group, r.r_name AS region
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
+WHERE c.c_acctbal >= 0"""
+
+SQL["sniffed_csv"] = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+
+SQL["cohort_csv"] = f"""
+SELECT n.n_name AS entity,
+       {r4('arg_max(c.c_acctbal / 1e4, c.c_custkey)')} AS intergen_income_elasticity,
+       {r4('arg_max(c.c_acctbal / 2e4, c.c_custkey)')} AS intergen_rank_correlation
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+WHERE c.c_mktsegment <> 'AUTOMOBILE'
+GROUP BY n.n_name"""
