@@ -811,3 +811,13 @@ SELECT n.n_name AS entity,
 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
 WHERE c.c_mktsegment <> 'AUTOMOBILE'
 GROUP BY n.n_name"""
+
+SQL["stream_rate"] = (
+    WINDOWS
+    + f"""
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n,
+       {r4('count(*) / CAST(300 AS DOUBLE)')} AS rate
+FROM w
+WHERE ws + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
+GROUP BY ws, event_type"""
+)
