@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, source_queries, stream_queries  # noqa: F401 - registration side effects
+from . import catalog, model_queries, source_queries, stream_queries  # noqa: F401 - registration side effects
 from .catalog import QUERIES
 from .oracle import SQL
 
