@@ -53,23 +53,40 @@ def support_check(df: DataFrame, target: str, min_rows: int = MIN_TARGET_ROWS) -
 
 
 def confusion(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
+    """Confusion table (y, p, count): at most classes^2 rows per group."""
     return df.filter(F.col(y).isNotNull()).groupBy(*by, F.col(y).alias("y"), F.col(p).alias("p")).count()
 
 
-def class_report(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
-    """Per class precision, recall, F1, support (zero division -> 0.0)."""
-    by = list(by)
-    cm = confusion(df, y, p, by)
-    tp = cm.filter(F.col("y") == F.col("p")).groupBy(*by, F.col("y").alias("cls")).agg(F.sum("count").alias("tp"))
-    actual = cm.groupBy(*by, F.col("y").alias("cls")).agg(F.sum("count").alias("support"))
-    predicted = cm.groupBy(*by, F.col("p").alias("cls")).agg(F.sum("count").alias("n_pred"))
-    classes = actual.select(*by, "cls").unionByName(predicted.select(*by, "cls")).distinct()
-    t = (
-        classes.join(tp, on=by + ["cls"], how="left")
-        .join(actual, on=by + ["cls"], how="left")
-        .join(predicted, on=by + ["cls"], how="left")
-        .fillna(0, subset=["tp", "support", "n_pred"])
+def _per_class(cm: DataFrame, by: Sequence[str]) -> DataFrame:
+    """tp / support / n_pred per class from the confusion table in one aggregation.
+
+    Each confusion cell credits its true class (support, tp on the diagonal)
+    and its predicted class (n_pred): an explode into two rows, no self-join.
+    """
+    n = F.col("count")
+    credits = F.array(
+        F.struct(
+            F.col("y").alias("cls"),
+            F.when(F.col("y") == F.col("p"), n).otherwise(F.lit(0)).alias("tp"),
+            n.alias("support"),
+            F.lit(0).cast("long").alias("n_pred"),
+        ),
+        F.struct(
+            F.col("p").alias("cls"),
+            F.lit(0).cast("long").alias("tp"),
+            F.lit(0).cast("long").alias("support"),
+            n.alias("n_pred"),
+        ),
     )
+    return (
+        cm.select(*by, F.explode(credits).alias("c"))
+        .filter(F.col("c.cls").isNotNull())
+        .groupBy(*by, F.col("c.cls").alias("cls"))
+        .agg(F.sum("c.tp").alias("tp"), F.sum("c.support").alias("support"), F.sum("c.n_pred").alias("n_pred"))
+    )
+
+
+def _scores(t: DataFrame) -> DataFrame:
     precision = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(F.lit(0.0))
     recall = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     t = t.withColumn("precision", precision).withColumn("recall", recall)
@@ -77,23 +94,25 @@ def class_report(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataF
         (F.col("precision") + F.col("recall")) > 0,
         F.lit(2.0) * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")),
     ).otherwise(F.lit(0.0))
-    return t.withColumn("f1", f1).select(*by, "cls", "precision", "recall", "f1", F.col("support").cast("long"))
+    return t.withColumn("f1", f1)
+
+
+def class_report(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
+    """Per class precision, recall, F1, support (zero division -> 0.0)."""
+    by = list(by)
+    t = _scores(_per_class(confusion(df, y, p, by), by))
+    return t.select(*by, "cls", "precision", "recall", "f1", F.col("support").cast("long"))
 
 
 def class_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
-    """A10: accuracy and macro F1 (unweighted over classes seen in y or p)."""
-    grouped = list(by)
-    # no grouping: a constant key joins two one-row aggregates (both sides have one row)
-    src = df if grouped else df.withColumn("_all", F.lit(0))
-    keys = grouped or ["_all"]
-    acc = (
-        src.filter(F.col(y).isNotNull())
-        .groupBy(*keys)
-        .agg(
-            F.avg((F.col(y) == F.col(p)).cast("double")).alias("accuracy"),
-            F.count(F.lit(1)).alias("n_test"),
-        )
+    """A10: accuracy and macro F1 (unweighted over classes seen in y or p), n_test.
+
+    All from the confusion table: accuracy = sum(tp) / sum(support).
+    """
+    by = list(by)
+    t = _scores(_per_class(confusion(df, y, p, by), by))
+    return t.groupBy(*by).agg(
+        (F.sum("tp") / F.sum("support")).alias("accuracy"),
+        F.avg("f1").alias("macro_f1"),
+        F.sum("support").cast("long").alias("n_test"),
     )
-    rep = class_report(src, y, p, keys).groupBy(*keys).agg(F.avg("f1").alias("macro_f1"))
-    out = acc.join(rep, on=keys, how="left")
-    return out if grouped else out.drop("_all")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import UNKNOWN, category_for_scoring, category_for_training
 from ..schemas import DEFAULT_ROLES, Roles
-from .joins import small_side
+from .joins import runtime_sized
 from .quantiles import exact_medians
 
 
@@ -117,9 +117,12 @@ def encode(
     maps: DataFrame,
     columns: Sequence[str],
     scoring: bool = False,
-    max_map_rows: int = 1_000_000,
 ) -> DataFrame:
-    """Category -> code.  Training: total map; scoring: unseen -> -1, null or '' -> UNKNOWN."""
+    """Category -> code.  Training: total map; scoring: unseen -> -1, null or '' -> UNKNOWN.
+
+    The map has one row per category; adaptive execution broadcasts it when
+    its measured size allows, else the join stays sort-merge.
+    """
     out = df
     for c in columns:
         clean = category_for_scoring(c) if scoring else category_for_training(c)
@@ -127,7 +130,7 @@ def encode(
             F.col("category").alias(f"_{c}_cat"), F.col("code").alias(f"{c}_code")
         )
         out = out.withColumn(f"_{c}_key", clean).join(
-            small_side(m, max_map_rows), F.col(f"_{c}_key") == F.col(f"_{c}_cat"), "left"
+            runtime_sized(m), F.col(f"_{c}_key") == F.col(f"_{c}_cat"), "left"
         )
         out = out.withColumn(f"{c}_code", F.coalesce(F.col(f"{c}_code"), F.lit(-1))).drop(f"_{c}_key", f"_{c}_cat")
         if not scoring:

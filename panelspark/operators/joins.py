@@ -1,9 +1,16 @@
 """Join helpers: size-checked broadcast and key-uniqueness checks.
 
-A side is broadcast only after a bounded action proves it small
-(``limit(max_rows + 1).count()`` reads at most ``max_rows + 1`` rows);
-beyond the bound the join is left to the planner (sort-merge, or AQE's
-runtime broadcast when the real size allows it).
+Two ways to broadcast only what is proven small:
+
+* ``small_side`` proves it with a bounded action
+  (``limit(max_rows + 1).count()`` reads at most ``max_rows + 1`` rows) and
+  adds the broadcast hint; beyond the bound the join stays a sort-merge
+  join.  Use it for inputs that are cheap to count (a scanned code list).
+* for a side that is itself the result of a big computation (an aggregate
+  over the fact table), counting would run that computation twice; there
+  the join is left to adaptive execution, which measures the materialised
+  shuffle output and switches to a broadcast join only when it is under
+  ``spark.sql.adaptive.autoBroadcastJoinThreshold`` (``runtime_sized``).
 """
 
 from __future__ import annotations
@@ -26,6 +33,11 @@ def small_side(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if row_count_at_most(df, max_rows) is not None else df
 
 
+def runtime_sized(df: DataFrame) -> DataFrame:
+    """No hint: AQE decides from the measured size of the materialised side."""
+    return df
+
+
 def assert_unique(df: DataFrame, keys: list[str], what: str) -> None:
     """Duplicate keys in a dimension would fan out rows of the fact side."""
     dup = df.groupBy(*keys).count().filter(F.col("count") > 1).limit(1).collect()

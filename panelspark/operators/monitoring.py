@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import small_side
+from .joins import runtime_sized
 
 WINDOW = "5 minutes"
 SLIDE = "1 minute"
@@ -143,4 +143,4 @@ def scored_log(df: DataFrame, target: str = "event_type", latency: str = "value"
     unbounded window over a target's rows.
     """
     per = df.groupBy(target).agg(F.count(F.lit(1)).alias("n_target"), F.avg(latency).alias("mean_latency"))
-    return df.join(small_side(per, 100_000), on=target, how="inner")
+    return df.join(runtime_sized(per), on=target, how="inner")

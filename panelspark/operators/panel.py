@@ -52,14 +52,19 @@ def clean_long(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
     )
 
 
+def source_factor(source: Column, scale: Mapping[str, float] = SOURCE_SCALE) -> Column:
+    """The unit factor of a source (1.0 when none is configured)."""
+    factor = F.lit(1.0)
+    for src, k in scale.items():
+        factor = F.when(source == F.lit(src), F.lit(float(k))).otherwise(factor)
+    return factor
+
+
 def rescale_by_source(
     df: DataFrame, scale: Mapping[str, float] = SOURCE_SCALE, roles: Roles = DEFAULT_ROLES
 ) -> DataFrame:
     """Per-source unit factor (e.g. a 0-1 index to 0-100)."""
-    factor = F.lit(1.0)
-    for src, k in scale.items():
-        factor = F.when(F.col(roles.source) == F.lit(src), F.lit(float(k))).otherwise(factor)
-    return df.withColumn(roles.value, F.col(roles.value) * factor)
+    return df.withColumn(roles.value, F.col(roles.value) * source_factor(F.col(roles.source), scale))
 
 
 def pivot_mean(long: DataFrame, indicators: Sequence[str], roles: Roles = DEFAULT_ROLES) -> DataFrame:
@@ -128,6 +133,7 @@ def attach(
     columns: Sequence[str],
     check_unique: bool = True,
     broadcast_rows: int | None = None,
+    null_type: str = "string",
 ) -> DataFrame:
     """Left join of a per-entity dimension to every time of the entity.
 
@@ -137,7 +143,7 @@ def attach(
     if dim is None:
         out = panel
         for c in columns:
-            out = out.withColumn(c, F.lit(None).cast("string"))
+            out = out.withColumn(c, F.lit(None).cast(null_type))
         return out
     side = dim.select(key, *columns)
     if check_unique:
@@ -185,5 +191,5 @@ def build_panel(
     wide = attach(wide, dimension, roles.entity, list(dimension_columns))
     if lag_column in wide.columns:
         wide = row_lag(wide, lag_column, roles=roles)
-    wide = attach(wide, static, roles.entity, list(static_columns))
+    wide = attach(wide, static, roles.entity, list(static_columns), null_type="double")
     return wide

@@ -35,10 +35,16 @@ def version_stages(runs: DataFrame, gates: DataFrame, prefix: str = "income_ineq
     value, gate min, passed flag and the resulting stage.
     """
     g = gates.select(F.col("target"), F.col("metric").alias("gate_metric"), F.col("min").alias("gate_min"))
-    versions = runs.select("target", "version").distinct()
-    with_gate = versions.join(g, on="target", how="left")
-    vals = runs.select("target", "version", F.col("metric").alias("gate_metric"), F.col("value").alias("metric_value"))
-    t = with_gate.join(vals, on=["target", "version", "gate_metric"], how="left")
+    # gates: one row per target
+    t = (
+        runs.join(F.broadcast(g), on="target", how="left")
+        .groupBy("target", "version")
+        .agg(
+            F.first("gate_metric", ignorenulls=True).alias("gate_metric"),
+            F.first("gate_min", ignorenulls=True).alias("gate_min"),
+            F.max(F.when(F.col("metric") == F.col("gate_metric"), F.col("value"))).alias("metric_value"),
+        )
+    )
     t = t.withColumn("passed", gate_passed("metric_value", "gate_min"))
     w_later = Window.partitionBy("target").orderBy("version").rowsBetween(1, Window.unboundedFollowing)
     later_pass = F.max(F.col("passed").cast("int")).over(w_later)

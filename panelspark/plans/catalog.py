@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -302,13 +302,13 @@ def q_group_split(spark, sf_dir):
 
 def _price_predictions(spark, sf_dir):
     """A mean predictor: average price per quantity, joined back (bounded by distinct quantities)."""
-    from ..operators.joins import small_side
+    from ..operators.joins import runtime_sized
 
     li = D.table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"
     )
     means = li.groupBy("l_quantity").agg(F.avg("l_extendedprice").alias("prediction"))
-    return li.join(small_side(means, 1_000_000), on="l_quantity", how="inner")
+    return li.join(runtime_sized(means), on="l_quantity", how="inner")
 
 
 @query("regression_metrics")
@@ -586,14 +586,14 @@ def run_metrics(spark, sf_dir):
     )
     scored = scored.withColumn("target", target)
     reg = regression_metrics(scored, "l_extendedprice", "prediction", by=["target", "run"])
-    totals = scored.groupBy("target").agg(F.count(F.lit(1)).alias("_all"))
-    reg = reg.join(F.broadcast(totals), on="target", how="left").withColumn("n_train", F.col("_all") - F.col("n_test"))
+    # runs per target are few: totals by a window over the target, no second pass
+    per_target = Window.partitionBy("target")
+    reg = reg.withColumn("n_train", F.sum("n_test").over(per_target) - F.col("n_test"))
     o = _status_predictions(spark, sf_dir).withColumn("run", F.year("o_orderdate").cast("int")).withColumn(
         "target", F.lit("income_group")
     )
     cls = class_metrics(o, "o_orderstatus", "predicted", by=["target", "run"])
-    o_all = o.agg(F.count(F.lit(1))).first()[0]
-    cls = cls.withColumn("n_train", F.lit(o_all) - F.col("n_test"))
+    cls = cls.withColumn("n_train", F.sum("n_test").over(per_target) - F.col("n_test"))
 
     def longform(df, metrics):
         pairs = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]
@@ -624,10 +624,11 @@ def q_status_upsert(spark, sf_dir):
     from ..operators.registry import latest_per_target, upsert_status
 
     st, _ = _stages(spark, sf_dir)
-    newest = st.agg(F.max("version")).first()[0]
-    before = latest_per_target(st.filter(F.col("version") < newest))
-    new_rows = st.filter((F.col("version") == newest) & (F.col("target") == "gini"))
-    out = upsert_status(before, new_rows)
+    # versions per target are few: a window over the target
+    st = st.withColumn("_newest", F.max("version").over(Window.partitionBy("target")))
+    before = latest_per_target(st.filter(F.col("version") < F.col("_newest")))
+    new_rows = st.filter((F.col("version") == F.col("_newest")) & (F.col("target") == "gini"))
+    out = upsert_status(before.drop("_newest"), new_rows.drop("_newest"))
     return rounded(out.select("target", "version", "stage", "metric_value"))
 
 

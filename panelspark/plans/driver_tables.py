@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import to_number
-from ..operators.panel import rescale_by_source
+from ..operators.panel import source_factor
 from ..schemas import DEFAULT_ROLES as R
 
 TABLES = [
@@ -75,44 +75,27 @@ def orders_long(spark: SparkSession, sf_dir: str, rescale: bool = True) -> DataF
         .when(st == "O", F.lower(F.col("c_name")))
         .otherwise(F.concat(F.col("c_name"), F.lit(" (P)")))
     )
-    base = j.select(
+    price = F.col("o_totalprice")
+    gini_value = F.when(st == "O", price / F.lit(1000000.0)).otherwise(price / F.lit(10000.0))
+    if rescale:
+        gini_value = gini_value * source_factor(status_source(st))
+    prio = F.col("o_orderpriority")
+    # one scan and one join, then three observations per order (a generator, not a 3-way union)
+    obs = F.array(
+        F.struct(status_indicator(st).alias("i"), gini_value.alias("v")),
+        F.struct(F.lit("priority_level").alias("i"), to_number(F.substring(prio, 1, 1)).alias("v")),
+        F.struct(
+            F.lit("urgent_share").alias("i"),
+            F.when(prio.startswith("1-"), F.lit(1.0)).otherwise(F.lit(0.0)).alias("v"),
+        ),
+    )
+    return j.select(
         F.col("o_custkey").alias(R.entity),
         name.alias(R.entity_name),
         F.year("o_orderdate").cast("int").alias(R.time),
         status_source(st).alias(R.source),
-        st.alias("_status"),
-        F.col("o_totalprice").alias("_price"),
-        F.col("o_orderpriority").alias("_prio"),
-    )
-    gini = base.select(
-        R.entity,
-        R.entity_name,
-        R.time,
-        status_indicator(F.col("_status")).alias(R.indicator),
-        F.when(F.col("_status") == "O", F.col("_price") / F.lit(1000000.0))
-        .otherwise(F.col("_price") / F.lit(10000.0))
-        .alias(R.value),
-        R.source,
-    )
-    prio = base.select(
-        R.entity,
-        R.entity_name,
-        R.time,
-        F.lit("priority_level").alias(R.indicator),
-        to_number(F.substring("_prio", 1, 1)).alias(R.value),
-        R.source,
-    )
-    urgent = base.select(
-        R.entity,
-        R.entity_name,
-        R.time,
-        F.lit("urgent_share").alias(R.indicator),
-        F.when(F.col("_prio").startswith("1-"), F.lit(1.0)).otherwise(F.lit(0.0)).alias(R.value),
-        R.source,
-    )
-    if rescale:
-        gini = rescale_by_source(gini)
-    return gini.unionByName(prio).unionByName(urgent)
+        F.explode(obs).alias("_o"),
+    ).select(R.entity, R.entity_name, R.time, F.col("_o.i").alias(R.indicator), F.col("_o.v").alias(R.value), R.source)
 
 
 def lineitem_panel(spark: SparkSession, sf_dir: str) -> DataFrame:

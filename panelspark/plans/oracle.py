@@ -700,14 +700,14 @@ FROM stages"""
 SQL["status_upsert"] = (
     REGISTRY
     + f""",
-newest AS (SELECT max(version) AS v FROM stages),
+nw AS (SELECT *, max(version) OVER (PARTITION BY target) AS newest FROM stages),
 before AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY target ORDER BY version DESC) AS rn
-    FROM stages WHERE version < (SELECT v FROM newest)
+    FROM nw WHERE version < newest
   ) WHERE rn = 1
 ),
-new_rows AS (SELECT * FROM stages WHERE version = (SELECT v FROM newest) AND target = 'gini'),
+new_rows AS (SELECT * FROM nw WHERE version = newest AND target = 'gini'),
 upserted AS (
   SELECT target, version, stage, metric_value FROM before WHERE target NOT IN (SELECT target FROM new_rows)
   UNION ALL SELECT target, version, stage, metric_value FROM new_rows
