@@ -48,7 +48,8 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def pivot_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.pivot_mean(D.orders_long(spark, sf_dir), D.ALL_INDICATORS)
+    """A1 on the observations alone: partial averages before the shuffle, no name join."""
+    return P.pivot_mean(D.orders_observations(spark, sf_dir), D.ALL_INDICATORS)
 
 
 def coalesced_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,14 +58,20 @@ def coalesced_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dims_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coalesced panel + names (J2) + snapshot dimension (J3) + lags (W1) + static measure."""
-    long = D.orders_long(spark, sf_dir)
-    wide = P.coalesce_with_provenance(P.pivot_mean(long, D.ALL_INDICATORS)).drop("gini_index_oecd", "gini_index_eurostat")
-    wide = P.attach(wide, P.entity_names(long), R.entity, [R.entity_name], check_unique=False)
-    wide = P.attach(wide, D.entity_dimension(spark, sf_dir), R.entity, ["income_group", "region"], check_unique=False)
+    """Coalesced panel + names (J2) + snapshot dimension (J3) + lags (W1) + static measure.
+
+    The panel (one row per entity and time) meets per-entity tables only:
+    names from the distinct (entity, source) pairs, and one customer-side
+    table carrying both the snapshot dimension and the static measure.  All
+    joins and the lag windows share the exchange on the entity.
+    """
+    wide = coalesced_panel(spark, sf_dir)
+    names = P.entity_names(D.source_names(spark, sf_dir))
+    wide = P.attach(wide, names, R.entity, [R.entity_name], check_unique=False)
+    dims = D.entity_dimension(spark, sf_dir).join(D.static_measures(spark, sf_dir), on=R.entity, how="left")
+    wide = P.attach(wide, dims, R.entity, ["income_group", "region", "acctbal"], check_unique=False)
     wide = P.row_lag(wide, "income_group")
     wide = P.row_lag(wide, "gini_index")
-    wide = P.attach(wide, D.static_measures(spark, sf_dir), R.entity, ["acctbal"], check_unique=False)
     return wide
 
 
@@ -86,7 +93,7 @@ def q_coalesce_provenance(spark, sf_dir):
 
 @query("first_by_priority")
 def q_first_by_priority(spark, sf_dir):
-    return P.entity_names(D.orders_long(spark, sf_dir))
+    return P.entity_names(D.source_names(spark, sf_dir))
 
 
 @query("panel_dims")
