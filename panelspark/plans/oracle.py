@@ -821,3 +821,28 @@ FROM w
 WHERE ws + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
 GROUP BY ws, event_type"""
 )
+
+SQL["stream_sustained"] = f"""
+SELECT eval_start, n_consecutive FROM ({SQL["sustained_alert"]})
+WHERE strptime(eval_start, '%Y-%m-%d %H:%M:%S') + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
+
+SQL["stream_sessions"] = """
+WITH e AS (
+  SELECT event_type, ts,
+         CASE WHEN lag(ts) OVER (PARTITION BY event_type ORDER BY ts) IS NULL
+                OR ts >= lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 3 MINUTE
+              THEN 1 ELSE 0 END AS new_session
+  FROM events
+),
+g AS (
+  SELECT event_type, ts,
+         sum(new_session) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid
+  FROM e
+),
+s AS (
+  SELECT event_type, sid, min(ts) AS st, max(ts) + INTERVAL 3 MINUTE AS en, count(*) AS n
+  FROM g GROUP BY event_type, sid
+)
+SELECT event_type, strftime(st, '%Y-%m-%d %H:%M:%S') AS session_start, strftime(en, '%Y-%m-%d %H:%M:%S') AS session_end,
+       n AS n_events
+FROM s WHERE en <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""

@@ -33,3 +33,25 @@ def q_stream_drift_20(spark, sf_dir):
 
     reports = run_drift_stream(stream, reference, ["value"], ["event_type"], ["ts", "event_id"], root)
     return rounded(reports)
+
+
+@query("stream_sustained")
+def q_stream_sustained(spark, sf_dir):
+    """T3 + T5 as one stream: error ratio per window, then a chained window for `for: 5m`."""
+    from ..streaming.rates import error_ratio_stream, sustained_stream
+
+    root = scratch_path(spark, "stream-sustained")
+    ev = event_stream(spark, sf_dir).select("ts", "event_type")
+    q = sustained_stream(error_ratio_stream(ev, F.col("event_type") == "error"))
+    run_to_table(q, f"{root}/out", f"{root}/ck")
+    return spark.read.parquet(f"{root}/out")
+
+
+@query("stream_sessions")
+def q_stream_sessions(spark, sf_dir):
+    """T6 as a stream: closed heartbeat sessions per event type (gap 3 minutes)."""
+    from ..streaming.rates import sessions_stream
+
+    root = scratch_path(spark, "stream-sessions")
+    run_to_table(sessions_stream(event_stream(spark, sf_dir).select("ts", "event_type")), f"{root}/out", f"{root}/ck")
+    return spark.read.parquet(f"{root}/out")

@@ -71,3 +71,36 @@ def run_to_table(df: DataFrame, sink: str, checkpoint: str, mode: str = "append"
         .start()
     )
     q.awaitTermination()
+
+
+def sustained_stream(breaches: DataFrame, n: int = 5) -> DataFrame:
+    """T5 on a stream: a second (chained) sliding window over the evaluation
+    times of the first; it fires when all ``n`` evaluations inside breached.
+
+    The evaluation of a first-level window is its ``window_time`` (end - 1 us),
+    so the second-level window starting at s holds the evaluations of the
+    first-level windows starting at s - (n-1) .. s minutes.
+    """
+    w2 = F.window(F.col("eval_time"), f"{n} minutes", SLIDE)
+    return (
+        breaches.groupBy(w2.alias("w2"))
+        .agg(F.sum(F.col("breach").cast("int")).alias("n_breach"))
+        .filter(F.col("n_breach") == F.lit(n))
+        .select(_display(F.col("w2.start")).alias("eval_start"), F.col("n_breach").cast("long").alias("n_consecutive"))
+    )
+
+
+def sessions_stream(events: DataFrame, key: str = "event_type", ts: str = "ts", gap: str = "3 minutes") -> DataFrame:
+    """T6 on a stream: heartbeat sessions per key; a session closes after ``gap``
+    without events, and the time between sessions is an outage."""
+    return (
+        with_event_time(events, ts)
+        .groupBy(F.col(key), F.session_window(F.col(ts), gap).alias("s"))
+        .agg(F.count(F.lit(1)).alias("n_events"))
+        .select(
+            F.col(key),
+            _display(F.col("s.start")).alias("session_start"),
+            _display(F.col("s.end")).alias("session_end"),
+            "n_events",
+        )
+    )
