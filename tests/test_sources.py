@@ -137,3 +137,22 @@ def test_cohort_file_requires_columns(spark, tmpdir_path):
         f.write("code,country,BETA\nFRA,France,0.4\n")
     with pytest.raises(ValueError):
         SF.read_cohorts(spark, p, {"code": "entity", "cohort": "birth_cohort", "BETA": "b"})
+
+
+def test_artifacts_round_trip_and_scoring_a7(spark, tmpdir_path):
+    from panelspark.operators.features import category_maps, median_map
+    from panelspark.sources.artifacts import prepare_scoring, read_artifacts, write_artifacts
+
+    train = spark.createDataFrame([(1.0, "Europe"), (3.0, "Asia"), (None, None)], "gdp double, region string")
+    write_artifacts(category_maps(train, ["region"]), median_map(train, ["gdp"]), tmpdir_path)
+    maps, meds = read_artifacts(spark, tmpdir_path)
+    assert meds == {"gdp": 2.0}
+    score = spark.createDataFrame([(None, None), (5.0, "Mars"), (None, "Asia")], "gdp double, region string")
+    out = prepare_scoring(score, ["gdp", "pop"], ["region"], maps, meds)
+    got = sorted((r["gdp"], r["pop"], r["region_code"]) for r in out.collect())
+    codes = {r["category"]: r["code"] for r in maps.collect()}
+    assert got == sorted([(2.0, 0.0, codes["UNKNOWN"]), (5.0, 0.0, -1), (2.0, 0.0, codes["Asia"])])
+    # no artifacts at all: everything still scores (no null reaches the model)
+    m2, med2 = read_artifacts(spark, f"{tmpdir_path}/none")
+    out2 = prepare_scoring(score, ["gdp"], ["region"], m2, med2)
+    assert out2.filter("gdp IS NULL OR region_code IS NULL").count() == 0
