@@ -1,9 +1,10 @@
 """Row constraints (Q1-Q3), leakage check (Q4) and the run report.
 
-A rule table is evaluated in one projection: one boolean per rule, the
-names of the failed rules gathered in an array.  Kept rows are the rows
-with an empty array; the failure table explodes the array (rule, row keys,
-offending value).  Validation only drops rows, it never changes values.
+A rule table becomes one boolean check per rule.  Kept rows pass one
+filter over the OR of the checks (whole-stage codegen, no lambda); the
+failure table takes the failing rows only and explodes one (rule, value)
+entry per failed rule, with the row keys.  Validation only drops rows, it
+never changes values.
 """
 
 from __future__ import annotations
@@ -89,19 +90,36 @@ def failed_rules(df: DataFrame, rules: Sequence[Rule]) -> Column:
     return F.filter(F.array(*flags), lambda x: x.isNotNull())
 
 
+def any_failure(rules: Sequence[Rule], checks: Sequence[Column] | None = None) -> Column:
+    """True when a row fails at least one rule (plain boolean logic, stays in codegen)."""
+    checks = list(checks) if checks is not None else [_check(r, F.col(r.column)) for r in rules]
+    out = F.lit(False)
+    for c in checks:
+        out = out | c
+    return out
+
+
 def validate(df: DataFrame, rules: Sequence[Rule], keys: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Q1 + Q2 + Q3: (kept rows, failures as rule / keys / value)."""
+    """Q1 + Q2 + Q3: (kept rows, failures as rule / keys / value).
+
+    Kept rows are one filter over the OR of the rule checks; the failure
+    table takes only failing rows, builds one (rule, value) entry per rule
+    and explodes them, keeping the non-null ones.
+    """
     rules = active_rules(df, rules)
-    flagged = df.withColumn("_failed", failed_rules(df, rules))
-    kept = flagged.filter(F.size("_failed") == 0).drop("_failed")
+    checks = [_check(r, F.col(r.column)) for r in rules]
+    bad = any_failure(rules, checks)
+    kept = df.filter(~bad)
     keys = list(keys) if keys else [c for c in df.columns]
-    value_of = F.lit(None).cast("string")
-    for r in rules:
-        value_of = F.when(F.col("rule") == F.lit(r.name), F.col(r.column).cast("string")).otherwise(value_of)
+    entries = [
+        F.when(c, F.struct(F.lit(r.name).alias("rule"), F.col(r.column).cast("string").alias("value")))
+        for r, c in zip(rules, checks)
+    ]
     failures = (
-        flagged.filter(F.size("_failed") > 0)
-        .select(*keys, *[r.column for r in rules if r.column not in keys], F.explode("_failed").alias("rule"))
-        .select(F.col("rule"), *keys, value_of.alias("value"))
+        df.filter(bad)
+        .select(*keys, F.explode(F.array(*entries)).alias("f"))
+        .filter(F.col("f").isNotNull())
+        .select(F.col("f.rule").alias("rule"), *keys, F.col("f.value").alias("value"))
     )
     return kept, failures
 
