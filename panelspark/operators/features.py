@@ -104,10 +104,9 @@ def category_maps(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
     Binary string order equals Python's sorted() on str (code points).  The
     distinct set is small; the window is over it, not over the panel.
     """
-    stacked = None
-    for c in columns:
-        part = panel.select(F.lit(c).alias("feature"), category_for_training(c).alias("category")).distinct()
-        stacked = part if stacked is None else stacked.unionByName(part)
+    pairs = [F.struct(F.lit(c).alias("feature"), category_for_training(c).alias("category")) for c in columns]
+    # one pass over the panel: (feature, category) pairs, de-duplicated map-side
+    stacked = panel.select(F.explode(F.array(*pairs)).alias("s")).select("s.feature", "s.category").distinct()
     w = Window.partitionBy("feature").orderBy("category")
     return stacked.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
 

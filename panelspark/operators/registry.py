@@ -28,11 +28,17 @@ def gates_table(spark: SparkSession, gates: Mapping[str, tuple[str, float]] = PR
     return spark.createDataFrame(rows, "target string, metric string, min double")
 
 
-def version_stages(runs: DataFrame, gates: DataFrame, prefix: str = "income_inequality_") -> DataFrame:
+EXTRA_METRICS = ("mae", "macro_f1", "n_train", "n_test")
+
+
+def version_stages(
+    runs: DataFrame, gates: DataFrame, prefix: str = "income_inequality_", extra: tuple[str, ...] = EXTRA_METRICS
+) -> DataFrame:
     """M8 + C10 + J8: ``runs`` has (target, version, metric, value) in long form.
 
     Returns one row per (target, version): registered name, gate metric and
-    value, gate min, passed flag and the resulting stage.
+    value, gate min, passed flag, the resulting stage, and the ``extra``
+    metrics as columns (one aggregation over the runs, read once).
     """
     g = gates.select(F.col("target"), F.col("metric").alias("gate_metric"), F.col("min").alias("gate_min"))
     # gates: one row per target
@@ -43,6 +49,7 @@ def version_stages(runs: DataFrame, gates: DataFrame, prefix: str = "income_ineq
             F.first("gate_metric", ignorenulls=True).alias("gate_metric"),
             F.first("gate_min", ignorenulls=True).alias("gate_min"),
             F.max(F.when(F.col("metric") == F.col("gate_metric"), F.col("value"))).alias("metric_value"),
+            *[F.max(F.when(F.col("metric") == F.lit(m), F.col("value"))).alias(f"_m_{m}") for m in extra],
         )
     )
     t = t.withColumn("passed", gate_passed("metric_value", "gate_min"))
@@ -60,6 +67,7 @@ def version_stages(runs: DataFrame, gates: DataFrame, prefix: str = "income_ineq
         "metric_value",
         "gate_min",
         "passed",
+        *[F.col(f"_m_{m}").alias(m) for m in extra],
     )
 
 
@@ -95,17 +103,10 @@ def latest_per_target(df: DataFrame, order: str = "version") -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
-def performance_view(stages: DataFrame, metrics: DataFrame) -> DataFrame:
+def performance_view(stages: DataFrame) -> DataFrame:
     """M11 + T7: latest version per target with main metric, second metric
     (mae or macro_f1), counts, gate, stage and the model-quality alert."""
-    latest = latest_per_target(stages)
-    wide = metrics.groupBy("target", "version").agg(
-        F.max(F.when(F.col("metric") == "mae", F.col("value"))).alias("mae"),
-        F.max(F.when(F.col("metric") == "macro_f1", F.col("value"))).alias("macro_f1"),
-        F.max(F.when(F.col("metric") == "n_train", F.col("value"))).cast("long").alias("n_train"),
-        F.max(F.when(F.col("metric") == "n_test", F.col("value"))).cast("long").alias("n_test"),
-    )
-    out = latest.join(wide, on=["target", "version"], how="left")
+    out = latest_per_target(stages)
     return out.select(
         "target",
         "version",
@@ -116,8 +117,8 @@ def performance_view(stages: DataFrame, metrics: DataFrame) -> DataFrame:
         F.when(F.col("mae").isNotNull(), F.lit("mae")).when(F.col("macro_f1").isNotNull(), F.lit("macro_f1")).alias(
             "second_metric_name"
         ),
-        "n_train",
-        "n_test",
+        F.col("n_train").cast("long").alias("n_train"),
+        F.col("n_test").cast("long").alias("n_test"),
         "gate_min",
         (F.col("metric_value") < F.col("gate_min")).alias("quality_alert"),
     )

@@ -68,7 +68,7 @@ def dims_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = coalesced_panel(spark, sf_dir)
     names = P.entity_names(D.source_names(spark, sf_dir))
     wide = P.attach(wide, names, R.entity, [R.entity_name], check_unique=False)
-    dims = D.entity_dimension(spark, sf_dir).join(D.static_measures(spark, sf_dir), on=R.entity, how="left")
+    dims = D.entity_dimension(spark, sf_dir)
     wide = P.attach(wide, dims, R.entity, ["income_group", "region", "acctbal"], check_unique=False)
     wide = P.row_lag(wide, "income_group")
     wide = P.row_lag(wide, "gini_index")
@@ -623,7 +623,7 @@ def _stages(spark, sf_dir):
 @query("gate_stage")
 def q_gate_stage(spark, sf_dir):
     st, _ = _stages(spark, sf_dir)
-    return rounded(st)
+    return rounded(st.drop("mae", "macro_f1", "n_train", "n_test"))
 
 
 @query("status_upsert")
@@ -643,9 +643,8 @@ def q_status_upsert(spark, sf_dir):
 def q_run_status(spark, sf_dir):
     from ..operators.registry import run_status
 
-    st, m = _stages(spark, sf_dir)
-    n = m.filter(F.col("metric") == "n_test").select("target", "version", F.col("value").alias("n_test"))
-    outcomes = st.join(n, on=["target", "version"], how="left").select(
+    st, _ = _stages(spark, sf_dir)
+    outcomes = st.select(
         F.col("version").alias("run"),
         "target",
         (F.col("metric_value").isNotNull() & (F.coalesce(F.col("n_test"), F.lit(0.0)) >= 20)).alias("ok"),
@@ -657,8 +656,8 @@ def q_run_status(spark, sf_dir):
 def q_performance_view(spark, sf_dir):
     from ..operators.registry import performance_view
 
-    st, m = _stages(spark, sf_dir)
-    return rounded(performance_view(st, m))
+    st, _ = _stages(spark, sf_dir)
+    return rounded(performance_view(st))
 
 
 # ---------------------------------------------------------------- views

@@ -150,14 +150,18 @@ def lineitem_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshot dimension: customer -> nation name (income group), region name."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    """Snapshot dimension: customer -> nation name (income group), region name,
+    and the static measure (account balance), from one customer scan."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     # nation and region are fixed-size code lists (25 / 5 rows): safe to broadcast.
     nr = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey, "left")
     return c.join(F.broadcast(nr), c.c_nationkey == nr.n_nationkey, "left").select(
-        F.col("c_custkey").alias(R.entity), F.col("n_name").alias("income_group"), F.col("r_name").alias("region")
+        F.col("c_custkey").alias(R.entity),
+        F.col("n_name").alias("income_group"),
+        F.col("r_name").alias("region"),
+        F.col("c_acctbal").alias("acctbal"),
     )
 
 
