@@ -73,9 +73,16 @@ def write_long(df: DataFrame, path: str, roles: Roles = DEFAULT_ROLES, mode: str
     check_long(df, roles).write.mode(mode).partitionBy(roles.source).parquet(path)
 
 
-def write_panel(df: DataFrame, path: str, time: str = "time", mode: str = "overwrite") -> None:
-    """Panel / feature sink, partitioned by time, rows sorted by entity inside each file (K1)."""
-    df.repartition(time).sortWithinPartitions(time, df.columns[0]).write.mode(mode).partitionBy(time).parquet(path)
+def write_panel(df: DataFrame, path: str, time: str = "time", entity: str = "entity", mode: str = "overwrite") -> None:
+    """Panel / feature sink, partitioned by time, rows sorted by (time, entity) inside each file (K1).
+
+    Hash on (time, entity), not on time alone: a year is spread over all
+    tasks instead of landing in one, and each task writes one sorted file
+    per year it holds.
+    """
+    out = df.repartition(time, entity) if entity in df.columns else df
+    sort_cols = [time, entity] if entity in df.columns else [time]
+    out.sortWithinPartitions(*sort_cols).write.mode(mode).partitionBy(time).parquet(path)
 
 
 def append_metrics(spark: SparkSession, rows: Sequence[tuple], path: str) -> None:
