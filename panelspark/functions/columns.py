@@ -74,6 +74,15 @@ def report_stamp(ts: str | Column) -> Column:
     return F.date_format(col, "yyyyMMdd'T'HHmmss'Z'")
 
 
+def ntz_literal(value) -> Column:
+    """A naive datetime (as Spark returns TIMESTAMP_NTZ) back as a TIMESTAMP_NTZ literal.
+
+    Goes through text, so neither the Python process's zone nor the session
+    zone can shift it.
+    """
+    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+
+
 def gate_passed(metric_value: str | Column, gate_min: str | Column) -> Column:
     """Gate present, metric present and metric >= min; null anywhere -> False."""
     v = F.col(metric_value) if isinstance(metric_value, str) else metric_value

@@ -149,6 +149,18 @@ def absences(df: DataFrame, key: str = "event_type", ts: str = "ts", gap_minutes
     )
 
 
+def open_absences(df: DataFrame, now, key: str = "event_type", ts: str = "ts", gap_minutes: int = 3) -> DataFrame:
+    """T6, still open: keys whose last event is more than ``gap_minutes`` before ``now``
+    (the evaluation time, e.g. the newest event seen).  One row per key."""
+    from ..functions.columns import ntz_literal
+
+    last = df.groupBy(key).agg(F.max(ts).alias("_last"))
+    gap = F.timestamp_diff("MICROSECOND", F.col("_last"), ntz_literal(now))
+    return last.filter(gap > F.lit(gap_minutes * 60 * 1_000_000)).select(
+        F.col(key), _fmt(F.col("_last")).alias("last_seen"), (gap / F.lit(1e6)).alias("silent_seconds")
+    )
+
+
 def scored_log(df: DataFrame, target: str = "event_type", latency: str = "value") -> DataFrame:
     """T8 + W2: per-target counts and mean latency broadcast back to each row.
 

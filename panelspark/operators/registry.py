@@ -97,6 +97,20 @@ def run_status(outcomes: DataFrame, run: str = "run", ok: str = "ok") -> DataFra
     return agg.withColumn("status", status)
 
 
+def run_targets(spark: SparkSession, run: int, jobs: Mapping[str, "callable"]) -> DataFrame:
+    """Run every target's job (sequentially, on the driver: one Spark job
+    graph each); a failing target does not stop the others.  Returns the
+    outcome rows (run, target, ok, error) for ``run_status``."""
+    rows = []
+    for target, job in jobs.items():
+        try:
+            job()
+            rows.append((int(run), target, True, None))
+        except Exception as exc:  # noqa: BLE001 - record and go on with the next target
+            rows.append((int(run), target, False, f"{type(exc).__name__}: {str(exc)[:200]}"))
+    return spark.createDataFrame(rows, "run int, target string, ok boolean, error string")
+
+
 def latest_per_target(df: DataFrame, order: str = "version") -> DataFrame:
     """Newest row per target (A5 form over whole rows: versions per target are few)."""
     w = Window.partitionBy("target").orderBy(F.col(order).desc())

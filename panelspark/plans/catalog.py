@@ -482,13 +482,13 @@ def q_drift_on_demand(spark, sf_dir):
 
 def event_reports(spark, sf_dir):
     """Report table: one drift report per day of events (days 8..30) against the first week."""
-    from ..functions.columns import report_stamp
+    from ..functions.columns import ntz_literal, report_stamp
     from ..operators.drift import psi_grouped
 
     ev = D.events(spark, sf_dir).select("ts", "value", "event_type")
     day = F.date_trunc("day", F.col("ts"))
-    first = ev.agg(F.min(day)).first()[0]
-    ev = ev.withColumn("_day", F.datediff(day, F.lit(first)))
+    first = ev.agg(F.min(day)).first()[0]  # one scalar
+    ev = ev.withColumn("_day", F.datediff(day, ntz_literal(first)))
     ref = ev.filter(F.col("_day") < 7)
     cur = ev.filter(F.col("_day") >= 7)
     per = psi_grouped(ref, cur, "_day", ["value"], ["event_type"])
@@ -670,3 +670,13 @@ def q_entity_series(spark, sf_dir):
     panel = coalesced_panel(spark, sf_dir)
     chosen = top_entities(panel, R.entity)
     return rounded(entity_series(panel, chosen, "gini_index"))
+
+
+@query("open_absence")
+def q_open_absence(spark, sf_dir):
+    """T6, open outages: event types silent for more than 3 minutes at the newest event."""
+    from ..operators.monitoring import open_absences
+
+    ev = D.events(spark, sf_dir).select("ts", "event_type")
+    now = ev.agg(F.max("ts")).first()[0]  # one scalar: the evaluation time
+    return rounded(open_absences(ev, now))

@@ -846,3 +846,9 @@ s AS (
 SELECT event_type, strftime(st, '%Y-%m-%d %H:%M:%S') AS session_start, strftime(en, '%Y-%m-%d %H:%M:%S') AS session_end,
        n AS n_events
 FROM s WHERE en <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
+
+SQL["open_absence"] = f"""
+WITH last AS (SELECT event_type, max(ts) AS last_ts FROM events GROUP BY event_type)
+SELECT event_type, strftime(last_ts, '%Y-%m-%d %H:%M:%S') AS last_seen,
+       {r4("(epoch_us((SELECT max(ts) FROM events)) - epoch_us(last_ts)) / 1e6")} AS silent_seconds
+FROM last WHERE epoch_us((SELECT max(ts) FROM events)) - epoch_us(last_ts) > 180000000"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import ntz_literal
 from ..session import scratch_path
 from ..streaming.drift_stream import run_drift_stream
 from ..streaming.rates import event_stream, rate_stream, run_to_table
@@ -29,7 +30,7 @@ def q_stream_drift_20(spark, sf_dir):
     def reference():
         ev = D.events(spark, sf_dir).select("ts", "value", "event_type")
         first = ev.agg(F.min(F.date_trunc("day", "ts"))).first()[0]
-        return ev.filter(F.datediff(F.date_trunc("day", "ts"), F.lit(first)) < 7)
+        return ev.filter(F.datediff(F.date_trunc("day", "ts"), ntz_literal(first)) < 7)
 
     reports = run_drift_stream(stream, reference, ["value"], ["event_type"], ["ts", "event_id"], root)
     return rounded(reports)

@@ -97,3 +97,17 @@ def test_exact_median_even_count_and_ties(spark):
     assert exact_medians(df, ["x"], buckets=2, collect_limit=1)["x"] == 2.0
     df2 = spark.createDataFrame([(1.0,), (4.0,)], "x double")
     assert exact_medians(df2, ["x"])["x"] == 2.5
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.floats(min_value=-1e6, max_value=1e6, allow_nan=False), min_size=1, max_size=60))
+def test_exact_median_property(spark, vals):
+    import numpy as np
+
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = exact_medians(df, ["x"], buckets=4, collect_limit=5)["x"]
+    assert abs(got - float(np.median(vals))) <= 1e-9 * max(1.0, abs(float(np.median(vals))))

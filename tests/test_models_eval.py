@@ -94,3 +94,12 @@ def test_interval_and_probabilities_a7(spark):
     r = probs.select(argmax_class("c", "p").alias("k"), sorted_probabilities("c", "p").alias("s")).first()
     assert r["k"] == "Lower middle income"
     assert abs(sum(x["p"] for x in r["s"]) - 1.0) < 1e-12
+
+
+def test_run_targets_continues_after_failure_b15(spark):
+    def boom():
+        raise RuntimeError("no data")
+
+    out = RG.run_targets(spark, 1, {"gini": lambda: None, "mobility": boom, "income_group": lambda: None})
+    assert rows(out, "target", "ok") == [("gini", True), ("income_group", True), ("mobility", False)]
+    assert rows(RG.run_status(out), "status") == [("partial_success",)]
