@@ -32,7 +32,7 @@ EXTRA_METRICS = ("mae", "macro_f1", "n_train", "n_test")
 
 
 def version_stages(
-    runs: DataFrame, gates: DataFrame, prefix: str = "income_inequality_", extra: tuple[str, ...] = EXTRA_METRICS
+    runs: DataFrame, gates: DataFrame, prefix: str = "panel_", extra: tuple[str, ...] = EXTRA_METRICS
 ) -> DataFrame:
     """M8 + C10 + J8: ``runs`` has (target, version, metric, value) in long form.
 

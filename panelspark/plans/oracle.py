@@ -680,7 +680,7 @@ vg AS (
 ),
 vp AS (SELECT *, coalesce(metric_value >= gate_min, false) AS passed FROM vg),
 stages AS (
-  SELECT target, 'income_inequality_' || target AS registered_name, CAST(version AS INTEGER) AS version,
+  SELECT target, 'panel_' || target AS registered_name, CAST(version AS INTEGER) AS version,
          CASE WHEN passed AND coalesce(max(CAST(passed AS INTEGER)) OVER (
                 PARTITION BY target ORDER BY version ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) = 1
               THEN 'Archived' WHEN passed THEN 'Production' ELSE 'Staging' END AS stage,
