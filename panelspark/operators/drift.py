@@ -104,8 +104,39 @@ def psi(
     return out.withColumn("drifted", F.col("psi") >= F.lit(threshold))
 
 
-def psi_grouped(
+def reference_profile(
     reference: DataFrame,
+    numeric: Sequence[str],
+    categorical: Sequence[str] = (),
+    bins: int = PSI_BINS,
+    floor: float = PSI_FLOOR,
+) -> tuple[DataFrame, DataFrame]:
+    """Bin edges (one row per numeric feature) and floored shares per reference bin.
+
+    Both tables are small (features; bins x features + categories), so a
+    stream can compute them once and reuse them for every micro-batch.
+    """
+    ref_stack = _stack(reference, numeric, categorical, "reference")
+    ranges = ref_stack.filter(F.col("x").isNotNull()).groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    ref = _binned(ref_stack, ranges, bins).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
+    fl = F.lit(floor)
+    ref = ref.withColumn("q", F.greatest(F.col("n") / F.sum("n").over(Window.partitionBy("feature")), fl))
+    ref = ref.withColumn("_absent", (fl - F.col("q")) * F.log(fl / F.col("q"))).select("feature", "bin", "q", "_absent")
+    return ranges, ref
+
+
+def _binned(stacked: DataFrame, ranges: DataFrame, bins: int) -> DataFrame:
+    width = F.col("hi") - F.col("lo")
+    raw = F.floor((F.col("x") - F.col("lo")) / width * F.lit(float(bins))).cast("int")
+    num_bin = F.when(width > 0, F.greatest(F.least(raw, F.lit(bins - 1)), F.lit(0))).otherwise(F.lit(0))
+    # one row per feature column: bounded by the feature list
+    return stacked.join(F.broadcast(ranges), on="feature", how="left").withColumn(
+        "bin", F.when(F.col("x").isNotNull(), num_bin.cast("string")).otherwise(F.col("cat"))
+    )
+
+
+def psi_grouped(
+    reference: DataFrame | None,
     current: DataFrame,
     by: str,
     numeric: Sequence[str],
@@ -113,33 +144,23 @@ def psi_grouped(
     bins: int = PSI_BINS,
     floor: float = PSI_FLOOR,
     threshold: float = DRIFT_PSI_THRESHOLD,
+    profile: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """D2 for many current groups (reports) against one reference at once.
 
     Bins come from the reference range (current values clamped).  A bin
     missing from a group contributes ``(floor - q) ln(floor / q)``; that sum
     is taken once per feature over all reference bins and corrected for the
-    bins the group has, so no (group x bin) product is ever built.
+    bins the group has, so no (group x bin) product is ever built.  A
+    precomputed ``profile`` (``reference_profile``) replaces the reference.
     """
-    ref_stack = _stack(reference, numeric, categorical, "reference")
-    cur_stack = _stack(current.withColumn("_g", F.col(by)), numeric, categorical, "current", keep=["_g"])
-    ranges = ref_stack.filter(F.col("x").isNotNull()).groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-
-    def binned(df: DataFrame) -> DataFrame:
-        width = F.col("hi") - F.col("lo")
-        raw = F.floor((F.col("x") - F.col("lo")) / width * F.lit(float(bins))).cast("int")
-        num_bin = F.when(width > 0, F.greatest(F.least(raw, F.lit(bins - 1)), F.lit(0))).otherwise(F.lit(0))
-        # one row per feature column: bounded by the feature list
-        return df.join(F.broadcast(ranges), on="feature", how="left").withColumn(
-            "bin", F.when(F.col("x").isNotNull(), num_bin.cast("string")).otherwise(F.col("cat"))
-        )
-
-    ref = binned(ref_stack).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
-    ref = ref.withColumn("q", F.greatest(F.col("n") / F.sum("n").over(Window.partitionBy("feature")), F.lit(floor)))
+    ranges, ref = profile if profile is not None else reference_profile(reference, numeric, categorical, bins, floor)
     fl = F.lit(floor)
-    ref = ref.withColumn("_absent", (fl - F.col("q")) * F.log(fl / F.col("q"))).select("feature", "bin", "q", "_absent")
     absent_all = ref.groupBy("feature").agg(F.sum("_absent").alias("_absent_all"))
-    cur = binned(cur_stack).groupBy(F.col("_g").alias(by), "feature", "bin").agg(F.count(F.lit(1)).alias("n"))
+    cur_stack = _stack(current.withColumn("_g", F.col(by)), numeric, categorical, "current", keep=["_g"])
+    cur = _binned(cur_stack, ranges, bins).groupBy(F.col("_g").alias(by), "feature", "bin").agg(
+        F.count(F.lit(1)).alias("n")
+    )
     cur = cur.withColumn("p", F.greatest(F.col("n") / F.sum("n").over(Window.partitionBy(by, "feature")), fl))
     # reference bins: bounded by bins x features plus the distinct categories
     j = cur.join(F.broadcast(ref), on=["feature", "bin"], how="left")

@@ -25,7 +25,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.drift import psi_grouped
+from ..operators.drift import psi_grouped, reference_profile
 from ..operators.ordering import dense_index
 from ..params import DATASET_DRIFT_SHARE, DRIFT_REFERENCE_MIN_ROWS
 
@@ -57,8 +57,26 @@ def drift_batch_writer(
     """The ``foreachBatch`` function of the count-window drift stream.
 
     ``order[0]`` is the arrival timestamp; rows are numbered inside
-    ``bucket``-wide time buckets (see ``ordering.dense_index``).
+    ``bucket``-wide time buckets (see ``ordering.dense_index``).  The
+    reference profile (bin edges and shares, small) is computed once and
+    recomputed only when the reference table's files change (D6: a
+    retrained feature table is picked up without re-binning it per batch).
     """
+    cache: dict = {}
+
+    def profile():
+        ref = reference()
+        version = tuple(sorted(ref.inputFiles()))
+        if cache.get("version") != version:
+            ranges, shares = reference_profile(ref, numeric, categorical)
+            spark = ref.sparkSession
+            # small tables, materialised once: bins x features rows
+            cache["profile"] = (
+                spark.createDataFrame(ranges.collect(), ranges.schema),
+                spark.createDataFrame(shares.collect(), shares.schema),
+            )
+            cache["version"] = version
+        return cache["profile"]
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -77,8 +95,7 @@ def drift_batch_writer(
             n_full = total // size
             full = numbered.filter(F.col("block") < F.lit(n_full))
             if n_full > 0:
-                ref = reference()
-                per = psi_grouped(ref, full, "block", numeric, categorical)
+                per = psi_grouped(None, full, "block", numeric, categorical, profile=profile())
                 rep = per.groupBy("block").agg(
                     F.count(F.lit(1)).cast("int").alias("n_columns"),
                     F.sum(F.col("drifted").cast("int")).cast("int").alias("n_drifted"),
