@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +79,8 @@ def impute_two_level(
         *[F.coalesce(F.col(c), F.median(F.col(c)).over(w)).alias(c) for c in cols],
     )
     if global_medians is None:
+        # read by the median passes and again by the fill: materialise once
+        filled = filled.persist(StorageLevel.MEMORY_AND_DISK)
         global_medians = exact_medians(filled, cols)
     out = filled.select(
         *[F.col(c) for c in filled.columns if c not in cols],
