@@ -75,6 +75,20 @@ def latency_p95(
     )
 
 
+def latency_p95_all(df: DataFrame, latency: str = "value", ts: str = "ts") -> DataFrame:
+    """T2 over all targets (the alert rule's form): exact P95 per window with the breach flag."""
+    return (
+        df.groupBy(sliding(df, ts).alias("w"))
+        .agg(F.percentile(F.col(latency), 0.95).alias("p95"))
+        .select(
+            F.col("w.start").alias("_start"),
+            _fmt(F.col("w.start")).alias("window_start"),
+            "p95",
+            (F.col("p95") > F.lit(P95_LATENCY_LIMIT)).alias("breach"),
+        )
+    )
+
+
 def error_ratio(df: DataFrame, is_error: Column, ts: str = "ts") -> DataFrame:
     """Error ratio per window over all targets, with the 10 % breach flag."""
     return (

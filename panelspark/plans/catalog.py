@@ -680,3 +680,12 @@ def q_open_absence(spark, sf_dir):
     ev = D.events(spark, sf_dir).select("ts", "event_type")
     now = ev.agg(F.max("ts")).first()[0]  # one scalar: the evaluation time
     return rounded(open_absences(ev, now))
+
+
+@query("latency_alert")
+def q_latency_alert(spark, sf_dir):
+    """T2 + T5: P95 latency over all targets above 2 s in each of 5 consecutive evaluations."""
+    from ..operators.monitoring import latency_p95_all, sustained
+
+    ev = D.events(spark, sf_dir).select("ts", "value")
+    return sustained(latency_p95_all(ev))

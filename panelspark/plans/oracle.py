@@ -852,3 +852,14 @@ WITH last AS (SELECT event_type, max(ts) AS last_ts FROM events GROUP BY event_t
 SELECT event_type, strftime(last_ts, '%Y-%m-%d %H:%M:%S') AS last_seen,
        {r4("(epoch_us((SELECT max(ts) FROM events)) - epoch_us(last_ts)) / 1e6")} AS silent_seconds
 FROM last WHERE epoch_us((SELECT max(ts) FROM events)) - epoch_us(last_ts) > 180000000"""
+
+SQL["latency_alert"] = (
+    WINDOWS
+    + """,
+pw AS (SELECT ws, quantile_cont(value, 0.95) AS p95 FROM w GROUP BY ws),
+ev AS (SELECT ws + to_minutes(CAST(k AS BIGINT)) AS e FROM pw CROSS JOIN range(0, 5) t(k) WHERE p95 > 2.0),
+f AS (SELECT e, count(*) AS n_consecutive FROM ev GROUP BY e HAVING count(*) = 5)
+SELECT strftime(e, '%Y-%m-%d %H:%M:%S') AS eval_start, n_consecutive,
+       NOT EXISTS (SELECT 1 FROM f f2 WHERE f2.e = f.e - INTERVAL 1 MINUTE) AS alert_start
+FROM f"""
+)

@@ -56,3 +56,13 @@ def q_stream_sessions(spark, sf_dir):
     root = scratch_path(spark, "stream-sessions")
     run_to_table(sessions_stream(event_stream(spark, sf_dir).select("ts", "event_type")), f"{root}/out", f"{root}/ck")
     return spark.read.parquet(f"{root}/out")
+
+
+@query("stream_p95")
+def q_stream_p95(spark, sf_dir):
+    """T2 as a stream: approximate P95 latency per target and closed window (rows only)."""
+    from ..streaming.rates import p95_stream
+
+    root = scratch_path(spark, "stream-p95")
+    run_to_table(p95_stream(event_stream(spark, sf_dir).select("ts", "event_type", "value")), f"{root}/out", f"{root}/ck")
+    return rounded(spark.read.parquet(f"{root}/out"))

@@ -104,3 +104,13 @@ def sessions_stream(events: DataFrame, key: str = "event_type", ts: str = "ts",
             "n_events",
         )
     )
+
+
+def p95_stream(events: DataFrame, target: str = "event_type", latency: str = "value", ts: str = "ts") -> DataFrame:
+    """T2 on a stream: approximate P95 per target and closed window (bounded sketch state)."""
+    return (
+        with_event_time(events, ts)
+        .groupBy(F.window(F.col(ts), WINDOW, SLIDE).alias("w"), F.col(target))
+        .agg(F.percentile_approx(F.col(latency), 0.95, 10000).alias("p95"))
+        .select(_display(F.col("w.start")).alias("window_start"), F.col(target), "p95")
+    )
