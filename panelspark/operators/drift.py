@@ -15,9 +15,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import report_stamp
+from ..schemas import DRIFT_REPORT
 from ..params import DATASET_DRIFT_SHARE, DRIFT_PSI_THRESHOLD, MAX_REPORTS_KEPT, PSI_BINS, PSI_FLOOR
 
 
@@ -205,17 +205,7 @@ def drift_report(
     n_cur = current.count()
     spark = current.sparkSession
     if n_cur == 0 or not cols:
-        schema = T.StructType(
-            [
-                T.StructField("report_ts", T.TimestampType()),
-                T.StructField("report_name", T.StringType()),
-                T.StructField("n_current", T.LongType()),
-                T.StructField("n_columns", T.IntegerType()),
-                T.StructField("n_drifted", T.IntegerType()),
-                T.StructField("share_of_drifted_columns", T.DoubleType()),
-                T.StructField("dataset_drift", T.BooleanType()),
-            ]
-        )
+        schema = DRIFT_REPORT
         return spark.createDataFrame([], schema)
     ts = F.current_timestamp() if report_ts is None else F.lit(report_ts).cast("timestamp")
     d = dataset_drift(psi(reference, current, num, cat))

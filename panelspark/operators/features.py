@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import UNKNOWN, category_for_scoring, category_for_training
-from ..schemas import DEFAULT_ROLES, Roles
+from ..schemas import DEFAULT_ROLES, MEDIAN_MAP, Roles
 from .joins import runtime_sized
 from .quantiles import exact_medians
 
@@ -98,7 +98,7 @@ def median_map(panel: DataFrame, columns: Sequence[str], medians: dict[str, floa
     if medians is None:
         medians = exact_medians(panel, list(columns))
     rows = [(c, float(medians[c]) if medians.get(c) is not None else 0.0) for c in columns]
-    return spark.createDataFrame(rows, "feature string, median double")
+    return spark.createDataFrame(rows, MEDIAN_MAP)
 
 
 def category_maps(panel: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -67,7 +67,7 @@ STATIC_MEASURES = T.StructType(
     ]
 )
 
-# Code map: source code -> entity key, with an override flag.
+# Code map: source code -> entity key (J5); overrides are a second table of the same shape.
 CODE_MAP = T.StructType(
     [
         T.StructField("code", T.StringType(), True),
@@ -77,7 +77,7 @@ CODE_MAP = T.StructType(
 
 CATEGORY_MAP = T.StructType(
     [
-        T.StructField("column", T.StringType(), False),
+        T.StructField("feature", T.StringType(), False),
         T.StructField("category", T.StringType(), True),
         T.StructField("code", T.IntegerType(), False),
     ]
@@ -85,7 +85,7 @@ CATEGORY_MAP = T.StructType(
 
 MEDIAN_MAP = T.StructType(
     [
-        T.StructField("column", T.StringType(), False),
+        T.StructField("feature", T.StringType(), False),
         T.StructField("median", T.DoubleType(), False),
     ]
 )
