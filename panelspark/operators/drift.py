@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import report_stamp
+from .joins import runtime_sized
 from ..schemas import DRIFT_REPORT
 from ..params import DATASET_DRIFT_SHARE, DRIFT_PSI_THRESHOLD, MAX_REPORTS_KEPT, PSI_BINS, PSI_FLOOR
 
@@ -162,8 +163,9 @@ def psi_grouped(
         F.count(F.lit(1)).alias("n")
     )
     cur = cur.withColumn("p", F.greatest(F.col("n") / F.sum("n").over(Window.partitionBy(by, "feature")), fl))
-    # reference bins: bounded by bins x features plus the distinct categories
-    j = cur.join(F.broadcast(ref), on=["feature", "bin"], how="left")
+    # reference bins: bins x features plus the distinct categories; the categories are
+    # not bounded in general, so adaptive execution decides from the measured size
+    j = cur.join(runtime_sized(ref), on=["feature", "bin"], how="left")
     q = F.coalesce(F.col("q"), fl)
     per = j.groupBy(by, "feature").agg(
         F.sum((F.col("p") - q) * F.log(F.col("p") / q)).alias("_present"),

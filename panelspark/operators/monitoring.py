@@ -7,8 +7,8 @@ condition (T5) uses the same trick on the breaching evaluations: each
 breach counts for the next ``for`` evaluations, a firing evaluation is one
 that collects all of them.  Gaps between heartbeats (T6) are computed at
 two levels so no key's whole history has to sit in one task: the next
-event inside a (key, day) partition, and across days from a (key, day)
-summary table that holds one row per key and day.
+event inside a (key, hour) partition, and across hours from a (key, hour)
+summary table that holds one row per key and hour.
 """
 
 from __future__ import annotations
@@ -129,8 +129,14 @@ def sustained(breaches: DataFrame, start: str = "_start", keys: tuple[str, ...]
     )
 
 
-def next_event(df: DataFrame, key: str, ts: str, bucket: str = "day") -> DataFrame:
-    """Adds ``_next``: the key's next event time, computed at two levels."""
+def next_event(df: DataFrame, key: str, ts: str, bucket: str = "hour") -> DataFrame:
+    """Adds ``_next``: the key's next event time, computed at two levels.
+
+    Inside a (key, bucket) partition by ``lead``; for the last event of a
+    bucket, the first event of the key's next non-empty bucket, from a
+    summary with one row per key and bucket.  Hour buckets keep a hot key's
+    events spread over many tasks.
+    """
     b = F.date_trunc(bucket, F.col(ts))
     with_b = df.select(F.col(key), F.col(ts), b.alias("_bucket"))
     w_in = Window.partitionBy(key, "_bucket").orderBy(ts)

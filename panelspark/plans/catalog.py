@@ -360,8 +360,8 @@ def q_interval(spark, sf_dir):
     std = regression_metrics(scored, "l_extendedprice", "prediction", by=["l_returnflag"]).select(
         "l_returnflag", "residual_std"
     )
-    # one row per return flag
-    j = scored.join(F.broadcast(std), on="l_returnflag", how="left")
+    # one row per return flag (an aggregate): broadcast decided on its measured size
+    j = scored.join(std, on="l_returnflag", how="left")
     lo, hi = interval_bounds("prediction", "residual_std")
     return rounded(j.select("l_orderkey", "l_linenumber", "prediction", lo.alias("lo"), hi.alias("hi")))
 
