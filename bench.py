@@ -28,7 +28,8 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
     with_models = os.environ.get("BENCH_MODELS", "0") == "1"
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(cpus * 2, 8), app="panelspark-bench")
+    partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", max(cpus * 2, 8)))
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=partitions, app="panelspark-bench")
     spark.sparkContext.setLogLevel("ERROR")
     names = only or [q for q in QUERIES if with_models or q not in MODEL_QUERIES]
     # warm-up (JVM, codegen caches): not timed

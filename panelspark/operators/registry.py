@@ -111,6 +111,19 @@ def run_targets(spark: SparkSession, run: int, jobs: Mapping[str, "callable"]) -
     return spark.createDataFrame(rows, "run int, target string, ok boolean, error string")
 
 
+def serving_versions(stages: DataFrame, serve: str = "production") -> DataFrame:
+    """the version each target serves.
+
+    ``'latest'``: the newest version whatever its stage (a gated-out model is
+    still served, as the original code does); ``'production'``: the newest
+    Production version, no row for a target without one (as documented).
+    """
+    if serve not in ("latest", "production"):
+        raise ValueError("serve must be 'latest' or 'production'")
+    rows = stages if serve == "latest" else stages.filter(F.col("stage") == F.lit("Production"))
+    return latest_per_target(rows).select("target", "version", "stage")
+
+
 def latest_per_target(df: DataFrame, order: str = "version") -> DataFrame:
     """Newest row per target (A5 form over whole rows: versions per target are few)."""
     w = Window.partitionBy("target").orderBy(F.col(order).desc())

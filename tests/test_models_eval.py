@@ -103,3 +103,12 @@ def test_run_targets_continues_after_failure_b15(spark):
     out = RG.run_targets(spark, 1, {"gini": lambda: None, "mobility": boom, "income_group": lambda: None})
     assert rows(out, "target", "ok") == [("gini", True), ("income_group", True), ("mobility", False)]
     assert rows(RG.run_status(out), "status") == [("partial_success",)]
+
+
+def test_serving_version_latest_vs_production_f1(spark):
+    st = spark.createDataFrame(
+        [("gini", 1, "Archived"), ("gini", 2, "Production"), ("gini", 3, "Staging"), ("mobility", 1, "Staging")],
+        "target string, version int, stage string",
+    )
+    assert rows(RG.serving_versions(st, "latest"), "target", "version") == [("gini", 3), ("mobility", 1)]
+    assert rows(RG.serving_versions(st, "production"), "target", "version") == [("gini", 2)]
