@@ -33,6 +33,30 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     )
 
 
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+MAX_SHUFFLE_PARTITIONS = 200_000
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
+    """Spill-aware sizing from the bytes a job reads.
+
+    Sets the initial shuffle partition count to about one per
+    ``target_bytes`` of input (at least the cluster's parallelism, at most
+    200,000) and lets adaptive execution coalesce to ``target_bytes`` after
+    projection and partial aggregation shrink the data; scan splits use the
+    same size.  100 TB gives ~200,000 initial partitions of <= 256 MB, which
+    fit an executor's memory and spill gracefully; skewed partitions are
+    split by the adaptive skew-join rule.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    n = int(min(MAX_SHUFFLE_PARTITIONS, max(cores * 2, -(-input_bytes // target_bytes))))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
+    return n
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster; a scratch one only when unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

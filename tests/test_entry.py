@@ -24,3 +24,18 @@ def test_results_equal_for_one_and_many_shuffle_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert a == b
+
+
+def test_size_shuffles_scales_with_input(spark):
+    from panelspark.session import size_shuffles
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        small = size_shuffles(spark, 10 * 1024 * 1024)
+        big = size_shuffles(spark, 100 * 1024**4)
+        assert small == spark.sparkContext.defaultParallelism * 2
+        assert big == 200_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
