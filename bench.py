@@ -18,7 +18,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from panelspark.plans.all import QUERIES  # noqa: E402
-from panelspark.session import build_session  # noqa: E402
+from panelspark.session import build_session, size_shuffles  # noqa: E402
 
 MODEL_QUERIES = {"gbt_regress", "rf_regress", "rf_classify", "model_metrics", "attribution_topn"}
 
@@ -28,9 +28,15 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
     with_models = os.environ.get("BENCH_MODELS", "0") == "1"
-    partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", max(cpus * 2, 8)))
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=partitions, app="panelspark-bench")
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(cpus * 2, 8), app="panelspark-bench")
     spark.sparkContext.setLogLevel("ERROR")
+    input_bytes = sum(
+        os.path.getsize(os.path.join(root, f)) for root, _, files in os.walk(sf_dir) for f in files if f.endswith(".parquet")
+    )
+    partitions = size_shuffles(spark, input_bytes)
+    if os.environ.get("BENCH_SHUFFLE_PARTITIONS"):
+        partitions = int(os.environ["BENCH_SHUFFLE_PARTITIONS"])
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     names = only or [q for q in QUERIES if with_models or q not in MODEL_QUERIES]
     # warm-up (JVM, codegen caches): not timed
     QUERIES["pivot_mean"](spark, sf_dir).write.format("noop").mode("overwrite").save()
@@ -51,6 +57,7 @@ def main() -> None:
         "queries": timings,
         "sf": float(m.group(1)) if m else sf_dir,
         "cpus": cpus,
+        "shuffle_partitions": partitions,
         "n_queries": len(timings),
     }
     if failed:
