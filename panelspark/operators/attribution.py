@@ -11,9 +11,8 @@ per batch is O(paths x depth^2) vectorised operations.
 The trees come from the saved model (Spark ML writes every node with its
 split, children, prediction and ``rawCount`` = training rows reaching the
 node, i.e. the cover).  The node table is read once on the driver (its size
-is the model's, not the data's), shipped to the executors with the
-function, and the scoring table is processed by ``mapInPandas``: the rows
-never leave Spark.
+is the model's, not the data's), broadcast to the executors, and the
+scoring table is processed by ``mapInPandas``: the rows never leave Spark.
 """
 
 from __future__ import annotations
@@ -194,7 +193,8 @@ def contributions(
     feats = list(features)
     keep = list(keep)
     n_out = len(base)
-    paths = list(paths)
+    # model-sized, shipped once per executor (a closure would travel with every task)
+    paths_bc = df.sparkSession.sparkContext.broadcast(list(paths))
     base = np.asarray(base, dtype=float)
     extra = [c for c in ([class_col] if class_col else []) if c not in keep]
     src = df.select(*keep, *extra, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(feats)])
@@ -214,7 +214,7 @@ def contributions(
                 yield res
                 continue
             x = pdf[xcols].to_numpy(dtype=float)
-            phi = shap_values(x, paths, n_out)
+            phi = shap_values(x, paths_bc.value, n_out)
             k = pdf[class_col].to_numpy(dtype=int) if class_col else np.zeros(len(pdf), dtype=int)
             sel = phi[np.arange(len(pdf)), :, k]
             order = np.argsort(-np.abs(sel), axis=1, kind="stable")[:, :top_n]

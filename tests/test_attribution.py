@@ -67,3 +67,31 @@ def test_nan_goes_right_like_spark():
     base = tree_value(np.zeros(3), 0, set())
     # NaN on feature 0 goes right twice -> leaf 6 (value 7)
     assert abs(base + phi.sum() - 7.0) < 1e-12
+
+
+def test_contributions_add_up_to_prediction_on_spark_models(spark, tmpdir_path):
+    from pyspark.sql import functions as F
+
+    from panelspark.operators.attribution import contributions, load_paths
+    from panelspark.operators.models import fit_classifier, fit_regressor, score_classes
+    from panelspark.plans.model_queries import FEATURES, feature_table
+    from tests.conftest import SF_SMALL
+
+    ft = feature_table(spark, SF_SMALL).persist()
+    small_gbt = {"n_estimators": 8, "max_depth": 4, "learning_rate": 0.1, "subsample": 0.8, "colsample_bytree": "all"}
+    for kind, params in [("gbt", small_gbt), ("rf", {"n_estimators": 6, "max_depth": 5, "min_samples_leaf": 3})]:
+        m = fit_regressor(ft, FEATURES, "gini_index", kind, params)
+        m.write().overwrite().save(f"{tmpdir_path}/{kind}")
+        paths, base = load_paths(spark, f"{tmpdir_path}/{kind}/stages/1_{m.stages[1].uid}", kind)
+        out = contributions(m.transform(ft), FEATURES, paths, base, keep=["entity", "time", "prediction"]).toPandas()
+        assert (out.base_value + out.contribution_sum - out.prediction).abs().max() < 1e-9
+        assert all(len(c) == 5 for c in out.contributions)
+        mags = [[abs(x["value"]) for x in c] for c in out.contributions]
+        assert all(m_ == sorted(m_, reverse=True) for m_ in mags)
+    cls = fit_classifier(ft, FEATURES, "income_group", {"n_estimators": 5, "max_depth": 3, "subsample": 1.0})
+    cls.write().overwrite().save(f"{tmpdir_path}/cls")
+    paths, base = load_paths(spark, f"{tmpdir_path}/cls/stages/2_{cls.stages[2].uid}", "rf_classes")
+    sc = score_classes(cls, ft, "income_group").withColumn("k", F.col("prediction").cast("int"))
+    sc = sc.withColumn("pk", F.col("probability_array")[F.col("k")])
+    out = contributions(sc, FEATURES, paths, base, keep=["entity", "pk"], class_col="k").toPandas()
+    assert (out.base_value + out.contribution_sum - out.pk).abs().max() < 1e-9
