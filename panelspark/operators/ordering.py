@@ -1,35 +1,59 @@
 """Dense arrival numbers without a single-partition window.
 
-Rows are cut into buckets by a coarse key that is monotone in the order
-(e.g. the hour of the timestamp).  Per-bucket row counts form a small table
-(one row per bucket) whose running sum gives each bucket's offset; inside a
-bucket ``row_number`` over (bucket ORDER BY order) gives the position.  The
-result depends only on the data, not on the physical partitioning, so a
-recomputed task (lost executor) yields the same numbers.
+The rows are range-partitioned on the order (Spark samples the order key
+and cuts it into contiguous ranges of about equal row counts), sorted
+inside each range, and numbered there; a small table with one row per
+range (its row count) gives each range's offset by a running sum.  A hot
+hour, key or micro-batch is split over many ranges like any other stretch
+of the order, so no task holds more than about one range.
+
+Spark samples the range bounds anew each time the exchange runs, so the
+numbered rows are written once (a table in the shared checkpoint folder)
+and both the per-range counts and the numbers are read from that one
+copy.  The number of a row is the count of rows before it in the order,
+whatever the range bounds are, so it depends only on the data (a
+recomputed task after a lost executor yields the same numbers) as long as
+``order`` is a total order (break ties with a unique column).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
+# monotonically_increasing_id: partition index above bit 33, row index in the partition below
+_ROW_BITS = 33
 
-def dense_index(df: DataFrame, order: Sequence[str], bucket: Column, out: str = "seq", start: int = 0) -> DataFrame:
+
+def dense_index(
+    df: DataFrame, order: Sequence[str], out: str = "seq", start: int = 0, partitions: int | None = None
+) -> DataFrame:
     """Adds ``out`` = 0-based position of the row in ``order`` (plus ``start``).
 
-    ``bucket`` must be monotone in ``order`` (rows of a lower bucket come first).
+    ``partitions``: number of ranges (default: the session's shuffle
+    partition count, which is sized from the input).
     """
-    b = df.withColumn("_bucket", bucket)
-    counts = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per bucket (time span / bucket width)
-    w_off = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w_off), F.lit(0))).select("_bucket", "_off")
-    w_in = Window.partitionBy("_bucket").orderBy(*order)
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "dense-index")
+    (
+        df.repartitionByRange(n, *order)
+        .sortWithinPartitions(*order)
+        .withColumn("_mid", F.monotonically_increasing_id())
+        .write.parquet(path)
+    )
+    ranged = spark.read.parquet(path).withColumn("_range", F.shiftright(F.col("_mid"), _ROW_BITS))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per range (<= n rows): a global running sum over it is cheap
+    w_off = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
+    pos = F.col("_mid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return (
-        b.withColumn("_pos", F.row_number().over(w_in) - 1)
-        .join(offsets, on="_bucket", how="inner")
-        .withColumn(out, F.col("_off") + F.col("_pos") + F.lit(start))
-        .drop("_bucket", "_pos", "_off")
+        ranged.join(F.broadcast(offsets), on="_range", how="inner")
+        .withColumn(out, F.col("_off") + pos + F.lit(start))
+        .drop("_range", "_mid", "_off")
     )

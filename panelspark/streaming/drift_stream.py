@@ -6,8 +6,9 @@ report against the reference table.  ``foreachBatch`` per micro-batch:
 1. read the kept remainder of the previous batch (the buffer) and add the
    batch;
 2. number the rows densely in arrival order (``ordering.dense_index``:
-   per time bucket, no single-partition window) and cut them into blocks
-   of ``size``;
+   range-partitioned on the order, no single-partition window, a batch
+   inside one hour spreads over all tasks) and cut them into blocks of
+   ``size``;
 3. one PSI job for all full blocks at once (``drift.psi_grouped``) appends
    the report rows;
 4. only then the remainder is written as the new buffer (F15: no row is
@@ -52,12 +53,11 @@ def drift_batch_writer(
     reports_path: str,
     buffer_path: str,
     size: int = DRIFT_REFERENCE_MIN_ROWS,
-    bucket: str = "hour",
 ):
     """The ``foreachBatch`` function of the count-window drift stream.
 
-    ``order[0]`` is the arrival timestamp; rows are numbered inside
-    ``bucket``-wide time buckets (see ``ordering.dense_index``).  The
+    ``order`` is the arrival order (timestamp, then a unique id); rows are
+    numbered over ranges of it (see ``ordering.dense_index``).  The
     reference profile (bin edges and shares, small) is computed once and
     recomputed only when the reference table's files change (D6: a
     retrained feature table is picked up without re-binning it per batch).
@@ -88,7 +88,7 @@ def drift_batch_writer(
             meta = prev.agg(F.max("_reports_before")).first()[0]
             n_reports_before = int(meta or 0)
             rows = prev.select(*cols).unionByName(rows)
-        numbered = dense_index(rows, order, F.date_trunc(bucket, F.col(order[0])), "seq").withColumn("block", F.floor(F.col("seq") / F.lit(size)).cast("long"))
+        numbered = dense_index(rows, order, "seq").withColumn("block", F.floor(F.col("seq") / F.lit(size)).cast("long"))
         numbered = numbered.persist()
         try:
             total = numbered.count()

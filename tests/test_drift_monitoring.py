@@ -72,12 +72,24 @@ def test_absences_cross_day_boundaries(spark):
 
 def test_dense_index_is_dense_and_ordered(spark):
     df = spark.range(0, 5000).select((F.col("id") * 37 % 5000).alias("k"), (F.col("id") % 13).alias("b"))
-    out = dense_index(df, ["k"], F.floor(F.col("k") / 700))
+    out = dense_index(df, ["k"])
     got = [(r["k"], r["seq"]) for r in out.collect()]
     assert sorted(s for _, s in got) == list(range(5000))
     assert all(k == s for k, s in got)
 
 
+def test_dense_index_splits_a_hot_hour(spark):
+    # every row in the same hour (a micro-batch): ranges still split it, numbers stay dense and ordered
+    df = spark.range(0, 3000).select(
+        F.lit(dt.datetime(2024, 1, 1, 5, 0)).cast("timestamp_ntz").alias("ts"), ((F.col("id") * 7919) % 3000).alias("event_id")
+    )
+    out = dense_index(df, ["ts", "event_id"], start=10, partitions=6)
+    got = sorted((r["event_id"], r["seq"]) for r in out.collect())
+    assert got == [(i, i + 10) for i in range(3000)]
+    parts = df.repartitionByRange(6, "ts", "event_id").rdd.glom().map(len).collect()
+    assert max(parts) < 3000  # the hour is cut into several ranges
+
+
 def test_sliding_windows_count_each_event_five_times(spark):
     df = spark.createDataFrame([("a", dt.datetime(2024, 1, 1, 0, 3, 30))], "event_type string, ts timestamp_ntz")
     out = MO.request_rate(df)
