@@ -5,18 +5,18 @@ expand into the five windows an event belongs to, then a partial
 aggregated groupBy): no per-key ordering, no single task.  The sustained
 condition (T5) uses the same trick on the breaching evaluations: each
 breach counts for the next ``for`` evaluations, a firing evaluation is one
-that collects all of them.  Gaps between heartbeats (T6) are computed at
-two levels so no key's whole history has to sit in one task: the next
-event inside a (key, hour) partition, and across hours from a (key, hour)
-summary table that holds one row per key and hour.
+that collects all of them.  Gaps between heartbeats (T6) come from the
+next row in (key, time) order over range partitions of that order, so no
+key's whole history (nor a hot hour of it) has to sit in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import runtime_sized
+from .ordering import next_in_order
 
 WINDOW = "5 minutes"
 SLIDE = "1 minute"
@@ -129,27 +129,16 @@ def sustained(breaches: DataFrame, start: str = "_start", keys: tuple[str, ...]
     )
 
 
-def next_event(df: DataFrame, key: str, ts: str, bucket: str = "hour") -> DataFrame:
-    """Adds ``_next``: the key's next event time, computed at two levels.
+def next_event(df: DataFrame, key: str, ts: str) -> DataFrame:
+    """Adds ``_next``: the key's next event time.
 
-    Inside a (key, bucket) partition by ``lead``; for the last event of a
-    bucket, the first event of the key's next non-empty bucket, from a
-    summary with one row per key and bucket.  Hour buckets keep a hot key's
-    events spread over many tasks.
+    The events are cut into contiguous ranges of the (key, time) order
+    (``ordering.next_in_order``), so a hot key is spread over many tasks;
+    the following row belongs to the same key or the key has no next event.
     """
-    b = F.date_trunc(bucket, F.col(ts))
-    with_b = df.select(F.col(key), F.col(ts), b.alias("_bucket"))
-    w_in = Window.partitionBy(key, "_bucket").orderBy(ts)
-    inner = with_b.withColumn("_next_in", F.lead(F.col(ts)).over(w_in))
-    # one row per key and bucket
-    days = with_b.groupBy(key, "_bucket").agg(F.min(ts).alias("_first"))
-    w_days = Window.partitionBy(key).orderBy("_bucket")
-    days = days.withColumn("_next_first", F.lead("_first").over(w_days)).select(key, "_bucket", "_next_first")
-    return (
-        inner.join(days, on=[key, "_bucket"], how="left")
-        .withColumn("_next", F.coalesce(F.col("_next_in"), F.col("_next_first")))
-        .drop("_next_in", "_next_first", "_bucket")
-    )
+    nxt = next_in_order(df.select(key, ts), [key, ts], [key, ts])
+    same = F.col(f"_next_{key}").eqNullSafe(F.col(key))
+    return nxt.select(key, ts, F.when(same, F.col(f"_next_{ts}")).alias("_next"))
 
 
 def absences(df: DataFrame, key: str = "event_type", ts: str = "ts", gap_minutes: int = 3) -> DataFrame:

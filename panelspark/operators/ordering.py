@@ -29,31 +29,64 @@ from ..session import scratch_path
 _ROW_BITS = 33
 
 
-def dense_index(
-    df: DataFrame, order: Sequence[str], out: str = "seq", start: int = 0, partitions: int | None = None
-) -> DataFrame:
-    """Adds ``out`` = 0-based position of the row in ``order`` (plus ``start``).
+def ranged(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """The rows with ``_range`` (index of their contiguous range of the order)
+    and ``_pos`` (position inside the range), written once and read back.
 
     ``partitions``: number of ranges (default: the session's shuffle
     partition count, which is sized from the input).
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = scratch_path(spark, "dense-index")
+    path = scratch_path(spark, "ranges")
     (
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
         .withColumn("_mid", F.monotonically_increasing_id())
         .write.parquet(path)
     )
-    ranged = spark.read.parquet(path).withColumn("_range", F.shiftright(F.col("_mid"), _ROW_BITS))
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    mid = F.col("_mid")
+    return spark.read.parquet(path).select(
+        *df.columns,
+        F.shiftright(mid, _ROW_BITS).alias("_range"),
+        mid.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("_pos"),
+    )
+
+
+def dense_index(
+    df: DataFrame, order: Sequence[str], out: str = "seq", start: int = 0, partitions: int | None = None
+) -> DataFrame:
+    """Adds ``out`` = 0-based position of the row in ``order`` (plus ``start``)."""
+    r = ranged(df, order, partitions)
+    counts = r.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     # one row per range (<= n rows): a global running sum over it is cheap
     w_off = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_range", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
-    pos = F.col("_mid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return (
-        ranged.join(F.broadcast(offsets), on="_range", how="inner")
-        .withColumn(out, F.col("_off") + pos + F.lit(start))
-        .drop("_range", "_mid", "_off")
+        r.join(F.broadcast(offsets), on="_range", how="inner")
+        .withColumn(out, F.col("_off") + F.col("_pos") + F.lit(start))
+        .drop("_range", "_pos", "_off")
+    )
+
+
+def next_in_order(df: DataFrame, order: Sequence[str], values: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Adds ``_next_<c>`` for each of ``values``: the columns of the following
+    row in ``order`` (null for the last row).
+
+    Inside a range by ``lead``; for the last row of a range, the first row
+    of the next non-empty range, from a table with one row per range.
+    """
+    r = ranged(df, order, partitions)
+    w = Window.partitionBy("_range").orderBy("_pos")
+    inner = r.select(
+        *df.columns,
+        "_range",
+        F.lead("_pos").over(w).isNull().alias("_last"),
+        *[F.lead(c).over(w).alias(f"_in_{c}") for c in values],
+    )
+    w_r = Window.orderBy("_range")  # one row per range (<= n rows)
+    firsts = r.filter(F.col("_pos") == 0).select("_range", *[F.lead(c).over(w_r).alias(f"_nr_{c}") for c in values])
+    return inner.join(F.broadcast(firsts), on="_range", how="left").select(
+        *df.columns,
+        *[F.when(F.col("_last"), F.col(f"_nr_{c}")).otherwise(F.col(f"_in_{c}")).alias(f"_next_{c}") for c in values],
     )
