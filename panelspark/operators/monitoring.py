@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .joins import runtime_sized
 from .ordering import next_in_order
+from .quantiles import grouped_percentile
 
 WINDOW = "5 minutes"
 SLIDE = "1 minute"
@@ -53,39 +54,36 @@ def latency_p95(
 ) -> DataFrame:
     """P95 latency per target and window, with the 2 s breach flag.
 
-    Exact and interpolated by default (Spark's ``percentile`` keeps a value
-    map per window and target); ``approx=True`` switches to
-    ``percentile_approx`` (bounded sketch per group) for windows too hot to
-    hold their distinct latencies in one task.
+    Exact and interpolated by default (``quantiles.grouped_percentile``:
+    ranks from (window, target, latency) counts over range partitions, so
+    a hot window is spread over many tasks); ``approx=True`` switches to
+    ``percentile_approx`` (bounded sketch per group, one pass).
     """
-    p95 = (
-        F.percentile_approx(F.col(latency), 0.95, 10000).cast("double")
-        if approx
-        else F.percentile(F.col(latency), 0.95)
-    )
-    return (
-        df.groupBy(sliding(df, ts).alias("w"), F.col(target))
-        .agg(p95.alias("p95"))
-        .select(
-            _fmt(F.col("w.start")).alias("window_start"),
-            F.col(target),
-            "p95",
-            (F.col("p95") > F.lit(P95_LATENCY_LIMIT)).alias("breach"),
+    if approx:
+        p95 = (
+            df.groupBy(sliding(df, ts).alias("w"), F.col(target))
+            .agg(F.percentile_approx(F.col(latency), 0.95, 10000).cast("double").alias("p95"))
+            .select(F.col("w.start").alias("_start"), target, "p95")
         )
+    else:
+        ev = df.select(sliding(df, ts)["start"].alias("_start"), F.col(target), F.col(latency))
+        p95 = grouped_percentile(ev, ["_start", target], latency, 0.95, "p95")
+    return p95.select(
+        _fmt(F.col("_start")).alias("window_start"),
+        F.col(target),
+        "p95",
+        (F.col("p95") > F.lit(P95_LATENCY_LIMIT)).alias("breach"),
     )
 
 
 def latency_p95_all(df: DataFrame, latency: str = "value", ts: str = "ts") -> DataFrame:
     """T2 over all targets (the alert rule's form): exact P95 per window with the breach flag."""
-    return (
-        df.groupBy(sliding(df, ts).alias("w"))
-        .agg(F.percentile(F.col(latency), 0.95).alias("p95"))
-        .select(
-            F.col("w.start").alias("_start"),
-            _fmt(F.col("w.start")).alias("window_start"),
-            "p95",
-            (F.col("p95") > F.lit(P95_LATENCY_LIMIT)).alias("breach"),
-        )
+    ev = df.select(sliding(df, ts)["start"].alias("_start"), F.col(latency))
+    return grouped_percentile(ev, ["_start"], latency, 0.95, "p95").select(
+        "_start",
+        _fmt(F.col("_start")).alias("window_start"),
+        "p95",
+        (F.col("p95") > F.lit(P95_LATENCY_LIMIT)).alias("breach"),
     )
 
 

@@ -178,3 +178,80 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], prob: float, **kw) -> di
 def exact_medians(df: DataFrame, cols: Sequence[str], **kw) -> dict[str, float | None]:
     """Exact interpolating median per column (mean of the two middle values)."""
     return exact_quantiles(df, cols, 0.5, **kw)
+
+
+# Own choice: rows a group may hold for Spark's one-task percentile (value -> count map of <= this many entries).
+GROUP_PERCENTILE_ROWS = 5_000_000
+
+
+def grouped_percentile(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    p: float,
+    out: str = "percentile",
+    max_group_rows: int | None = GROUP_PERCENTILE_ROWS,
+) -> DataFrame:
+    """Exact percentile of ``value`` per group of ``keys`` (Spark's ``percentile``:
+    linear interpolation between the values at ranks floor and ceil of
+    ``p * (n - 1)``, nulls ignored, null for a group without values).
+
+    ``percentile`` keeps a value -> count map per group and merges it in one
+    task, so a hot group (a window holding a third of all rows) is unbounded
+    there.  One partial-aggregated count per group checks the largest
+    group: when it holds at most ``max_group_rows`` rows (``None``: no check,
+    always the ranged path) the map is bounded and ``percentile``
+    runs in one pass.  Beyond
+    that bound the (group, value) counts are partial-aggregated, cut into
+    contiguous ranges of the (group, value) order (``ordering.ranged``, a hot
+    group spans many ranges), ranked by running sums inside each range plus
+    a per (range, group) offset table, and only the two rows that hold the
+    wanted ranks are kept per group.
+    """
+    from pyspark.sql import Window
+
+    from .ordering import ranged
+
+    keys = list(keys)
+    if max_group_rows is not None:
+        largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+        if largest is None or largest <= max_group_rows:
+            return df.groupBy(*keys).agg(F.percentile(F.col(value), p).alias(out))
+    g = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_rows"))
+    c = F.when(F.col(value).isNull(), F.lit(0)).otherwise(F.col("_rows"))
+    r = ranged(g.withColumn("_c", c).drop("_rows"), [*keys, value])
+    # rank of the first copy of each value inside its (range, group) piece
+    w_in = Window.partitionBy("_range", *keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = r.withColumn("_before", F.coalesce(F.sum("_c").over(w_in), F.lit(0)))
+    # one row per (range, group) piece: <= ranges + groups rows, a group's pieces <= ranges
+    pieces = r.groupBy("_range", *keys).agg(F.sum("_c").alias("_pc"))
+    w_prev = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(
+        "_range",
+        *keys,
+        F.coalesce(F.sum("_pc").over(w_prev), F.lit(0)).alias("_off"),
+        F.sum("_pc").over(Window.partitionBy(*keys)).alias("_n"),
+    )
+    pos = (F.col("_n") - F.lit(1)).cast("double") * F.lit(float(p))
+    ranked = (
+        rows.join(pieces, on=["_range", *keys], how="inner")
+        .withColumn("_first", F.col("_off") + F.col("_before"))
+        .withColumn("_lo", F.floor(pos))
+        .withColumn("_hi", F.ceil(pos))
+    )
+
+    def covers(rank: str):
+        return (F.col("_c") > 0) & (F.col("_first") <= F.col(rank)) & (F.col(rank) < F.col("_first") + F.col("_c"))
+
+    picked = ranked.filter(covers("_lo") | covers("_hi")).groupBy(*keys).agg(
+        F.max(F.when(covers("_lo"), F.col(value))).alias("_lv"),
+        F.max(F.when(covers("_hi"), F.col(value))).alias("_hv"),
+        F.first("_n").alias("_n"),
+    )
+    groups = pieces.select(*keys).distinct()
+    posp = (F.col("_n") - F.lit(1)).cast("double") * F.lit(float(p))
+    lo, hi = F.floor(posp), F.ceil(posp)
+    lv, hv = F.col("_lv").cast("double"), F.col("_hv").cast("double")
+    interp = (hi - posp) * lv + (posp - lo) * hv
+    res = F.when((hi == lo) | (lv == hv), lv).otherwise(interp)
+    return groups.join(picked, on=keys, how="left").select(*keys, res.alias(out))

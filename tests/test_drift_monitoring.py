@@ -94,3 +94,37 @@ def test_sliding_windows_count_each_event_five_times(spark):
     df = spark.createDataFrame([("a", dt.datetime(2024, 1, 1, 0, 3, 30))], "event_type string, ts timestamp_ntz")
     out = MO.request_rate(df)
     assert out.count() == 5 and {r["n"] for r in out.collect()} == {1}
+
+
+def test_grouped_percentile_ranged_path_matches_spark(spark):
+    from panelspark.operators.quantiles import grouped_percentile
+
+    # group 0 holds a third of the rows; group 99 has only a null value
+    df = spark.range(0, 6000).select(
+        F.when(F.col("id") < 2000, F.lit(0)).otherwise(F.col("id") % 17).alias("g"),
+        F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.round(F.rand(7) * 100, 2)).alias("v"),
+    )
+    df = df.unionByName(spark.createDataFrame([(99, None)], "g long, v double"))
+    for p in (0.95, 0.5, 0.0, 1.0):
+        want = {r["g"]: r["q"] for r in df.groupBy("g").agg(F.percentile("v", p).alias("q")).collect()}
+        for bound in (None, 10**9):
+            got = {r["g"]: r["q"] for r in grouped_percentile(df, ["g"], "v", p, "q", max_group_rows=bound).collect()}
+            assert got.keys() == want.keys()
+            for k, w in want.items():
+                assert (got[k] is None and w is None) or abs(got[k] - w) < 1e-9, (p, bound, k)
+
+
+def test_absences_of_a_hot_key_over_many_ranges(spark):
+    import random
+
+    rnd = random.Random(3)
+    t0 = dt.datetime(2024, 1, 1)
+    ts = sorted(t0 + dt.timedelta(seconds=rnd.randint(0, 40 * 3600)) for _ in range(1500))
+    data = [("hot", t) for t in ts] + [("cold", t0), ("cold", t0 + dt.timedelta(hours=5))]
+    df = spark.createDataFrame(data, "event_type string, ts timestamp_ntz")
+    want = []
+    for key in ("cold", "hot"):
+        s = sorted(t for k, t in data if k == key)
+        want += [(key, (b - a).total_seconds()) for a, b in zip(s, s[1:]) if (b - a).total_seconds() > 180]
+    got = sorted((r["event_type"], r["gap_seconds"]) for r in MO.absences(df).collect())
+    assert got == sorted(want)
