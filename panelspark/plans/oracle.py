@@ -863,3 +863,55 @@ SELECT strftime(e, '%Y-%m-%d %H:%M:%S') AS eval_start, n_consecutive,
        NOT EXISTS (SELECT 1 FROM f f2 WHERE f2.e = f.e - INTERVAL 1 MINUTE) AS alert_start
 FROM f"""
 )
+
+
+def _psi_bin(alias: str) -> str:
+    return f"""CASE WHEN {alias}.x IS NOT NULL THEN CAST(
+           CASE WHEN rng.hi - rng.lo > 0
+                THEN greatest(least(CAST(floor(({alias}.x - rng.lo) / (rng.hi - rng.lo) * CAST(10 AS DOUBLE)) AS INTEGER), 9), 0)
+                ELSE 0 END AS VARCHAR)
+         ELSE {alias}.cat END"""
+
+
+# T4 + D4: a report per 20 rows in (ts, event_id) order against the first week; bins from the reference
+SQL["stream_drift_20"] = f"""
+WITH ev AS (SELECT event_id, ts, value, event_type FROM events),
+fd AS (SELECT min(date_trunc('day', ts)) AS d FROM ev),
+ref AS (SELECT value, event_type FROM ev, fd WHERE date_diff('day', fd.d, date_trunc('day', ev.ts)) < 7),
+rst AS (
+  SELECT 'value' AS feature, CAST(value AS DOUBLE) AS x, CAST(NULL AS VARCHAR) AS cat FROM ref
+  UNION ALL SELECT 'event_type', NULL, event_type FROM ref
+),
+rs AS (SELECT * FROM rst WHERE x IS NOT NULL OR cat IS NOT NULL),
+rng AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM rs WHERE x IS NOT NULL GROUP BY feature),
+rb AS (SELECT rs.feature, {_psi_bin("rs")} AS bin FROM rs LEFT JOIN rng ON rs.feature = rng.feature),
+rc AS (SELECT feature, bin, count(*) AS n FROM rb GROUP BY feature, bin),
+rq AS (SELECT feature, bin, greatest(n / sum(n) OVER (PARTITION BY feature), 1e-4) AS q FROM rc),
+aa AS (SELECT feature, sum((1e-4 - q) * ln(1e-4 / q)) AS absent_all FROM rq GROUP BY feature),
+num AS (SELECT value, event_type, row_number() OVER (ORDER BY ts, event_id) - 1 AS seq FROM ev),
+cur AS (
+  SELECT CAST(floor(seq / 20) AS BIGINT) AS block, value, event_type FROM num
+  WHERE floor(seq / 20) < (SELECT count(*) // 20 FROM ev)
+),
+cst AS (
+  SELECT block, 'value' AS feature, CAST(value AS DOUBLE) AS x, CAST(NULL AS VARCHAR) AS cat FROM cur
+  UNION ALL SELECT block, 'event_type', NULL, event_type FROM cur
+),
+cs AS (SELECT * FROM cst WHERE x IS NOT NULL OR cat IS NOT NULL),
+cb AS (SELECT cs.block, cs.feature, {_psi_bin("cs")} AS bin FROM cs LEFT JOIN rng ON cs.feature = rng.feature),
+cc AS (SELECT block, feature, bin, count(*) AS n FROM cb GROUP BY block, feature, bin),
+cp AS (SELECT block, feature, bin, greatest(n / sum(n) OVER (PARTITION BY block, feature), 1e-4) AS p FROM cc),
+per AS (
+  SELECT cp.block, cp.feature,
+         sum((cp.p - coalesce(rq.q, 1e-4)) * ln(cp.p / coalesce(rq.q, 1e-4))) AS present,
+         sum(coalesce((1e-4 - rq.q) * ln(1e-4 / rq.q), 0.0)) AS absent_seen
+  FROM cp LEFT JOIN rq ON cp.feature = rq.feature AND cp.bin = rq.bin
+  GROUP BY cp.block, cp.feature
+),
+ps AS (SELECT per.block, per.present + aa.absent_all - per.absent_seen >= 0.2 AS drifted
+       FROM per LEFT JOIN aa ON per.feature = aa.feature)
+SELECT block AS report_no, CAST(20 AS INTEGER) AS n_rows, CAST(count(*) AS INTEGER) AS n_columns,
+       CAST(sum(CAST(drifted AS INTEGER)) AS INTEGER) AS n_drifted,
+       {r4("avg(CAST(drifted AS DOUBLE))")} AS share_of_drifted_columns,
+       avg(CAST(drifted AS DOUBLE)) >= 0.5 AS dataset_drift
+FROM ps GROUP BY block"""
