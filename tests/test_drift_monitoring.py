@@ -128,3 +128,15 @@ def test_absences_of_a_hot_key_over_many_ranges(spark):
         want += [(key, (b - a).total_seconds()) for a, b in zip(s, s[1:]) if (b - a).total_seconds() > 180]
     got = sorted((r["event_type"], r["gap_seconds"]) for r in MO.absences(df).collect())
     assert got == sorted(want)
+
+
+def test_ranged_order_with_more_ranges_than_rows(spark):
+    from panelspark.operators.ordering import next_in_order
+
+    df = spark.createDataFrame([("a", 3), ("b", 1), ("a", 1), ("c", 7), ("a", 2)], "k string, t int")
+    seq = sorted((r["k"], r["t"], r["seq"]) for r in dense_index(df, ["k", "t"], partitions=16).collect())
+    assert seq == [("a", 1, 0), ("a", 2, 1), ("a", 3, 2), ("b", 1, 3), ("c", 7, 4)]
+    nxt = sorted(
+        (r["k"], r["t"], r["_next_k"], r["_next_t"]) for r in next_in_order(df, ["k", "t"], ["k", "t"], partitions=16).collect()
+    )
+    assert nxt == [("a", 1, "a", 2), ("a", 2, "a", 3), ("a", 3, "b", 1), ("b", 1, "c", 7), ("c", 7, None, None)]
