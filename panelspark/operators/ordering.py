@@ -29,6 +29,10 @@ from ..session import scratch_path
 _ROW_BITS = 33
 
 
+def _c(name: str):
+    return F.col(f"`{name}`")
+
+
 def ranged(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:
     """The rows with ``_range`` (index of their contiguous range of the order)
     and ``_pos`` (position inside the range), written once and read back.
@@ -47,7 +51,7 @@ def ranged(df: DataFrame, order: Sequence[str], partitions: int | None = None) -
     )
     mid = F.col("_mid")
     return spark.read.parquet(path).select(
-        *df.columns,
+        *[_c(c) for c in df.columns],
         F.shiftright(mid, _ROW_BITS).alias("_range"),
         mid.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("_pos"),
     )
@@ -79,14 +83,14 @@ def next_in_order(df: DataFrame, order: Sequence[str], values: Sequence[str], pa
     r = ranged(df, order, partitions)
     w = Window.partitionBy("_range").orderBy("_pos")
     inner = r.select(
-        *df.columns,
+        *[_c(c) for c in df.columns],
         "_range",
         F.lead("_pos").over(w).isNull().alias("_last"),
-        *[F.lead(c).over(w).alias(f"_in_{c}") for c in values],
+        *[F.lead(_c(c)).over(w).alias(f"_in_{c}") for c in values],
     )
     w_r = Window.orderBy("_range")  # one row per range (<= n rows)
-    firsts = r.filter(F.col("_pos") == 0).select("_range", *[F.lead(c).over(w_r).alias(f"_nr_{c}") for c in values])
+    firsts = r.filter(F.col("_pos") == 0).select("_range", *[F.lead(_c(c)).over(w_r).alias(f"_nr_{c}") for c in values])
     return inner.join(F.broadcast(firsts), on="_range", how="left").select(
-        *df.columns,
-        *[F.when(F.col("_last"), F.col(f"_nr_{c}")).otherwise(F.col(f"_in_{c}")).alias(f"_next_{c}") for c in values],
+        *[_c(c) for c in df.columns],
+        *[F.when(F.col("_last"), _c(f"_nr_{c}")).otherwise(_c(f"_in_{c}")).alias(f"_next_{c}") for c in values],
     )
