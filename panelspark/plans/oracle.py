@@ -915,3 +915,23 @@ SELECT block AS report_no, CAST(20 AS INTEGER) AS n_rows, CAST(count(*) AS INTEG
        {r4("avg(CAST(drifted AS DOUBLE))")} AS share_of_drifted_columns,
        avg(CAST(drifted AS DOUBLE)) >= 0.5 AS dataset_drift
 FROM ps GROUP BY block"""
+
+# T2 stream: percentile_approx(value, 0.95, 10000) keeps every value while a group holds fewer than
+# 5,000 of them (no sketch compression below 2 * count / 10000 < 1), and then returns the value at
+# 1-based rank ceil(0.95 * n); the windows of the test scales are far below that size.
+SQL["stream_p95"] = (
+    WINDOWS
+    + f""",
+closed AS (
+  SELECT * FROM w WHERE ws + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
+),
+g AS (SELECT ws, event_type, count(value) AS n FROM closed GROUP BY ws, event_type),
+r AS (
+  SELECT ws, event_type, value, row_number() OVER (PARTITION BY ws, event_type ORDER BY value) AS rn
+  FROM closed WHERE value IS NOT NULL
+)
+SELECT strftime(g.ws, '%Y-%m-%d %H:%M:%S') AS window_start, g.event_type, {r4('r.value')} AS p95
+FROM g LEFT JOIN r
+  ON r.ws = g.ws AND r.event_type = g.event_type
+ AND r.rn = greatest(CAST(ceil(CAST(0.95 AS DOUBLE) * g.n) AS BIGINT), 1)"""
+)

@@ -60,7 +60,7 @@ def q_stream_sessions(spark, sf_dir):
 
 @query("stream_p95")
 def q_stream_p95(spark, sf_dir):
-    """T2 as a stream: approximate P95 latency per target and closed window (rows only)."""
+    """T2 as a stream: approximate P95 latency per target and closed window."""
     from ..streaming.rates import p95_stream
 
     root = scratch_path(spark, "stream-p95")
