@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import UNKNOWN, category_for_scoring, category_for_training
 from ..schemas import DEFAULT_ROLES, MEDIAN_MAP, Roles
 from .joins import runtime_sized
+from .ordering import dense_index
 from .quantiles import exact_medians
 
 
@@ -105,13 +106,19 @@ def category_maps(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column, distinct categories sorted, dense code from 0; null -> UNKNOWN.
 
     Binary string order equals Python's sorted() on str (code points).  The
-    distinct set is small; the window is over it, not over the panel.
+    distinct pairs are numbered over range partitions of (feature, category)
+    (``ordering.dense_index``), so a high-cardinality column is not ranked in
+    one task; a code is the pair's number minus its feature's first number
+    (a table with one row per feature).
     """
     pairs = [F.struct(F.lit(c).alias("feature"), category_for_training(c).alias("category")) for c in columns]
     # one pass over the panel: (feature, category) pairs, de-duplicated map-side
     stacked = panel.select(F.explode(F.array(*pairs)).alias("s")).select("s.feature", "s.category").distinct()
-    w = Window.partitionBy("feature").orderBy("category")
-    return stacked.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
+    numbered = dense_index(stacked, ["feature", "category"], "_seq")
+    first = numbered.groupBy("feature").agg(F.min("_seq").alias("_first"))  # one row per feature column
+    return numbered.join(F.broadcast(first), on="feature", how="inner").select(
+        "feature", "category", (F.col("_seq") - F.col("_first")).cast("int").alias("code")
+    )
 
 
 def encode(
