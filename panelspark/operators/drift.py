@@ -94,8 +94,11 @@ def psi(
         "bin", F.when(F.col("x").isNotNull(), num_bin.cast("string")).otherwise(F.col("cat"))
     )
     counts = binned.groupBy("side", "feature", "bin").agg(F.count(F.lit(1)).alias("n"))
-    totals = Window.partitionBy("side", "feature")
-    shares = counts.withColumn("share", F.col("n") / F.sum("n").over(totals))
+    # totals per side and feature column (bounded by the feature list), not a window over all its categories
+    totals = counts.groupBy("side", "feature").agg(F.sum("n").alias("_total"))
+    shares = counts.join(F.broadcast(totals), on=["side", "feature"], how="inner").withColumn(
+        "share", F.col("n") / F.col("_total")
+    )
     ref = shares.filter(F.col("side") == "reference").select("feature", "bin", F.col("share").alias("q"))
     cur = shares.filter(F.col("side") == "current").select("feature", "bin", F.col("share").alias("p"))
     j = ref.join(cur, on=["feature", "bin"], how="full_outer")
@@ -121,7 +124,9 @@ def reference_profile(
     ranges = ref_stack.filter(F.col("x").isNotNull()).groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     ref = _binned(ref_stack, ranges, bins).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
     fl = F.lit(floor)
-    ref = ref.withColumn("q", F.greatest(F.col("n") / F.sum("n").over(Window.partitionBy("feature")), fl))
+    totals = ref.groupBy("feature").agg(F.sum("n").alias("_total"))  # one row per feature column
+    ref = ref.join(F.broadcast(totals), on="feature", how="inner")
+    ref = ref.withColumn("q", F.greatest(F.col("n") / F.col("_total"), fl))
     ref = ref.withColumn("_absent", (fl - F.col("q")) * F.log(fl / F.col("q"))).select("feature", "bin", "q", "_absent")
     return ranges, ref
 
