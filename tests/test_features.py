@@ -111,3 +111,14 @@ def test_exact_median_property(spark, vals):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     got = exact_medians(df, ["x"], buckets=4, collect_limit=5)["x"]
     assert abs(got - float(np.median(vals))) <= 1e-9 * max(1.0, abs(float(np.median(vals))))
+
+
+def test_category_codes_dense_per_feature_over_many_ranges(spark):
+    from panelspark.operators.features import category_maps
+
+    data = [(f"r{i % 300:03d}", f"g{i % 7}") for i in range(900)]
+    panel = spark.createDataFrame(data, "region string, income_group_lag1 string")
+    got = {(r["feature"], r["category"]): r["code"] for r in category_maps(panel, ["region", "income_group_lag1"]).collect()}
+    for feature, cats in (("region", {r for r, _ in data}), ("income_group_lag1", {g for _, g in data})):
+        want = {(feature, c): i for i, c in enumerate(sorted(cats))}
+        assert {k: v for k, v in got.items() if k[0] == feature} == want
