@@ -129,42 +129,35 @@ def sketches(measured: DataFrame, lang: Column, source: Column) -> DataFrame:
 
 
 def fences(sketch: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """One row per (lang, source): ``<rule>_lo`` and ``<rule>_hi`` of every rule,
+    """One row per (lang, source): ``f_<rule>_lo`` and ``f_<rule>_hi`` of every rule,
     from the finest of group, language and corpus with ``min_support`` documents."""
-    def quantiles(level: str, *keys: str) -> DataFrame:
+
+    def quartiles(*keys: str) -> DataFrame:
         merged = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
         part = Window.partitionBy(*keys, "rule")
         up_to = part.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ranked = merged.select(*keys, "rule", "bucket", F.sum("n").over(up_to).alias("c"), F.sum("n").over(part).alias("total"))
-        q = ranked.groupBy(*keys, "rule").agg(
-            F.min(F.when(4 * F.col("c") >= F.col("total"), F.col("bucket"))).alias("q1"),
-            F.min(F.when(2 * F.col("c") >= F.col("total"), F.col("bucket"))).alias("q2"),
-            F.max("total").alias("total"),
-        )
-        least = F.create_map(*[x for r in rules() for x in (F.lit(r.name), F.lit(r.least_spread))])
-        spread = F.greatest(F.col("q2") - F.col("q1"), least[F.col("rule")])
-        sided = F.col("rule").isin([r.name for r in rules() if r.both_sides])
-        return q.groupBy(*keys).agg(
-            F.max("total").alias(f"{level}_total"),
-            *[F.max(F.when(F.col("rule") == r.name, F.col("q2") + REACH * spread)).alias(f"{level}_{r.name}_hi") for r in rules()],
-            *[F.max(F.when((F.col("rule") == r.name) & sided, F.col("q2") - REACH * spread)).alias(f"{level}_{r.name}_lo") for r in rules()],
-        )
-
-    own, by_lang, corpus = quantiles("own", "lang", "source"), quantiles("lang", "lang"), quantiles("all")
-    by_lang = by_lang.withColumnRenamed("lang", "l_lang")
-    joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left").join(
-        corpus.withColumn("one", F.lit(1)), F.lit(1) == F.col("one"), "left"
-    )
-
-    def pick(name: str) -> Column:
-        return (
-            F.when(F.col("own_total") >= min_support, F.col(f"own_{name}"))
-            .when(F.col("lang_total") >= min_support, F.col(f"lang_{name}"))
-            .otherwise(F.col(f"all_{name}"))
+        return ranked.groupBy(*keys, "rule").agg(
+            F.struct(
+                F.max("total").alias("n"),
+                F.min(F.when(4 * F.col("c") >= F.col("total"), F.col("bucket"))).alias("q1"),
+                F.min(F.when(2 * F.col("c") >= F.col("total"), F.col("bucket"))).alias("q2"),
+            ).alias("q")
         )
 
-    ends = [f"{r.name}_{end}" for r in rules() for end in ("lo", "hi")]
-    return joined.select("lang", "source", *[pick(e).alias(f"f_{e}") for e in ends])
+    own = quartiles("lang", "source").withColumnRenamed("q", "own")
+    by_lang = quartiles("lang").select(F.col("lang").alias("l_"), F.col("rule").alias("r_"), F.col("q").alias("of_lang"))
+    corpus = quartiles().withColumnRenamed("q", "of_all")
+    joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l_")) & (F.col("rule") == F.col("r_"))).join(corpus, "rule")
+    q = F.when(F.col("own.n") >= min_support, F.col("own")).when(F.col("of_lang.n") >= min_support, F.col("of_lang")).otherwise(F.col("of_all"))
+    picked = joined.select("lang", "source", "rule", q.alias("q"))
+    ends = []
+    for r in rules():
+        reach = REACH * F.greatest(F.col("q.q2") - F.col("q.q1"), F.lit(r.least_spread))
+        ends.append(F.max(F.when(F.col("rule") == r.name, F.col("q.q2") + reach)).alias(f"f_{r.name}_hi"))
+        low = F.col("q.q2") - reach if r.both_sides else F.lit(None).cast("bigint")
+        ends.append(F.max(F.when(F.col("rule") == r.name, low)).alias(f"f_{r.name}_lo"))
+    return picked.groupBy("lang", "source").agg(*ends)
 
 
 def apply_rules(

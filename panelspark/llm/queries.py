@@ -5,10 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import toxicity
 from .common import table
+from .decontaminate import judge
 from .mixing import mix
+from .neardup import near_duplicates
 from .quality import apply_rules
+from .secrets import scan
+from .sharding import assign
+from .sitetree import extract
+from .tokens import encode_corpus, public_tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,8 +25,53 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op4_mixing)}
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(table(spark, sf_dir, "documents"), public_tokenizer(spark))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"]).drop("hit_spans")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op3_html_extraction,
+        op4_mixing,
+        op5_sharding,
+        op6_token_files,
+        op7_toxicity,
+        op8_near_duplicates,
+        op9_decontamination,
+        op10_secret_scan,
+    )
+}

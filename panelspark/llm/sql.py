@@ -98,3 +98,28 @@ ORACLE_SQL["op1_quality_rules"] = f"""WITH {quality_ctes("documents")}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_rules FROM judged"""
 ORACLE_SQL["op4_mixing"] = f"""WITH {mixing_ctes("documents")}
 SELECT doc_id, size, source_size, target, copies, taken FROM mixed"""
+
+
+def decontamination_ctes(docs: str, benchmark: str) -> str:
+    """CTEs that end in ``found``: hit words and items of every row of ``docs``."""
+    def normal(text: str) -> str:
+        low = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        return rf"regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+    return f"""
+items AS (SELECT item_id, w, least(len(w), 13) AS m FROM (SELECT item_id, {normal("text")} AS w FROM {benchmark}) WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item_id, m, array_to_string(w[p:p + m - 1], ' ') AS g FROM (SELECT item_id, m, w, unnest(range(1, len(w) - m + 2)) AS p FROM items)),
+sizes AS (SELECT DISTINCT m FROM wins),
+texts AS (SELECT row_number() OVER () AS rid, *, {normal("text")} AS w FROM {docs}),
+places AS (SELECT rid, p, m, array_to_string(w[p:p + m - 1], ' ') AS g
+    FROM (SELECT rid, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM texts, sizes WHERE len(w) >= m)),
+matched AS (SELECT rid, p, m, item_id FROM places JOIN wins USING (m, g)),
+hit AS (SELECT rid, count(DISTINCT q) AS n FROM (SELECT rid, unnest(range(p, p + m)) AS q FROM matched) GROUP BY rid),
+of_items AS (SELECT rid, list(DISTINCT CAST(item_id AS VARCHAR)) AS ids FROM matched GROUP BY rid),
+found AS (SELECT texts.*, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_hit,
+        CAST(len(coalesce(ids, [])) AS BIGINT) AS n_items, sha256(array_to_string(list_sort(coalesce(ids, [])), ',')) AS items_sha256
+    FROM texts LEFT JOIN hit USING (rid) LEFT JOIN of_items USING (rid))"""
+
+
+ORACLE_SQL["op9_decontamination"] = f"""WITH {decontamination_ctes("documents", "benchmark")}
+SELECT doc_id, n_words, n_hit, n_items, items_sha256, (n_hit > 0 AND 20 * n_hit >= n_words) AS contaminated FROM found"""
