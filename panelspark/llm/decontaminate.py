@@ -55,7 +55,7 @@ def windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text")
     of its beginning of ``k`` words, ``items`` (ids as strings)."""
     a = benchmark.select(col(item_id).cast("string").alias("item"), normal_words(col(text)).alias("w")).filter(F.size("w") > 0)
     a = a.withColumn("m", F.least(F.size("w"), F.lit(WINDOW)))
-    a = a.select("item", "m", "w", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("m"))).alias("i"))
+    a = a.select("item", "m", "w", F.explode_outer(F.sequence(F.lit(0), F.size("w") - F.col("m"))).alias("i"))
     k = F.least(F.col("m"), F.lit(BEGINNING))
     h = F.when(F.lit(False), F.lit(0).cast("bigint"))
     for n in range(1, BEGINNING + 1):
@@ -79,7 +79,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
         "d", "x", "w",
         F.concat(F.array().cast("array<bigint>"), *[_beginnings("w", k) for k in ks]).alias("hs"),
     )
-    at = scan.select("d", "x", "w", F.posexplode("hs").alias("p", "h"))
+    # outer, as the filter that Spark derives from an inner one would compute the words anew for every place
+    at = scan.select("d", "x", "w", F.posexplode_outer("hs").alias("p", "h"))
     if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         found = at.join(F.broadcast(keys.select("h", "m")), "h")
     else:
