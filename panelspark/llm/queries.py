@@ -16,6 +16,7 @@ from .quality import apply_rules
 from .secrets import scan
 from .sharding import assign
 from .sitetree import extract
+from .substrings import dedup
 from .tokens import encode_corpus, public_tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality_rules,
+        op2_suffix_dedup,
         op3_html_extraction,
         op4_mixing,
         op5_sharding,
