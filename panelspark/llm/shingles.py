@@ -56,7 +56,7 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _joined(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of every ``n`` neighbouring words."""
     count = len(h) - n + 1
-    x = np.full(count, np.uint64(n * int(_P) % (1 << 64)))
+    x = np.full(count, np.uint64(int(n) * int(_P) % (1 << 64)))
     for k in range(n):
         x = mix(x ^ h[k : k + count])
     return x

@@ -329,7 +329,17 @@ class Scorer:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.proj = {way: np.zeros((0, 3 * HIDDEN), np.float32) for way in "fb"}
+        self.proj = {way: np.zeros((1 << 14, 3 * HIDDEN), np.float32) for way in "fb"}
+
+    def _learn(self, new: list[str]) -> None:
+        x = self.net.project(self.net.inputs(Words.of(pa.array(new, pa.large_string()))))
+        first = len(self.known)
+        for i, w in enumerate(new, first):
+            self.known[w] = i
+        for way, held in self.proj.items():
+            if len(held) < len(self.known):
+                self.proj[way] = held = np.concatenate([held, np.zeros((max(len(held), len(new)), held.shape[1]), np.float32)])
+            held[first : len(self.known)] = x[way][:-1]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if len(self.known) > _REMEMBERED:
@@ -338,10 +348,7 @@ class Scorer:
         words = vocabulary.to_pylist()
         new = [w for w in words if w and w not in self.known]
         if new:
-            x = self.net.project(self.net.inputs(Words.of(pa.array(new, pa.large_string()))))
-            for w in new:
-                self.known[w] = len(self.known)
-            self.proj = {way: np.concatenate([self.proj[way], x[way][:-1]]) for way in "fb"}
+            self._learn(new)
         number = np.fromiter((self.known.get(w, 0) for w in words), np.int64, len(words))
         none = self.net.project(np.zeros((1, D_WORD + D_CHAR), np.float32))
         proj = {way: np.concatenate([self.proj[way][number], none[way]]) for way in "fb"}
