@@ -194,27 +194,28 @@ def _facts(page: str) -> Iterator[tuple[str, str, str]]:
     return iter(facts)
 
 
-def importance(counts: pd.DataFrame) -> dict[str, float]:
-    """Composite importance of the paths of one host from (path, kind, k, h, n):
-    distinct values, sum of entropies by value, pages."""
+def importance(counts: pd.DataFrame) -> dict[str, tuple[float, float]]:
+    """Composite importance of the paths of one host, and the highest importance in the
+    branch, from (path, kind, k, h, n): distinct values, sum of entropies by value, pages."""
     pages = {r.path: r.n for r in counts.itertuples() if r.kind == "page"}
     style = {r.path: r.h for r in counts.itertuples() if r.kind == "style"}
     content = {r.path: 1 - r.h / r.k for r in counts.itertuples() if r.kind == "text" and r.k}
     children: dict[str, list[str]] = {}
     for path in pages:
         children.setdefault(path.rpartition("/")[0], []).append(path)
-    out: dict[str, float] = {}
+    out: dict[str, tuple[float, float]] = {}
     for path in sorted(pages, key=lambda p: -p.count("/")):
         below = children.get(path, [])
         own = content.get(path)
         if below:
             weight = sum(pages[c] for c in below)
-            under = sum(out[c] * pages[c] for c in below) / weight
+            under = sum(out[c][0] * pages[c] for c in below) / weight
             fade = GAMMA ** len(below)
             value = (1 - fade) * min(1.0, style.get(path, 0.0)) + fade * under
-            out[path] = max(value, own) if own is not None else value
+            value = max(value, own) if own is not None else value
         else:
-            out[path] = own if own is not None else 0.0
+            value = own if own is not None else 0.0
+        out[path] = value, max([value, *(out[c][1] for c in below)])
     return out
 
 
@@ -240,7 +241,8 @@ def cut_branches(pages: DataFrame, html: str = "html", url: str = "url", min_pag
     large = of_node.groupBy("host").agg(F.max("m").alias("pages")).filter(F.col("pages") >= min_pages).select("host")
 
     def judge(tree: pd.DataFrame) -> pd.DataFrame:
-        low = sorted(p for p, v in importance(tree).items() if v < least and p.count("/") > 1)
+        # a branch goes where neither it nor any part of it matters
+        low = sorted(p for p, (_, highest) in importance(tree).items() if highest < least)
         return pd.DataFrame({"host": [tree["host"].iloc[0]], "paths": [low]})
 
     return nodes.join(large, "host").groupBy("host").applyInPandas(judge, "host string, paths array<string>")
