@@ -19,7 +19,9 @@ writes no file.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,10 +39,20 @@ from ..session import scratch_path
 from .common import col, join_small, staged
 
 END_ID = 2
-# Distinct pieces whose ids a task remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+# Distinct pieces whose ids a worker remembers; beyond that it starts anew.
+REMEMBERED = 600_000
 # Texts encoded together, in characters.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 21
+
+
+# Pieces that the short way can cut as the tokenizer does: printable ASCII without the apostrophe
+# (contractions) and the accented letters of Latin-1, which are letters, composed and of simple case.
+_SIMPLE = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+# Byte-level vocabularies write a byte as a character: printable ones as themselves, the others from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_SHORT_WAY = {"NFC", "Replace", "Lowercase"}
 
 
 class Encoder:
@@ -53,26 +65,55 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.end_id = end_id
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = {x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])}
+        self.short_way = steps == _SHORT_WAY and spec["model"].get("end_of_word_suffix") == "</w>"
         self._forget()
 
     def _forget(self) -> None:
         self.known = {"": 0, None: 1}  # no ids; the end of a document
-        self.ids = [np.zeros(0, np.uint32), np.array([self.end_id], np.uint32)]
-        self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.n_flat = 0
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.flat[0] = self.end_id
+        self.starts = np.zeros(1 << 14, np.int64)
+        self.starts[2] = 1
+        self.n_flat = 1
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _long_way(self, pieces: list[str]) -> list[list[int]]:
         """Encodes pieces in one go; the offsets tell which piece a token is of."""
         enc = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
-        ends = np.cumsum([len(p) + 1 for p in pieces])
         at = np.array([a for a, _ in enc.offsets], np.int64)
-        cuts = np.searchsorted(at, ends)
-        ids = np.array(enc.ids, np.uint32)
-        first = 0
-        for p, last in zip(pieces, cuts.tolist(), strict=True):
-            self.known[p] = len(self.ids)
-            self.ids.append(ids[first:last])
-            first = last
+        cuts = np.searchsorted(at, np.cumsum([len(p) + 1 for p in pieces])).tolist()
+        return [enc.ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        model = self.tokenizer.model
+        ids: list[list[int]] = []
+        rest: list[int] = []
+        for n, piece in enumerate(pieces):
+            if self.short_way and _SIMPLE.fullmatch(piece):
+                own: list[int] = []
+                for part in _PARTS.findall(piece.lower()):
+                    own += [t.id for t in model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES))]
+                ids.append(own)
+            else:
+                ids.append([])
+                rest.append(n)
+        for i in range(0, len(rest), 5000):
+            some = rest[i : i + 5000]
+            for n, own in zip(some, self._long_way([pieces[n] for n in some]), strict=True):
+                ids[n] = own
+        first = len(self.known)
+        self.known.update(zip(pieces, range(first, first + len(pieces)), strict=True))
+        length = np.array([len(x) for x in ids], np.int64)
+        total = self.n_flat + int(length.sum())
+        if total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), total), np.uint32)])
+        if len(self.known) >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(max(len(self.starts), len(self.known)), np.int64)])
+        self.flat[self.n_flat : total] = np.fromiter((t for x in ids for t in x), np.uint32, total - self.n_flat)
+        self.starts[first + 1 : first + 1 + len(ids)] = self.n_flat + np.cumsum(length)
+        self.n_flat = total
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each with the end id, and the starts (one more than texts)."""
@@ -82,22 +123,29 @@ class Encoder:
         flat = pieces.flatten().dictionary_encode()
         words = flat.dictionary.to_pylist()
         new = [w for w in words if w not in self.known]
-        for i in range(0, len(new), 20_000):
-            self._learn(new[i : i + 20_000])
-        if self.n_flat != len(self.ids):
-            self.flat = np.concatenate(self.ids)
-            self.starts = np.concatenate([[0], np.cumsum([len(x) for x in self.ids])])
-            self.n_flat = len(self.ids)
-        of_word = np.fromiter((self.known[w] for w in words), np.int64, len(words))
+        if new:
+            self._learn(new)
+        of_word = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         piece = of_word[flat.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
         ends = pieces.offsets.to_numpy()[1:].astype(np.int64) - int(pieces.offsets[0].as_py())
         piece = np.insert(piece, ends, 1)
-        length = (self.starts[1:] - self.starts[:-1])[piece]
+        begin = self.starts[piece]
+        length = self.starts[piece + 1] - begin
         to = np.concatenate([[0], np.cumsum(length)])
-        ids = self.flat[np.arange(to[-1]) + np.repeat(self.starts[piece] - to[:-1], length)]
+        ids = self.flat[np.arange(to[-1]) + np.repeat(begin - to[:-1], length)]
         return ids, to[np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])]
 
 
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def _encoder(path: str, end_id: int) -> Encoder:
+    """One encoder per Python worker, so that its tasks share what it remembers."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
+
+
 def _files(uri: str):
     """The file system and path of a folder in the shared store."""
     from pyarrow import fs
@@ -129,7 +177,7 @@ def write(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "do
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         fs, root = _files(folder)
-        encoder, out, starts, done = Encoder(tokenizer, end_id), None, [np.zeros(1, np.int64)], 0
+        encoder, out, starts, done = _encoder(tokenizer, end_id), None, [np.zeros(1, np.int64)], 0
         attempt = f"{root}/_attempt-{part:05d}-{uuid.uuid4().hex}"
         for batch in batches:
             if not len(batch):
