@@ -9,13 +9,17 @@ its own common shingles weightless.  Improved consistent weighted sampling draws
 probability of their weighted Jaccard similarity.  The rows of a band make one key.
 
 Texts of equal word sequences are one node.  Nodes that share a band key form a
-bucket; every node of a bucket is compared with its hub (the least node), and the
-nodes that this leaves outside the hub's class take a hub of their own in a next
-round, compared with all nodes of other classes in the bucket, until no bucket has
-nodes of different classes that have not met a hub.  No round makes all pairs of a
-bucket.  Every pair is verified once, by the weighted Jaccard similarity of the whole
-texts.  Classes are the connected components of the links, found by exchanging least
-labels.
+bucket, and every node of a bucket is compared with its hub, the least node.  A node
+that is not similar to its hub is compared with the others of its bucket where
+these are few (``FEW``); in a larger bucket it goes on to finer ones, in which the nodes
+share one more band key, and so on until no two nodes share a bucket.  Similar nodes share many
+bands, so they meet a common hub, or each other, on the way; unlike nodes that meet by a
+common passage part soon.  No step makes all pairs of a bucket: a node is compared
+at most ``FEW`` times in each bucket it is in, however large that is.  Every pair is verified
+once, by the weighted Jaccard similarity of the whole texts; a pair whose plain
+similarity is as high is linked as well, so that what a large family has in common,
+and its low weights, cannot hide a copy.  Classes are the connected components of the
+links, found by exchanging least labels.
 
 Defined results: null and empty texts are one node without shingles, linked to no
 other; a text of fewer than five words is one shingle; repeated rows are in one
@@ -33,11 +37,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh, staged
+from .common import BROADCAST_ROWS, col, fresh, staged
 from .shingles import mix, shingles
 
 SIMILARITY = 0.8
 BANDS, ROWS = 15, 4
+# Nodes of a bucket up to which one that is not similar to the hub is compared with all others.
+FEW = 64
 DF_BUCKETS = 1 << 18
 IDF_POWER = 0.25
 _SEED = 20240101
@@ -161,7 +167,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: fl
             left = [weighted(s, idf) for s in shingles(batch["ta"].tolist())]
             right = [weighted(s, idf) for s in shingles(batch["tb"].tolist())]
             value = np.array([similarity(a, b) for a, b in zip(left, right, strict=True)])
-            ok = value >= threshold
+            plain = np.array([similarity((a[0], np.ones(len(a[0]))), (b[0], np.ones(len(b[0])))) for a, b in zip(left, right, strict=True)])
+            ok = np.maximum(value, plain) >= threshold
             yield pd.DataFrame({"a": batch["a"][ok], "b": batch["b"][ok], "similarity": value[ok]})
 
     one = texts.select(F.col("node").alias("a"), F.col("t").alias("ta"))
@@ -184,62 +191,82 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, links, labels): members (d, x, node) of all rows, verified links
-    (a, b, similarity) between nodes, labels (node, label) of the linked nodes."""
+def _candidates(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(node, t): one text of every wanted node (node, d, x)."""
+    source = docs.select(col(doc_id).alias("d_"), text_key(col(text)).alias("x_"), col(text).alias("t"))
+    found = source.join(_small(wanted), F.col("d_").eqNullSafe(F.col("d")) & (F.col("x_") == F.col("x"))).select("node", "t")
+    found = staged(found, "candidates")
+    # rows that repeat another in id and text are found several times
+    again = found.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if again.limit(1).count():
+        found = staged(found.dropDuplicates(["node"]), "candidates")
+    return found
+
+
+def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A staged table of short rows, to be broadcast if it has few of them."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def link(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """(members, links): members (d, x, node) of all rows, verified links (a, b, similarity) between nodes."""
     idf = inverse(*frequencies(docs, text))
     signed = staged(_nodes(docs, text, doc_id, idf, bands, rows), "signatures")
-    members = signed.select("d", "x", "node")
     # any row of a node can stand for it, as its word sequence is the node
     nodes = signed.groupBy("node").agg(F.min(F.struct("d", "x")).alias("r"), F.first("keys").alias("keys"))
-    band = nodes.select("node", "r", F.explode("keys").alias("k"))
-    counts = band.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter(F.col("n") > 1)
-    buckets = staged(band.join(counts.select("k"), "k").select("k", "node", "r"), "buckets")
-    wanted = buckets.groupBy("node").agg(F.min("r").alias("r")).select("node", F.col("r.d").alias("d"), F.col("r.x").alias("x"))
-    source = docs.select(col(doc_id).alias("d_"), text_key(col(text)).alias("x_"), col(text).alias("t"))
-    texts = source.join(wanted, F.col("d_").eqNullSafe(F.col("d")) & (F.col("x_") == F.col("x"))).select("node", "t")
-    texts = staged(texts, "candidates")
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "a binary, b binary, similarity double")
-    labels = spark.createDataFrame([], "node binary, label binary")
-    left = buckets.select("k", "node")  # nodes that have met no hub of their class
+    left = nodes.select("node", "r", "keys", F.posexplode("keys").alias("band", "bucket"))
+    texts: DataFrame | None = None
     done: DataFrame | None = None
-    texts = texts.groupBy("node").agg(F.first("t").alias("t")) if texts.count() != texts.select("node").distinct().count() else texts
+    links: DataFrame | None = None
+
+    def verify(pairs: DataFrame) -> None:
+        nonlocal done, links
+        new = staged(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        some = staged(new.select("a").union(new.select("b")).distinct().withColumnRenamed("a", "node"), "nodes")
+        found = staged(_verified(new, texts.join(_small(some), "node", "left_semi"), idf, threshold), "links")
+        done = new if done is None else done.union(new)
+        links = found if links is None else links.union(found)
+
     while True:
-        # the hub is compared with every node of its bucket that is in another class
-        hubs = left.groupBy("k").agg(F.min("node").alias("hub"))
-        both = buckets.select("k", "node").join(hubs, "k").filter(F.col("node") != F.col("hub"))
-        pairs = both.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-        if done is not None:
-            la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-            pairs = pairs.join(la, "a", "left").join(lb, "b", "left").filter(~F.col("la").eqNullSafe(F.col("lb")) | F.col("la").isNull()).select("a", "b")
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        done = pairs if done is None else done.union(pairs)
-        links = links.union(staged(_verified(pairs, texts, idf, threshold), "links"))
-        labels = components(links)
-        labelled = left.join(labels, "node", "left").select("k", "node", F.coalesce("label", "node").alias("label"))
-        of_hub = hubs.join(labels.withColumnRenamed("node", "hub"), "hub", "left").select("k", F.coalesce("label", "hub").alias("l"))
-        left = staged(labelled.join(of_hub, "k").filter(F.col("label") != F.col("l")).select("k", "node"), "left")
+        shared = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1")
+        buckets = staged(left.join(shared, "bucket"), "buckets")
+        if texts is None:
+            wanted = buckets.groupBy("node").agg(F.min("r").alias("r")).select("node", F.col("r.d").alias("d"), F.col("r.x").alias("x"))
+            texts = _candidates(docs, staged(wanted, "wanted"), text, doc_id)
+            buckets = buckets.drop("r")
+        verify(buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+        same = links.select(F.col("a").alias("hub"), F.col("b").alias("node"))
+        rest = staged(buckets.filter("node <> hub").join(same, ["hub", "node"], "left_anti"), "rest")
+        # up to FEW nodes: what is not similar to the hub is compared with the others
+        few = buckets.filter((F.col("n") <= FEW) & (F.col("node") != F.col("hub"))).select("bucket", F.col("node").alias("other"))
+        both = rest.filter(F.col("n") <= FEW).select("bucket", "node").join(few, "bucket").filter("node <> other")
+        verify(both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+        # more than FEW: it goes on by every later band
+        at = F.explode(F.sequence(F.col("band") + 1, F.lit(bands - 1)))
+        finer = rest.filter((F.col("n") > FEW) & (F.col("band") < bands - 1)).select("node", "keys", "bucket", at.alias("band"))
+        left = staged(finer.select("node", "keys", "band", F.xxhash64("bucket", F.get("keys", F.col("band"))).alias("bucket")), "left")
         if left.limit(1).count() == 0:
-            return members, links, labels
+            return signed.select("d", "x", "node"), links
 
 
-def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(d, x, node, label, class_id, class_size, n_links) of every row of ``docs``."""
-    members, links, labels = link(docs, text, doc_id, threshold, bands, rows)
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
+def classes(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """(d, x, node, label, class_id, class_size) of every row of ``docs``."""
+    members, links = link(docs, text, doc_id, threshold, bands, rows)
+    labels = components(links)
     counted = members.groupBy("node").agg(F.min("d").alias("first"), F.count(F.lit(1)).alias("n"))
-    named = counted.join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = counted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     of_class = named.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"))
-    by_node = staged(named.select("node", "label", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")).join(of_class, "label"), "classes")
+    by_node = staged(named.select("node", "label").join(of_class, "label"), "classes")
     return members.join(by_node, "node")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILARITY) -> DataFrame:
-    """One row per row of ``docs``: doc_id, ``class_id``, ``class_size`` (rows), ``n_links``
-    (verified links of its text to other texts)."""
-    return classes(docs, text, doc_id, threshold).select(F.col("d").alias(doc_id), "class_id", "class_size", "n_links")
+    """One row per row of ``docs``: doc_id, ``class_id`` and ``class_size`` (rows)."""
+    return classes(docs, text, doc_id, threshold).select(F.col("d").alias(doc_id), "class_id", "class_size")
 
 
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILARITY) -> DataFrame:
