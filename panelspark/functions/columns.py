@@ -11,14 +11,22 @@ UNKNOWN = "UNKNOWN"
 
 
 def to_number(c: str | Column) -> Column:
-    """Numeric coercion, bad text -> null (``try_cast`` so ANSI mode does not raise)."""
+    """Numeric coercion, bad text and NaN -> null (``try_cast`` so ANSI mode does not raise)."""
     col = F.col(c) if isinstance(c, str) else c
-    return col.try_cast("double")
+    return clean_double(col.try_cast("double"))
+
+
+def clean_double(c: str | Column) -> Column:
+    """NaN is no value: null."""
+    col = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.when(~F.isnan(col), col)
 
 
 def to_int(c: str | Column) -> Column:
+    """Whole numbers, also written as ``2021.0``; anything else -> null."""
     col = F.col(c) if isinstance(c, str) else c
-    return col.try_cast("int")
+    number = col.try_cast("double")
+    return F.when(number == F.floor(number), number.try_cast("int"))
 
 
 def priority_coalesce(columns: Sequence[str]) -> Column:
@@ -84,10 +92,10 @@ def ntz_literal(value) -> Column:
 
 
 def gate_passed(metric_value: str | Column, gate_min: str | Column) -> Column:
-    """Gate present, metric present and metric >= min; null anywhere -> False."""
+    """Gate present, metric present and metric >= min; null or NaN anywhere -> False."""
     v = F.col(metric_value) if isinstance(metric_value, str) else metric_value
     m = F.col(gate_min) if isinstance(gate_min, str) else gate_min
-    return F.coalesce(v >= m, F.lit(False))
+    return F.coalesce(clean_double(v) >= clean_double(m), F.lit(False))
 
 
 def gate_stage(passed: str | Column) -> Column:

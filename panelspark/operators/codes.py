@@ -11,10 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import small_side
-
-MAX_CODE_ROWS = 100_000
-
+from .joins import assert_unique, small_side
 
 def map_codes(
     df: DataFrame,
@@ -26,13 +23,14 @@ def map_codes(
     """Returns (mapped rows with ``out``, dropped codes with ``n_rows``).
 
     ``standard`` and ``overrides`` have columns (code, entity); overrides win.
+    A code listed twice in one of them raises (it would double the rows).
     """
-    std = small_side(standard.select(F.col("code").alias("_c_std"), F.col("entity").alias("_e_std")), MAX_CODE_ROWS)
+    assert_unique(standard, ["code"], "code map")
+    std = small_side(standard.select(F.col("code").alias("_c_std"), F.col("entity").alias("_e_std")))
     j = df.join(std, F.col(code) == F.col("_c_std"), "left")
     if overrides is not None:
-        ovr = small_side(
-            overrides.select(F.col("code").alias("_c_ovr"), F.col("entity").alias("_e_ovr")), MAX_CODE_ROWS
-        )
+        assert_unique(overrides, ["code"], "code overrides")
+        ovr = small_side(overrides.select(F.col("code").alias("_c_ovr"), F.col("entity").alias("_e_ovr")))
         j = j.join(ovr, F.col(code) == F.col("_c_ovr"), "left")
         mapped_col = F.coalesce(F.col("_e_ovr"), F.col("_e_std"))
     else:

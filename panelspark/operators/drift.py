@@ -1,12 +1,11 @@
 """Feature drift of scored rows against the training table.
 
-PSI per column: features are unpivoted once to (column, value) rows, the
-joint min/max per column is one small aggregate (one row per column,
-broadcast), every value gets a bin (10 equal-width bins; categorical codes
-and strings bin by value), counts per (side, column, bin) are partial
-aggregated, the two sides are full-outer joined on (column, bin) and
-``sum((p - q) * ln(p / q))`` with shares floored at 1e-4.  Two passes over
-each side, whatever the number of features; nothing per row leaves Spark.
+PSI per column: ranges and totals of all columns on both sides are one
+aggregate (one row, read as scalars); every value then gets a bin (10
+equal-width bins; categorical codes and strings bin by value), counts per
+(column, bin) with a column per side are partially aggregated, and
+``sum((p - q) * ln(p / q))`` follows with shares floored at 1e-4.  Two passes
+over each side, whatever the number of features; nothing per row leaves Spark.
 """
 
 from __future__ import annotations
@@ -16,8 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import report_stamp
-from .joins import runtime_sized
+from ..functions.columns import clean_double, report_stamp
+from .joins import lookup
 from ..schemas import DRIFT_REPORT
 from ..params import DATASET_DRIFT_SHARE, DRIFT_PSI_THRESHOLD, MAX_REPORTS_KEPT, PSI_BINS, PSI_FLOOR
 
@@ -49,7 +48,7 @@ def _stack(
     df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], side: str, keep: Sequence[str] = ()
 ) -> DataFrame:
     parts = [
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"), F.lit(None).cast("string").alias("cat"))
+        F.struct(F.lit(c).alias("feature"), clean_double(c).alias("x"), F.lit(None).cast("string").alias("cat"))
         for c in numeric
     ] + [
         F.struct(F.lit(c).alias("feature"), F.lit(None).cast("double").alias("x"), F.col(c).cast("string").alias("cat"))
@@ -62,6 +61,24 @@ def _stack(
     )
 
 
+def side_stats(reference: DataFrame, current: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()) -> dict:
+    """One aggregate over both sides: rows per side, and per column the values per side
+    and the range of the finite ones on either side and on the reference (one row)."""
+    cols = [*numeric, *categorical]
+    both = reference.select(*cols, F.lit(True).alias("_ref")).unionByName(current.select(*cols, F.lit(False).alias("_ref")))
+    aggs = [F.count_if("_ref").alias("rows_ref"), F.count_if(~F.col("_ref")).alias("rows_cur")]
+    for i, c in enumerate(cols):
+        v = clean_double(c) if c in numeric else F.col(c)
+        aggs += [F.count(F.when(F.col("_ref"), v)).alias(f"n_ref_{i}"), F.count(F.when(~F.col("_ref"), v)).alias(f"n_cur_{i}")]
+        if c in numeric:
+            finite = F.when(F.abs(v) < F.lit(float("inf")), v)
+            for end, f in (("lo", F.min), ("hi", F.max)):
+                aggs += [f(finite).alias(f"{end}_{i}"), f(F.when(F.col("_ref"), finite)).alias(f"{end}_ref_{i}")]
+    row = both.agg(*aggs).first().asDict()
+    per = {c: {k[: -len(str(i)) - 1]: v for k, v in row.items() if k.endswith(f"_{i}")} for i, c in enumerate(cols)}
+    return {"rows_ref": row["rows_ref"], "rows_cur": row["rows_cur"], "columns": per}
+
+
 def psi(
     reference: DataFrame,
     current: DataFrame,
@@ -71,40 +88,44 @@ def psi(
     floor: float = PSI_FLOOR,
     threshold: float = DRIFT_PSI_THRESHOLD,
     edges: str = "joint",
+    stats: dict | None = None,
 ) -> DataFrame:
     """(column, psi, drifted) per column.
 
     ``edges='joint'`` bins over the min-max of both sides (default);
     ``'reference'`` over the reference only, current values clamped into the
     edge bins (used by the count-window stream, whose reference is fixed).
+    NaN is no value; infinite values fall into the edge bins and do not
+    stretch the range.  Two passes over each side: ``side_stats`` (ranges and
+    totals, one row) and one count by (feature, bin) with a column per side.
     """
-    stacked = _stack(reference, numeric, categorical, "reference").unionByName(
-        _stack(current, numeric, categorical, "current")
-    )
-    range_src = stacked if edges == "joint" else stacked.filter(F.col("side") == "reference")
-    ranges = range_src.filter(F.col("x").isNotNull()).groupBy("feature").agg(
-        F.min("x").alias("lo"), F.max("x").alias("hi")
+    stats = stats or side_stats(reference, current, numeric, categorical)
+    ends = ("lo", "hi") if edges == "joint" else ("lo_ref", "hi_ref")
+    names = [*numeric, *categorical]
+
+    def entry(c: str):
+        if c not in numeric:
+            return F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("bin"))
+        lo, hi = (stats["columns"][c][e] for e in ends)
+        x = clean_double(c)
+        at = F.when(x.isNotNull(), F.lit(0))
+        if lo is not None and hi > lo:
+            width = float(hi) - float(lo)
+            at = F.greatest(F.least(F.floor((x - F.lit(float(lo))) / F.lit(width) * F.lit(float(bins))).cast("double"), F.lit(bins - 1.0)), F.lit(0.0)).cast("int")
+        return F.struct(F.lit(c).alias("feature"), at.cast("string").alias("bin"))
+
+    sides = reference.select(*names, F.lit(True).alias("_ref")).unionByName(current.select(*names, F.lit(False).alias("_ref")))
+    stacked = sides.select("_ref", F.explode(F.array(*map(entry, names))).alias("s")).select("_ref", "s.feature", "s.bin")
+    counts = stacked.filter(F.col("bin").isNotNull()).groupBy("feature", "bin").agg(
+        F.count_if("_ref").alias("q"), F.count_if(~F.col("_ref")).alias("p")
     )
-    # one row per feature column: bounded by the feature list
-    binned = stacked.join(F.broadcast(ranges), on="feature", how="left")
-    width = F.col("hi") - F.col("lo")
-    raw = F.floor((F.col("x") - F.col("lo")) / width * F.lit(float(bins))).cast("int")
-    num_bin = F.when(width > 0, F.greatest(F.least(raw, F.lit(bins - 1)), F.lit(0))).otherwise(F.lit(0))
-    binned = binned.withColumn(
-        "bin", F.when(F.col("x").isNotNull(), num_bin.cast("string")).otherwise(F.col("cat"))
-    )
-    counts = binned.groupBy("side", "feature", "bin").agg(F.count(F.lit(1)).alias("n"))
-    # totals per side and feature column (bounded by the feature list), not a window over all its categories
-    totals = counts.groupBy("side", "feature").agg(F.sum("n").alias("_total"))
-    shares = counts.join(F.broadcast(totals), on=["side", "feature"], how="inner").withColumn(
-        "share", F.col("n") / F.col("_total")
-    )
-    ref = shares.filter(F.col("side") == "reference").select("feature", "bin", F.col("share").alias("q"))
-    cur = shares.filter(F.col("side") == "current").select("feature", "bin", F.col("share").alias("p"))
-    j = ref.join(cur, on=["feature", "bin"], how="full_outer")
-    p = F.greatest(F.coalesce(F.col("p"), F.lit(0.0)), F.lit(floor))
-    q = F.greatest(F.coalesce(F.col("q"), F.lit(0.0)), F.lit(floor))
-    out = j.groupBy("feature").agg(F.sum((p - q) * F.log(p / q)).alias("psi"))
+
+    def share(side: str, total: str):
+        of = F.create_map(*[x for c in names for x in (F.lit(c), F.lit(float(max(stats["columns"][c][total], 1))))])
+        return F.greatest(F.col(side) / of[F.col("feature")], F.lit(floor))
+
+    p, q = share("p", "n_cur"), share("q", "n_ref")
+    out = counts.groupBy("feature").agg(F.sum((p - q) * F.log(p / q)).alias("psi"))
     return out.withColumn("drifted", F.col("psi") >= F.lit(threshold))
 
 
@@ -121,7 +142,7 @@ def reference_profile(
     stream can compute them once and reuse them for every micro-batch.
     """
     ref_stack = _stack(reference, numeric, categorical, "reference")
-    ranges = ref_stack.filter(F.col("x").isNotNull()).groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    ranges = ref_stack.filter(F.abs("x") < F.lit(float("inf"))).groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     ref = _binned(ref_stack, ranges, bins).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
     fl = F.lit(floor)
     totals = ref.groupBy("feature").agg(F.sum("n").alias("_total"))  # one row per feature column
@@ -133,8 +154,8 @@ def reference_profile(
 
 def _binned(stacked: DataFrame, ranges: DataFrame, bins: int) -> DataFrame:
     width = F.col("hi") - F.col("lo")
-    raw = F.floor((F.col("x") - F.col("lo")) / width * F.lit(float(bins))).cast("int")
-    num_bin = F.when(width > 0, F.greatest(F.least(raw, F.lit(bins - 1)), F.lit(0))).otherwise(F.lit(0))
+    raw = F.floor((F.col("x") - F.col("lo")) / width * F.lit(float(bins))).cast("double")
+    num_bin = F.when(width > 0, F.greatest(F.least(raw, F.lit(bins - 1.0)), F.lit(0.0)).cast("int")).otherwise(F.lit(0))
     # one row per feature column: bounded by the feature list
     return stacked.join(F.broadcast(ranges), on="feature", how="left").withColumn(
         "bin", F.when(F.col("x").isNotNull(), num_bin.cast("string")).otherwise(F.col("cat"))
@@ -167,10 +188,11 @@ def psi_grouped(
     cur = _binned(cur_stack, ranges, bins).groupBy(F.col("_g").alias(by), "feature", "bin").agg(
         F.count(F.lit(1)).alias("n")
     )
-    cur = cur.withColumn("p", F.greatest(F.col("n") / F.sum("n").over(Window.partitionBy(by, "feature")), fl))
-    # reference bins: bins x features plus the distinct categories; the categories are
-    # not bounded in general, so adaptive execution decides from the measured size
-    j = cur.join(runtime_sized(ref), on=["feature", "bin"], how="left")
+    # one row per report and feature, summed before it is joined: no window over all categories of a feature
+    totals = cur.groupBy(by, "feature").agg(F.sum("n").alias("_total"))
+    cur = lookup(cur, totals, [by, "feature"]).withColumn("p", F.greatest(F.col("n") / F.col("_total"), fl))
+    # reference bins: bins x features plus the distinct categories
+    j = lookup(cur, ref, ["feature", "bin"], "left")
     q = F.coalesce(F.col("q"), fl)
     per = j.groupBy(by, "feature").agg(
         F.sum((F.col("p") - q) * F.log(F.col("p") / q)).alias("_present"),
@@ -206,16 +228,17 @@ def drift_report(
     Columns not eligible on both sides (D1) are left out.  ``stamp`` names the
     report (``yyyymmddThhmmssZ``) instead of the report time.
     """
-    cols = eligible_columns(reference, current, list(numeric) + list(categorical))
-    num = [c for c in numeric if c in cols]
-    cat = [c for c in categorical if c in cols]
-    n_cur = current.count()
+    num, cat = ([c for c in cs if c in reference.columns and c in current.columns] for cs in (numeric, categorical))
+    stats = side_stats(reference, current, num, cat)
+    cols = [c for c, n in stats["columns"].items() if n["n_ref"] > 0 and n["n_cur"] > 0]
+    num, cat = [c for c in num if c in cols], [c for c in cat if c in cols]
+    n_cur = stats["rows_cur"]
     spark = current.sparkSession
     if n_cur == 0 or not cols:
         schema = DRIFT_REPORT
         return spark.createDataFrame([], schema)
     ts = F.current_timestamp() if report_ts is None else F.lit(report_ts).cast("timestamp")
-    d = dataset_drift(psi(reference, current, num, cat))
+    d = dataset_drift(psi(reference, current, num, cat, stats=stats))
     return d.select(
         ts.alias("report_ts"),
         F.concat(F.lit("drift_report_"), F.lit(stamp) if stamp else report_stamp(ts), F.lit(".html")).alias(
@@ -230,21 +253,18 @@ def drift_report(
 
 
 def gauges(reports: DataFrame, ts: str = "report_ts") -> DataFrame:
-    """Drift gauges = the newest report row."""
-    w = Window.orderBy(F.col(ts).desc(), F.col("report_name").desc())
-    # the report table holds a few rows per report run; retention keeps it small
-    return (
-        reports.withColumn("_rn", F.row_number().over(w))
-        .filter(F.col("_rn") == 1)
-        .select(
-            F.col("share_of_drifted_columns").alias("drift_share_of_columns"),
-            F.col("dataset_drift").cast("int").alias("drift_dataset_detected"),
-            F.col("report_name"),
-        )
+    """Drift gauges = the newest report row (one partially aggregated row)."""
+    row = F.struct(
+        F.col("share_of_drifted_columns").alias("drift_share_of_columns"),
+        F.col("dataset_drift").cast("int").alias("drift_dataset_detected"),
+        F.col("report_name"),
     )
+    newest = reports.agg(F.max_by(row, F.struct(F.col(ts), F.col("report_name"))).alias("r"))
+    return newest.filter(F.col("r").isNotNull()).select("r.*")
 
 
 def retention(reports: DataFrame, keep: int = MAX_REPORTS_KEPT, ts: str = "report_ts") -> DataFrame:
     """K4: newest ``keep`` reports, newest first (rank 1 = newest)."""
-    w = Window.orderBy(F.col(ts).desc(), F.col("report_name").desc())
-    return reports.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
+    order = [F.col(ts).desc(), F.col("report_name").desc()]
+    newest = reports.orderBy(*order).limit(keep)  # keep rows from here on
+    return newest.withColumn("rank", F.row_number().over(Window.orderBy(*order)))

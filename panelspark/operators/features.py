@@ -13,13 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import UNKNOWN, category_for_scoring, category_for_training
+from ..functions.columns import UNKNOWN, category_for_scoring, category_for_training, clean_double
 from ..schemas import DEFAULT_ROLES, MEDIAN_MAP, Roles
-from .joins import runtime_sized
+from ..session import scratch_path
+from .joins import lookup
 from .ordering import dense_index
 from .quantiles import exact_medians
 
@@ -77,11 +77,13 @@ def impute_two_level(
     w = Window.partitionBy(roles.entity)
     filled = panel.select(
         *[F.col(c) for c in panel.columns if c not in cols],
-        *[F.coalesce(F.col(c), F.median(F.col(c)).over(w)).alias(c) for c in cols],
+        *[F.coalesce(clean_double(c), F.median(clean_double(c)).over(w)).alias(c) for c in cols],
     )
     if global_medians is None:
-        # read by the median passes and again by the fill: materialise once
-        filled = filled.persist(StorageLevel.MEMORY_AND_DISK)
+        # read by the median pass and again by the fill: written once
+        path = scratch_path(panel.sparkSession, "filled")
+        filled.write.parquet(path)
+        filled = panel.sparkSession.read.schema(filled.schema).parquet(path)
         global_medians = exact_medians(filled, cols)
     out = filled.select(
         *[F.col(c) for c in filled.columns if c not in cols],
@@ -129,19 +131,17 @@ def encode(
 ) -> DataFrame:
     """Category -> code.  Training: total map; scoring: unseen -> -1, null or '' -> UNKNOWN.
 
-    The map has one row per category; adaptive execution broadcasts it when
-    its measured size allows, else the join stays sort-merge.
+    The map has one row per category; it is broadcast when its measured size
+    allows, else joined with salts (``joins.lookup``).
     """
     out = df
     for c in columns:
         clean = category_for_scoring(c) if scoring else category_for_training(c)
         m = maps.filter(F.col("feature") == F.lit(c)).select(
-            F.col("category").alias(f"_{c}_cat"), F.col("code").alias(f"{c}_code")
+            F.col("category").alias(f"_{c}_key"), F.col("code").alias(f"{c}_code")
         )
-        out = out.withColumn(f"_{c}_key", clean).join(
-            runtime_sized(m), F.col(f"_{c}_key") == F.col(f"_{c}_cat"), "left"
-        )
-        out = out.withColumn(f"{c}_code", F.coalesce(F.col(f"{c}_code"), F.lit(-1))).drop(f"_{c}_key", f"_{c}_cat")
+        out = lookup(out.withColumn(f"_{c}_key", clean), m, [f"_{c}_key"], "left")
+        out = out.withColumn(f"{c}_code", F.coalesce(F.col(f"{c}_code"), F.lit(-1))).drop(f"_{c}_key")
         if not scoring:
             out = out.withColumn(c, clean)
     return out

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import runtime_sized
+from .joins import lookup
 from .ordering import next_in_order
 from .quantiles import grouped_percentile
 
@@ -175,4 +175,4 @@ def scored_log(df: DataFrame, target: str = "event_type", latency: str = "value"
     unbounded window over a target's rows.
     """
     per = df.groupBy(target).agg(F.count(F.lit(1)).alias("n_target"), F.avg(latency).alias("mean_latency"))
-    return df.join(runtime_sized(per), on=target, how="inner")
+    return lookup(df, per, [target])

@@ -16,10 +16,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import priority_coalesce, provenance, to_int, to_number
+from ..functions.columns import priority_coalesce, provenance, to_int, to_number, clean_double
 from ..params import GINI_PRIORITY, SOURCE_PRIORITY, SOURCE_SCALE
 from ..schemas import DEFAULT_ROLES, Roles
-from .joins import assert_unique, small_side
+from .joins import assert_unique
 
 
 def rank_of(source: Column, priority: Sequence[str]) -> Column:
@@ -76,9 +76,10 @@ def pivot_mean(long: DataFrame, indicators: Sequence[str], roles: Roles = DEFAUL
     the indicators do not appear (the indicator filter is pushed to the scan).
     """
     inds = list(indicators)
-    aggs = [F.avg(F.when(F.col(roles.indicator) == F.lit(i), F.col(roles.value))).alias(i) for i in inds]
+    value = clean_double(roles.value)
+    aggs = [F.avg(F.when(F.col(roles.indicator) == F.lit(i), value)).alias(i) for i in inds]
     return (
-        long.filter(F.col(roles.indicator).isin(inds) & F.col(roles.value).isNotNull())
+        long.filter(F.col(roles.indicator).isin(inds) & value.isNotNull())
         .filter(F.col(roles.entity).isNotNull() & F.col(roles.time).isNotNull())
         .groupBy(roles.entity, roles.time)
         .agg(*aggs)
@@ -132,7 +133,6 @@ def attach(
     key: str,
     columns: Sequence[str],
     check_unique: bool = True,
-    broadcast_rows: int | None = None,
     null_type: str = "string",
 ) -> DataFrame:
     """Left join of a per-entity dimension to every time of the entity.
@@ -148,8 +148,6 @@ def attach(
     side = dim.select(key, *columns)
     if check_unique:
         assert_unique(side, [key], "dimension")
-    if broadcast_rows is not None:
-        side = small_side(side, broadcast_rows)
     return panel.join(side, on=key, how="left")
 
 

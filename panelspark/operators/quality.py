@@ -61,6 +61,10 @@ def _check(rule: Rule, raw: Column) -> Column:
     else:
         x = raw.try_cast("double") if rule.coerce else raw
         coerce_fail = raw.isNotNull() & x.isNull() if rule.coerce else F.lit(False)
+        # NaN is no value: it passes and fails as null does
+        nan = F.coalesce(F.isnan(raw.try_cast("double")), F.lit(False))
+        raw = F.when(~nan, raw)
+        coerce_fail = coerce_fail & ~nan
         if rule.kind == "range":
             ok = (x >= F.lit(rule.lo)) & (x <= F.lit(rule.hi))
         elif rule.kind == "ge":

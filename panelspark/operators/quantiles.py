@@ -1,225 +1,43 @@
-"""Exact global quantiles with bounded memory per task.
-
-Spark's exact ``median``/``percentile`` aggregate merges a value -> count
-map of the whole column into one final task; for a global median over
-billions of distinct doubles that task is unbounded.  Here the column is
-narrowed by distributed bucket counts instead (a radix-style selection):
-
-1. one aggregate gives count, min and max per column;
-2. while the candidate set of a wanted rank is larger than
-   ``collect_limit``, one ``groupBy(state, bucket)`` pass counts the
-   candidates in ``buckets`` equal-width buckets (output <= buckets rows per
-   state) and keeps only the bucket that holds the rank;
-3. the final candidate set (<= ``collect_limit`` values) is read and the
-   rank is picked exactly.
-
-Every pass is a partial-aggregated shuffle with bounded output; nothing of
-size proportional to the column reaches one task or the driver.
+"""Exact quantiles, global and by group, on one distributed path for every size.
+
+Spark's exact ``median`` / ``percentile`` aggregate merges a value -> count map of a
+group into one final task, which is unbounded for a hot group or a whole
+column.  Here the (group, value) counts are partially aggregated, cut into
+contiguous ranges of the (group, value) order (``ordering.ranged``: a hot
+group spans many ranges), ranked by running sums inside each range plus a
+table of offsets with one row per (range, group), and only the rows that
+hold the wanted ranks are kept.  No task holds more than about one range,
+whatever the values are (infinite ones and the ends of the double range
+included); null group keys are groups, null and NaN values are no values.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 4096
-DEFAULT_COLLECT_LIMIT = 200_000
-MAX_PASSES = 12
-
-
-@dataclass
-class _State:
-    column: str
-    ranks: set[int]
-    below: int
-    count: int
-    lo: float
-    hi: float
-    levels: list[tuple[float, float, int]] = field(default_factory=list)
+from ..functions.columns import clean_double
+from .ordering import ranged
 
 
-def _bucket(v: Column, lo: float, hi: float, buckets: int) -> Column:
-    if hi <= lo:
-        return F.when(v == F.lit(lo), F.lit(0)).otherwise(F.lit(-1))
-    raw = F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(buckets))).cast("int")
-    return F.when((v < F.lit(lo)) | (v > F.lit(hi)), F.lit(-1)).otherwise(F.least(raw, F.lit(buckets - 1)))
+def _null_safe(keys: Sequence[str]) -> list[Column]:
+    return [F.col(f"`{k}`").eqNullSafe(F.col(f"`_k_{k}`")) for k in keys]
 
 
-def _member(st: _State, buckets: int) -> Column:
-    cond = F.col("column") == F.lit(st.column)
-    for lo, hi, b in st.levels:
-        cond = cond & (_bucket(F.col("value"), lo, hi, buckets) == F.lit(b))
-    return cond
-
-
-def _stack(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols]
-    return (
-        df.select(F.explode(F.array(*pairs)).alias("s"))
-        .select("s.column", "s.value")
-        .filter(F.col("value").isNotNull() & ~F.isnan(F.col("value")))
-    )
-
-
-def exact_rank_values(
-    df: DataFrame,
-    cols: Sequence[str],
-    ranks_of: callable,
-    buckets: int = DEFAULT_BUCKETS,
-    collect_limit: int = DEFAULT_COLLECT_LIMIT,
-) -> tuple[dict[str, int], dict[tuple[str, int], float]]:
-    """Values at 0-based ranks per column; ``ranks_of(n)`` lists the wanted ranks."""
-    cols = list(cols)
-    stacked = _stack(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        stats = {
-            r["column"]: r
-            for r in stacked.groupBy("column")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-            .collect()
-        }
-        counts = {c: int(stats[c]["n"]) if c in stats else 0 for c in cols}
-        found: dict[tuple[str, int], float] = {}
-        states = []
-        for c in cols:
-            n = counts[c]
-            if n == 0:
-                continue
-            states.append(_State(c, set(ranks_of(n)), 0, n, float(stats[c]["lo"]), float(stats[c]["hi"])))
-        for _ in range(MAX_PASSES):
-            if not states:
-                break
-            for st in [s for s in states if s.lo == s.hi]:
-                for k in st.ranks:
-                    found[(st.column, k)] = st.lo
-            states = [s for s in states if s.lo != s.hi]
-            small = [s for s in states if s.count <= collect_limit]
-            large = [s for s in states if s.count > collect_limit]
-            if small:
-                sid = F.lit(-1)
-                for i, st in reversed(list(enumerate(small))):
-                    sid = F.when(_member(st, buckets), F.lit(i)).otherwise(sid)
-                rows = (
-                    stacked.select(sid.alias("sid"), "value")
-                    .filter(F.col("sid") >= 0)
-                    .groupBy("sid")
-                    .agg(F.sort_array(F.collect_list("value")).alias("vals"))
-                    .collect()
-                )
-                by_sid = {r["sid"]: r["vals"] for r in rows}
-                for i, st in enumerate(small):
-                    vals = by_sid.get(i, [])
-                    for k in st.ranks:
-                        found[(st.column, k)] = float(vals[k - st.below])
-            if not large:
-                break
-            sid = F.lit(-1)
-            for i, st in reversed(list(enumerate(large))):
-                sid = F.when(_member(st, buckets), F.lit(i)).otherwise(sid)
-            bucket = F.lit(-1)
-            for i, st in reversed(list(enumerate(large))):
-                bucket = F.when(F.col("sid") == F.lit(i), _bucket(F.col("value"), st.lo, st.hi, buckets)).otherwise(bucket)
-            hist = (
-                stacked.select(sid.alias("sid"), "value")
-                .filter(F.col("sid") >= 0)
-                .withColumn("b", bucket)
-                .groupBy("sid", "b")
-                .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-                .collect()
-            )
-            per: dict[int, list] = {}
-            for r in hist:
-                per.setdefault(r["sid"], []).append((r["b"], r["n"], r["lo"], r["hi"]))
-            nxt: dict[tuple[str, int], _State] = {}
-            for i, st in enumerate(large):
-                cum = st.below
-                for b, n, lo, hi in sorted(per.get(i, [])):
-                    hit = {k for k in st.ranks if cum <= k < cum + n}
-                    if hit:
-                        key = (st.column, b)
-                        nxt[key] = _State(
-                            st.column, hit, cum, int(n), float(lo), float(hi), st.levels + [(st.lo, st.hi, b)]
-                        )
-                    cum += n
-            states = list(nxt.values())
-        return counts, found
-    finally:
-        stacked.unpersist()
-
-
-def exact_quantiles(df: DataFrame, cols: Sequence[str], prob: float, **kw) -> dict[str, float | None]:
-    """Linear-interpolated quantile (numpy / pandas default) per column; None when all null."""
-
-    def ranks(n: int) -> list[int]:
-        pos = prob * (n - 1)
-        lo = int(pos // 1)
-        return [lo, min(lo + 1, n - 1)]
-
-    counts, found = exact_rank_values(df, cols, ranks, **kw)
-    out: dict[str, float | None] = {}
-    for c in cols:
-        n = counts.get(c, 0)
-        if n == 0:
-            out[c] = None
-            continue
-        pos = prob * (n - 1)
-        lo = int(pos // 1)
-        hi = min(lo + 1, n - 1)
-        a, b = found[(c, lo)], found[(c, hi)]
-        frac = pos - lo
-        out[c] = a if frac == 0 or a == b else (a + b) / 2.0 if frac == 0.5 else a + (b - a) * frac
-    return out
-
-
-def exact_medians(df: DataFrame, cols: Sequence[str], **kw) -> dict[str, float | None]:
-    """Exact interpolating median per column (mean of the two middle values)."""
-    return exact_quantiles(df, cols, 0.5, **kw)
+def _as_right(df: DataFrame, keys: Sequence[str], *others: str) -> DataFrame:
+    return df.select(*[F.col(f"`{k}`").alias(f"_k_{k}") for k in keys], *others)
 
 
-# Own choice: rows a group may hold for Spark's one-task percentile (value -> count map of <= this many entries).
-GROUP_PERCENTILE_ROWS = 5_000_000
-
-
-def grouped_percentile(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    p: float,
-    out: str = "percentile",
-    max_group_rows: int | None = GROUP_PERCENTILE_ROWS,
-) -> DataFrame:
-    """Exact percentile of ``value`` per group of ``keys`` (Spark's ``percentile``:
-    linear interpolation between the values at ranks floor and ceil of
-    ``p * (n - 1)``, nulls ignored, null for a group without values).
-
-    ``percentile`` keeps a value -> count map per group and merges it in one
-    task, so a hot group (a window holding a third of all rows) is unbounded
-    there.  One partial-aggregated count per group checks the largest
-    group: when it holds at most ``max_group_rows`` rows (``None``: no check,
-    always the ranged path) the map is bounded and ``percentile``
-    runs in one pass.  Beyond
-    that bound the (group, value) counts are partial-aggregated, cut into
-    contiguous ranges of the (group, value) order (``ordering.ranged``, a hot
-    group spans many ranges), ranked by running sums inside each range plus
-    a per (range, group) offset table, and only the two rows that hold the
-    wanted ranks are kept per group.
-    """
-    from pyspark.sql import Window
-
-    from .ordering import ranged
-
+def ranked_values(df: DataFrame, keys: Sequence[str], value: str, ranks: Sequence[Callable[[Column], Column]]) -> DataFrame:
+    """One row per group: ``keys``, ``_n`` (values) and ``_v0``, ``_v1``, ...: the
+    value at the 0-based rank ``ranks[i](_n)`` of the sorted group (null without values)."""
     keys = list(keys)
-    if max_group_rows is not None:
-        largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-        if largest is None or largest <= max_group_rows:
-            return df.groupBy(*keys).agg(F.percentile(F.col(value), p).alias(out))
-    g = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_rows"))
-    c = F.when(F.col(value).isNull(), F.lit(0)).otherwise(F.col("_rows"))
-    r = ranged(g.withColumn("_c", c).drop("_rows"), [*keys, value])
+    clean = df.select(*keys, clean_double(F.col(f"`{value}`")).alias("_value"))
+    g = clean.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_rows"))
+    c = F.when(F.col("_value").isNull(), F.lit(0)).otherwise(F.col("_rows"))
+    r = ranged(g.withColumn("_c", c).drop("_rows"), [*keys, "_value"])
     # rank of the first copy of each value inside its (range, group) piece
     w_in = Window.partitionBy("_range", *keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
     rows = r.withColumn("_before", F.coalesce(F.sum("_c").over(w_in), F.lit(0)))
@@ -227,31 +45,64 @@ def grouped_percentile(
     pieces = r.groupBy("_range", *keys).agg(F.sum("_c").alias("_pc"))
     w_prev = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.select(
-        "_range",
+        F.col("_range").alias("_at"),
         *keys,
         F.coalesce(F.sum("_pc").over(w_prev), F.lit(0)).alias("_off"),
         F.sum("_pc").over(Window.partitionBy(*keys)).alias("_n"),
     )
-    pos = (F.col("_n") - F.lit(1)).cast("double") * F.lit(float(p))
-    ranked = (
-        rows.join(pieces, on=["_range", *keys], how="inner")
-        .withColumn("_first", F.col("_off") + F.col("_before"))
-        .withColumn("_lo", F.floor(pos))
-        .withColumn("_hi", F.ceil(pos))
+    placed = rows.join(_as_right(pieces, keys, "_at", "_off", "_n"), [F.col("_range") == F.col("_at"), *_null_safe(keys)])
+    first = F.col("_off") + F.col("_before")
+
+    def holds(i: int) -> Column:
+        rank = ranks[i](F.col("_n"))
+        return (F.col("_c") > 0) & (first <= rank) & (rank < first + F.col("_c"))
+
+    wanted = F.lit(False)
+    for i in range(len(ranks)):
+        wanted = wanted | holds(i)
+    picked = placed.filter(wanted).groupBy(*keys).agg(
+        *[F.max(F.when(holds(i), F.col("_value"))).alias(f"_v{i}") for i in range(len(ranks))]
     )
+    groups = pieces.groupBy(*keys).agg(F.max("_n").alias("_n"))
+    values = [f"_v{i}" for i in range(len(ranks))]
+    return groups.join(_as_right(picked, keys, *values), _null_safe(keys) or F.lit(True), "left").select(*keys, "_n", *values)
 
-    def covers(rank: str):
-        return (F.col("_c") > 0) & (F.col("_first") <= F.col(rank)) & (F.col(rank) < F.col("_first") + F.col("_c"))
 
-    picked = ranked.filter(covers("_lo") | covers("_hi")).groupBy(*keys).agg(
-        F.max(F.when(covers("_lo"), F.col(value))).alias("_lv"),
-        F.max(F.when(covers("_hi"), F.col(value))).alias("_hv"),
-        F.first("_n").alias("_n"),
-    )
-    groups = pieces.select(*keys).distinct()
-    posp = (F.col("_n") - F.lit(1)).cast("double") * F.lit(float(p))
-    lo, hi = F.floor(posp), F.ceil(posp)
-    lv, hv = F.col("_lv").cast("double"), F.col("_hv").cast("double")
-    interp = (hi - posp) * lv + (posp - lo) * hv
-    res = F.when((hi == lo) | (lv == hv), lv).otherwise(interp)
-    return groups.join(picked, on=keys, how="left").select(*keys, res.alias(out))
+def _position(p: float) -> Callable[[Column], Column]:
+    return lambda n: (n - F.lit(1)).cast("double") * F.lit(float(p))
+
+
+def grouped_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, out: str = "percentile") -> DataFrame:
+    """Exact percentile of ``value`` per group of ``keys``: linear interpolation between
+    the values at ranks floor and ceil of ``p * (n - 1)``; null for a group without values."""
+    keys = list(keys)
+    at = _position(p)
+    ranked = ranked_values(df, keys, value, [lambda n: F.floor(at(n)), lambda n: F.ceil(at(n))])
+    pos, lv, hv = at(F.col("_n")), F.col("_v0"), F.col("_v1")
+    lo, hi = F.floor(pos), F.ceil(pos)
+    interp = (hi - pos) * lv + (pos - lo) * hv
+    return ranked.select(*keys, F.when((hi == lo) | (lv == hv), lv).otherwise(interp).alias(out))
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], prob: float) -> dict[str, float | None]:
+    """Linear-interpolated quantile per column; None for a column without values."""
+    cols = list(cols)
+    if not cols:
+        return {}
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols]
+    stacked = df.select(F.explode(F.array(*pairs)).alias("s")).select("s.column", "s.value")
+    rows = grouped_percentile(stacked, ["column"], "value", prob, "q").collect()  # one row per column
+    found = {r["column"]: r["q"] for r in rows}
+    return {c: found.get(c) for c in cols}
+
+
+def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
+    """Exact interpolating median per column (mean of the two middle values)."""
+    return exact_quantiles(df, cols, 0.5)
+
+
+def value_at_rank(df: DataFrame, column: str, rank: int) -> float | None:
+    """The value at a 0-based rank of a column."""
+    one = df.select(F.lit(0).alias("_g"), F.col(column))
+    found = ranked_values(one, ["_g"], column, [lambda n: F.lit(int(rank))]).collect()  # one row
+    return found[0]["_v0"] if found else None

@@ -7,15 +7,17 @@ failing one leaves them as they are.  Expressed over the whole version
 history at once: a Production version becomes Archived when a later version
 of the same target passed (window over the target's versions, which are few).
 
-Storage: an append-only parquet table partitioned by ``run``; the current
-state is the newest run (partition pruning).  One writer, no rename, so a
-lost executor or a failed job never leaves a half-written current state.
+Storage: a parquet table partitioned by ``run`` with the whole state after
+each run; the current state is the newest run (partition pruning).  One writer,
+and a replayed run replaces its own folder, so a lost executor or a failed job
+never leaves a half-written current state.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,7 +109,7 @@ def run_targets(spark: SparkSession, run: int, jobs: Mapping[str, "callable"]) -
             job()
             rows.append((int(run), target, True, None))
         except Exception as exc:  # noqa: BLE001 - record and go on with the next target
-            rows.append((int(run), target, False, f"{type(exc).__name__}: {str(exc)[:200]}"))
+            rows.append((int(run), target, False, f"{type(exc).__name__}: {exc}"))
     return spark.createDataFrame(rows, "run int, target string, ok boolean, error string")
 
 
@@ -151,13 +153,31 @@ def performance_view(stages: DataFrame) -> DataFrame:
     )
 
 
+def _state_before(spark: SparkSession, path: str, run: int | None = None) -> DataFrame | None:
+    """State of the newest run (before ``run``); None without one."""
+    try:
+        t = spark.read.parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    if run is not None:
+        t = t.filter(F.col("run") < F.lit(int(run)))
+    newest = t.agg(F.max("run")).first()[0]
+    return None if newest is None else t.filter(F.col("run") == F.lit(newest)).drop("run")
+
+
 def append_run(df: DataFrame, path: str, run: int) -> None:
-    """Registry write: append the run's rows as a new ``run`` partition."""
-    df.withColumn("run", F.lit(int(run))).write.mode("append").partitionBy("run").parquet(path)
+    """Registry write (M9): the state after ``run``, its targets replaced and the others
+    as they were, in the run's own folder; a replayed run replaces that folder."""
+    before = _state_before(df.sparkSession, path, run)
+    state = df if before is None else upsert_status(before, df)
+    state.write.mode("overwrite").parquet(f"{path}/run={int(run)}")
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:
-    """Current registry state = rows of the newest run."""
-    t = spark.read.parquet(path)
-    newest = t.agg(F.max("run")).first()[0]
-    return t.filter(F.col("run") == F.lit(newest)).drop("run")
+    """Current registry state: every target as its last run left it."""
+    state = _state_before(spark, path)
+    if state is None:
+        raise ValueError(f"no registry at {path}")
+    return state

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import RANDOM_SEED, TEST_SIZE
-from .quantiles import exact_rank_values
+from .quantiles import value_at_rank
 
 
 def entity_hash(entity: str | Column, seed: int = RANDOM_SEED, digits: int = 8) -> Column:
@@ -55,8 +55,7 @@ def group_split(
     n_test = math.ceil(test_size * n_ent)
     if n_test <= 0:
         return rows.withColumn("side", F.lit("train"))
-    _, found = exact_rank_values(ents.select(F.col("_h").cast("double").alias("_h")), ["_h"], lambda n: [n_test - 1])
-    threshold = found[("_h", n_test - 1)]
+    threshold = value_at_rank(ents.select(F.col("_h").cast("double").alias("_h")), "_h", n_test - 1)
     return rows.withColumn("side", F.when(h_of(entity, seed).cast("double") <= F.lit(threshold), "test").otherwise("train"))
 
 

@@ -67,9 +67,9 @@ def dims_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     wide = coalesced_panel(spark, sf_dir)
     names = P.entity_names(D.source_names(spark, sf_dir))
-    wide = P.attach(wide, names, R.entity, [R.entity_name], check_unique=False)
+    wide = P.attach(wide, names, R.entity, [R.entity_name])
     dims = D.entity_dimension(spark, sf_dir)
-    wide = P.attach(wide, dims, R.entity, ["income_group", "region", "acctbal"], check_unique=False)
+    wide = P.attach(wide, dims, R.entity, ["income_group", "region", "acctbal"])
     wide = P.row_lag(wide, "income_group")
     wide = P.row_lag(wide, "gini_index")
     return wide
@@ -309,13 +309,13 @@ def q_group_split(spark, sf_dir):
 
 def _price_predictions(spark, sf_dir):
     """A mean predictor: average price per quantity, joined back (bounded by distinct quantities)."""
-    from ..operators.joins import runtime_sized
+    from ..operators.joins import lookup
 
     li = D.table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"
     )
     means = li.groupBy("l_quantity").agg(F.avg("l_extendedprice").alias("prediction"))
-    return li.join(runtime_sized(means), on="l_quantity", how="inner")
+    return lookup(li, means, ["l_quantity"])
 
 
 @query("regression_metrics")
@@ -355,13 +355,13 @@ def q_class_report(spark, sf_dir):
 def q_interval(spark, sf_dir):
     from ..functions.columns import interval_bounds
     from ..operators.evaluation import regression_metrics
+    from ..operators.joins import lookup
 
     scored = _price_predictions(spark, sf_dir)
     std = regression_metrics(scored, "l_extendedprice", "prediction", by=["l_returnflag"]).select(
         "l_returnflag", "residual_std"
     )
-    # one row per return flag (an aggregate): broadcast decided on its measured size
-    j = scored.join(std, on="l_returnflag", how="left")
+    j = lookup(scored, std, ["l_returnflag"], "left")
     lo, hi = interval_bounds("prediction", "residual_std")
     return rounded(j.select("l_orderkey", "l_linenumber", "prediction", lo.alias("lo"), hi.alias("hi")))
 

@@ -8,11 +8,10 @@ one when the cluster left it unset (local tests).
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "panelspark") -> SparkSession:
@@ -34,22 +33,20 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 TARGET_PARTITION_BYTES = 256 * 1024 * 1024
-MAX_SHUFFLE_PARTITIONS = 200_000
 
 
 def size_shuffles(spark: SparkSession, input_bytes: int, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
-    """Spill-aware sizing from the bytes a job reads.
-
-    Sets the initial shuffle partition count to about one per
-    ``target_bytes`` of input (at least the cluster's parallelism, at most
-    200,000) and lets adaptive execution coalesce to ``target_bytes`` after
-    projection and partial aggregation shrink the data; scan splits use the
-    same size.  100 TB gives ~200,000 initial partitions of <= 256 MB, which
-    fit an executor's memory and spill gracefully; skewed partitions are
-    split by the adaptive skew-join rule.
+    """Spill-aware sizing from the bytes a job reads, for scripts that own their session.
+
+    Sets the initial shuffle partition count to one per ``target_bytes`` of
+    input (at least twice the cluster's parallelism) and lets adaptive execution
+    coalesce to ``target_bytes`` after projection and partial aggregation
+    shrink the data; scan splits use the same size.  100 TB gives about
+    420,000 initial partitions of <= 256 MB, which fit an executor's memory and
+    spill gracefully; skewed partitions are split by the adaptive skew-join rule.
     """
     cores = spark.sparkContext.defaultParallelism
-    n = int(min(MAX_SHUFFLE_PARTITIONS, max(cores * 2, -(-input_bytes // target_bytes))))
+    n = int(max(cores * 2, -(-input_bytes // target_bytes)))
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
@@ -58,33 +55,41 @@ def size_shuffles(spark: SparkSession, input_bytes: int, target_bytes: int = TAR
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a scratch one only when unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder of the cluster.
+
+    A machine-local folder would be incomplete on a cluster, so an unset one
+    raises there; a local session (one process) gets a temporary folder.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    local = tempfile.mkdtemp(prefix="panelspark-ckpt-")
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        master = spark.sparkContext.master or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="panelspark-ckpt-")
+    spark.sparkContext.setCheckpointDir(configured)
+    return spark.sparkContext.getCheckpointDir() or configured
+
+
+_scratch: list[str] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/panelspark-{name}-{uuid.uuid4().hex[:12]}"
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (never localCheckpoint): survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
+    path = f"{base}/panelspark-{name}-{uuid.uuid4().hex[:12]}"
+    _scratch.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Deletes the intermediate tables written so far (call it when their results are
+    no longer read); returns how many there were."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_scratch)
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,16 +26,20 @@ def write_artifacts(maps: DataFrame, medians: DataFrame, path: str) -> None:
 
 def read_artifacts(spark: SparkSession, path: str) -> tuple[DataFrame | None, dict[str, float]]:
     """(category map or None, medians dict); absent artifacts -> unseen codes (-1) and 0.0 fallbacks."""
+    maps = _if_present(spark, f"{path}/categorical_mappings")
+    medians = _if_present(spark, f"{path}/feature_medians")
+    # one row per feature
+    return maps, {} if medians is None else {r["feature"]: r["median"] for r in medians.collect()}
+
+
+def _if_present(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table, or None where there is none; a damaged one raises."""
     try:
-        maps = spark.read.parquet(f"{path}/categorical_mappings")
-    except Exception:  # noqa: BLE001 - absent artifact: every category scores as unseen
-        maps = None
-    try:
-        # one row per feature
-        meds = {r["feature"]: r["median"] for r in spark.read.parquet(f"{path}/feature_medians").collect()}
-    except Exception:  # noqa: BLE001 - absent artifact: omitted numerics fall back to 0.0
-        meds = {}
-    return maps, meds
+        return spark.read.parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def prepare_scoring(

@@ -1,7 +1,7 @@
 """Delimited and JSON file sources.
 
-The separator of a delimited file is found from its header line (one row
-read with ``read.text().limit(1)``), headers are trimmed and lower-cased.
+The separator of a delimited file is found from its own header line (a folder
+may mix them), headers are trimmed and lower-cased.
 The text ``NA`` stays a value (Spark's CSV reader has no NA list unless
 one is given); numeric columns are coerced with ``try_cast`` afterwards.
 """
@@ -16,12 +16,20 @@ from pyspark.sql import functions as F
 from ..functions.columns import clean_header
 
 
-def sniff_separator(spark: SparkSession, path: str) -> str:
-    """';' if the header line has one, else ','."""
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
-        return ","
-    return ";" if ";" in first[0][0] else ","
+def sniff_separators(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files by separator: ';' if the file's header line has one, else ','.
+
+    The header is the first row of the split that starts at byte 0 of the
+    file.  One row per file comes back (the driver lists the files anyway).
+    """
+    lines = spark.read.text(path).select(
+        F.input_file_name().alias("file"), F.input_file_block_start().alias("at"), F.monotonically_increasing_id().alias("n"), "value"
+    )
+    first = lines.filter(F.col("at") == 0).groupBy("file").agg(F.min_by("value", "n").alias("header"))
+    out: dict[str, list[str]] = {}
+    for r in first.orderBy("file").collect():
+        out.setdefault(";" if ";" in r["header"] else ",", []).append(r["file"])
+    return out
 
 
 def read_delimited(spark: SparkSession, path: str, required: Sequence[str] = ()) -> DataFrame:
@@ -30,9 +38,15 @@ def read_delimited(spark: SparkSession, path: str, required: Sequence[str] = ())
     All columns are read as text (no inference pass); an unexpected shape
     (a required column missing) gives an empty frame with the found columns.
     """
-    sep = sniff_separator(spark, path)
-    df = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).csv(path)
-    df = df.toDF(*[clean_header(c) for c in df.columns])
+    parts = []
+    for sep, files in sniff_separators(spark, path).items():
+        df = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).csv(files)
+        parts.append(df.toDF(*[clean_header(c) for c in df.columns]))
+    if not parts:
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in required) or "value string")
+    df = parts[0]
+    for other in parts[1:]:
+        df = df.unionByName(other, allowMissingColumns=True)
     if required and not set(required) <= set(df.columns):
         return df.limit(0)
     return df

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import DEFAULT_ROLES, LONG, Roles
+from ..session import scratch_path
 
 log = logging.getLogger("panelspark.sources")
 
@@ -50,11 +51,13 @@ def first_existing(spark: SparkSession, paths: Sequence[str], reader: Callable[[
 
 
 def best_effort(spark: SparkSession, reader: Callable[[], DataFrame], schema: T.StructType = LONG) -> tuple[DataFrame, str]:
-    """Any failure of a source becomes an empty long table plus a status."""
+    """Any failure of a source, also while it is read, becomes an empty long table
+    plus a status.  The rows are landed here, so that reading them later cannot fail."""
     try:
         df = reader()
-        df.schema  # noqa: B018
-        return df, "ok"
+        path = scratch_path(spark, "landed")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), "ok"
     except Exception as exc:  # noqa: BLE001 - a failing source must not stop the run
         log.warning("source failed, writing an empty table: %s", exc)
         return empty(spark, schema), f"failed: {type(exc).__name__}"

@@ -38,7 +38,7 @@ def flatten_paged(pages: DataFrame, column: str = "value") -> DataFrame:
 
 
 SDMX_TYPE = (
-    "struct<data:struct<dataSets:array<struct<series:map<string,struct<observations:map<string,array<double>>>>>>,"
+    "struct<data:struct<dataSets:array<struct<series:map<string,struct<observations:map<string,variant>>>>>,"
     "structures:array<struct<dimensions:struct<"
     "series:array<struct<id:string,values:array<struct<id:string,name:string>>>>,"
     "observation:array<struct<id:string,values:array<struct<id:string,name:string>>>>>>>>>"
@@ -62,12 +62,6 @@ def flatten_sdmx(payloads: DataFrame, column: str = "value") -> DataFrame:
         F.col("st.dimensions.series").alias("sdims"),
         F.try_element_at("st.dimensions.observation", F.lit(1)).alias("odim"),
     )
-    obs = series.select(
-        "series_key",
-        "sdims",
-        "odim",
-        F.explode("series_val.observations").alias("obs_key", "obs_val"),
-    )
     idx = F.transform(F.split("series_key", ":"), lambda s: s.cast("int"))
     picked = F.transform(
         F.arrays_zip(F.col("sdims").alias("d"), idx.alias("i")),
@@ -77,16 +71,21 @@ def flatten_sdmx(payloads: DataFrame, column: str = "value") -> DataFrame:
             F.try_element_at(z["d"]["values"], z["i"] + 1)["name"].alias("label"),
         ),
     )
-    t_index = F.split("obs_key", ":").getItem(0).cast("int")
-    return obs.select(
-        F.map_from_arrays(F.transform(picked, lambda x: x["id"]), F.transform(picked, lambda x: x["code"])).alias(
-            "dimensions"
-        ),
-        F.map_from_arrays(F.transform(picked, lambda x: x["id"]), F.transform(picked, lambda x: x["label"])).alias(
-            "labels"
-        ),
-        F.try_element_at(F.col("odim.values"), t_index + 1)["id"].alias("time_period"),
-        F.try_element_at("obs_val", F.lit(1)).alias("value"),
+
+    def observed(e: Column) -> Column:
+        t_index = F.split(e["key"], ":").getItem(0).try_cast("int")
+        # an observation is a value, or a list of its value and attributes
+        value = F.coalesce(F.try_variant_get(e["value"], "$[0]", "double"), F.try_variant_get(e["value"], "$", "double"))
+        return F.struct(F.try_element_at(F.col("odim.values"), t_index + 1)["id"].alias("time_period"), value.alias("value"))
+
+    # coordinates once per series, before its observations are taken apart
+    cells = series.select(
+        F.map_from_arrays(F.transform(picked, lambda x: x["id"]), F.transform(picked, lambda x: x["code"])).alias("dimensions"),
+        F.map_from_arrays(F.transform(picked, lambda x: x["id"]), F.transform(picked, lambda x: x["label"])).alias("labels"),
+        F.transform(F.map_entries("series_val.observations"), observed).alias("obs"),
+    )
+    return cells.select("dimensions", "labels", F.explode_outer("obs").alias("o")).filter(F.col("o").isNotNull()).select(
+        "dimensions", "labels", "o.time_period", "o.value"
     )
 
 
@@ -113,11 +112,10 @@ def flatten_jsonstat(payloads: DataFrame, column: str = "value") -> DataFrame:
         idx_map = F.try_variant_get(cat["index"], "$", "map<string,int>")
         idx_arr = F.try_variant_get(cat["index"], "$", "array<string>")
         size_i = F.try_element_at(F.col("sizes"), i + 1)
-        inverted = F.map_from_entries(
-            F.transform(F.map_entries(idx_map), lambda e: F.struct(e["value"], e["key"]))
-        )
+        # codes in the order of their positions, wherever these begin
+        in_order = F.array_sort(F.transform(F.map_entries(idx_map), lambda e: F.struct(e["value"].alias("at"), e["key"].alias("code"))))
         by_pos = F.coalesce(
-            F.when(idx_map.isNotNull(), F.transform(F.sequence(F.lit(0), size_i - 1), lambda p: F.try_element_at(inverted, p))),
+            F.transform(in_order, lambda e: e["code"]),
             idx_arr,
             F.map_keys(cat["label"]),
         )

@@ -23,20 +23,25 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.drift import psi_grouped, reference_profile
 from ..operators.ordering import dense_index
 from ..params import DATASET_DRIFT_SHARE, DRIFT_REFERENCE_MIN_ROWS
+from ..session import scratch_path
 
 
 def _latest_epoch_dir(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
     """Rows of the newest epoch folder (older than ``before``: a replayed epoch ignores its own output)."""
     try:
         t = spark.read.parquet(root)
-    except Exception:  # noqa: BLE001 - no buffer written yet
-        return None
+    except AnalysisException as exc:
+        # no buffer written yet; any other failure stops the batch, so that no row is lost
+        if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
     if before is not None:
         t = t.filter(F.col("epoch") < F.lit(before))
     newest = t.agg(F.max("epoch")).first()[0]
@@ -45,6 +50,12 @@ def _latest_epoch_dir(spark: SparkSession, root: str, before: int | None = None)
     return t.filter(F.col("epoch") == F.lit(newest)).drop("epoch")
 
 
+def _written(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, "profile")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drift_batch_writer(
     reference: Callable[[], DataFrame],
     numeric: Sequence[str],
@@ -66,15 +77,11 @@ def drift_batch_writer(
 
     def profile():
         ref = reference()
-        version = tuple(sorted(ref.inputFiles()))
+        version = hash(frozenset(ref.inputFiles()))
         if cache.get("version") != version:
             ranges, shares = reference_profile(ref, numeric, categorical)
-            spark = ref.sparkSession
-            # small tables, materialised once: bins x features rows
-            cache["profile"] = (
-                spark.createDataFrame(ranges.collect(), ranges.schema),
-                spark.createDataFrame(shares.collect(), shares.schema),
-            )
+            # one row per feature, and one per bin or category: written once
+            cache["profile"] = tuple(_written(t) for t in (ranges, shares))
             cache["version"] = version
         return cache["profile"]
 

@@ -34,7 +34,7 @@ def test_size_shuffles_scales_with_input(spark):
         small = size_shuffles(spark, 10 * 1024 * 1024)
         big = size_shuffles(spark, 100 * 1024**4)
         assert small == spark.sparkContext.defaultParallelism * 2
-        assert big == 200_000
+        assert big == 100 * 1024**4 // (256 * 1024**2)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
