@@ -111,7 +111,8 @@ def psi(
         at = F.when(x.isNotNull(), F.lit(0))
         if lo is not None and hi > lo:
             width = float(hi) - float(lo)
-            at = F.greatest(F.least(F.floor((x - F.lit(float(lo))) / F.lit(width) * F.lit(float(bins))).cast("double"), F.lit(bins - 1.0)), F.lit(0.0)).cast("int")
+            place = F.floor((x - F.lit(float(lo))) / F.lit(width) * F.lit(float(bins))).cast("double")
+            at = F.when(x.isNotNull(), F.greatest(F.least(place, F.lit(bins - 1.0)), F.lit(0.0)).cast("int"))
         return F.struct(F.lit(c).alias("feature"), at.cast("string").alias("bin"))
 
     sides = reference.select(*names, F.lit(True).alias("_ref")).unionByName(current.select(*names, F.lit(False).alias("_ref")))

@@ -451,6 +451,18 @@ def q_psi_columns(spark, sf_dir):
     return rounded(psi(ref, cur, DRIFT_NUMERIC, DRIFT_CATEGORICAL))
 
 
+@query("psi_nan")
+def q_psi_nan(spark, sf_dir):
+    """PSI where one column holds NaN on both sides: NaN is no value."""
+    from ..operators.drift import psi
+
+    li = D.table(spark, sf_dir, "lineitem").select("l_tax", "l_orderkey", "l_shipdate")
+    early = F.year("l_shipdate") <= 1998
+    k = F.col("l_orderkey") % 3
+    li = li.withColumn("l_tax", F.when((k == 0) | ((k == 1) & early), F.lit(float("nan"))).otherwise(F.col("l_tax")))
+    return rounded(psi(li.filter(early), li.filter(~early), ["l_tax"]))
+
+
 @query("psi_dataset")
 def q_psi_dataset(spark, sf_dir):
     from ..operators.drift import dataset_drift, psi
@@ -550,6 +562,19 @@ def q_p95_5m(spark, sf_dir):
     return rounded(latency_p95(D.events(spark, sf_dir).select("ts", "event_type", "value")))
 
 
+@query("p95_null_key")
+def q_p95_null_key(spark, sf_dir):
+    """P95 where a third of the targets is null and some latencies are NaN."""
+    from ..operators.monitoring import latency_p95
+
+    ev = D.events(spark, sf_dir).select(
+        "ts",
+        F.nullif(F.col("event_type"), F.lit("view")).alias("event_type"),
+        F.when(F.col("event_id") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"),
+    )
+    return rounded(latency_p95(ev))
+
+
 @query("error_ratio_5m")
 def q_error_ratio_5m(spark, sf_dir):
     from ..operators.monitoring import error_ratio
@@ -639,6 +664,41 @@ def q_status_upsert(spark, sf_dir):
     return rounded(out.select("target", "version", "stage", "metric_value"))
 
 
+@query("registry_state")
+def q_registry_state(spark, sf_dir):
+    """M8 / M9: the stored state after a run over all targets, a run over one, and its replay."""
+    from ..operators.registry import append_run, latest_per_target, read_current
+    from ..session import scratch_path
+
+    st, _ = _stages(spark, sf_dir)
+    st = st.withColumn("_newest", F.max("version").over(Window.partitionBy("target")))
+    path = scratch_path(spark, "registry")
+    append_run(latest_per_target(st.filter(F.col("version") < F.col("_newest"))).drop("_newest"), path, 1)
+    one = st.filter((F.col("version") == F.col("_newest")) & (F.col("target") == "gini")).drop("_newest")
+    append_run(one, path, 2)
+    append_run(one, path, 2)
+    return rounded(read_current(spark, path).select("target", "version", "stage", "metric_value"))
+
+
+@query("nan_panel")
+def q_nan_panel(spark, sf_dir):
+    """A1, A3 and Q1 on cells that hold NaN: no value for the mean, the fill and the rule."""
+    from ..operators.features import impute_two_level
+    from ..operators.quality import Rule, validate
+
+    o = D.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    price = F.when(F.col("o_orderkey") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice"))
+    long = o.select(
+        F.col("o_custkey").alias(R.entity), F.year("o_orderdate").alias(R.time), F.lit("price").alias(R.indicator), price.alias(R.value)
+    )
+    keys = o.select(F.col("o_custkey").alias(R.entity), F.year("o_orderdate").alias(R.time)).distinct()
+    panel = keys.join(P.pivot_mean(long, ["price"]), on=[R.entity, R.time], how="left")
+    panel = panel.withColumn("price", F.coalesce("price", F.lit(float("nan"))))
+    kept, _ = validate(panel, [Rule("price_ge", "price", "ge", 50000.0)])
+    filled, _ = impute_two_level(kept, ["price"])
+    return rounded(filled)
+
+
 @query("run_status")
 def q_run_status(spark, sf_dir):
     from ..operators.registry import run_status

@@ -935,3 +935,30 @@ FROM g LEFT JOIN r
   ON r.ws = g.ws AND r.event_type = g.event_type
  AND r.rn = greatest(CAST(ceil(CAST(0.95 AS DOUBLE) * g.n) AS BIGINT), 1)"""
 )
+
+
+# The same SQL over a table in which the cells that hold NaN on the Spark side are null.
+SQL["registry_state"] = SQL["status_upsert"]
+SQL["psi_nan"] = (
+    "WITH li AS (SELECT CASE WHEN l_orderkey % 3 = 0 OR (l_orderkey % 3 = 1 AND year(l_shipdate) <= 1998) THEN NULL ELSE l_tax END AS x, year(l_shipdate) <= 1998 AS ref FROM lineitem),\n"
+    "r AS (SELECT min(x) AS lo, max(x) AS hi, count(x) FILTER (ref) AS nq, count(x) FILTER (NOT ref) AS np FROM li),\n"
+    "b AS (SELECT greatest(least(floor((x - lo) / (hi - lo) * 10.0), 9), 0) AS bin, ref, nq, np FROM li, r WHERE x IS NOT NULL),\n"
+    "s AS (SELECT bin, greatest(count(*) FILTER (NOT ref) / any_value(np), 0.0001) AS p, greatest(count(*) FILTER (ref) / any_value(nq), 0.0001) AS q "
+    "FROM b GROUP BY bin),\n"
+    "t AS (SELECT sum((p - q) * ln(p / q)) AS psi FROM s)\n"
+    f"SELECT 'l_tax' AS feature, {r4('psi')} AS psi, psi >= 0.2 AS drifted FROM t"
+)
+SQL["p95_null_key"] = (
+    "WITH events AS (SELECT * REPLACE (nullif(event_type, 'view') AS event_type, "
+    "CASE WHEN event_id % 10 = 0 THEN NULL ELSE value END AS value) FROM events)\n" + SQL["p95_5m"].lstrip().replace("WITH ", ", ", 1)
+    if SQL["p95_5m"].lstrip().startswith("WITH ")
+    else "WITH events AS (SELECT * REPLACE (nullif(event_type, 'view') AS event_type, "
+    "CASE WHEN event_id % 10 = 0 THEN NULL ELSE value END AS value) FROM events)\n" + SQL["p95_5m"]
+)
+SQL["nan_panel"] = (
+    "WITH p AS (SELECT o_custkey AS entity, CAST(year(o_orderdate) AS INTEGER) AS time, "
+    "avg(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END) AS price FROM orders GROUP BY ALL),\n"
+    "k AS (SELECT * FROM p WHERE price IS NULL OR price >= 50000),\n"
+    "f AS (SELECT entity, time, coalesce(price, median(price) OVER (PARTITION BY entity)) AS price FROM k)\n"
+    f"SELECT entity, time, {r4('coalesce(price, (SELECT median(price) FROM f))')} AS price FROM f"
+)

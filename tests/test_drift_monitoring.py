@@ -139,3 +139,28 @@ def test_ranged_order_with_more_ranges_than_rows(spark):
         (r["k"], r["t"], r["_next_k"], r["_next_t"]) for r in next_in_order(df, ["k", "t"], ["k", "t"], partitions=16).collect()
     )
     assert nxt == [("a", 1, "a", 2), ("a", 2, "a", 3), ("a", 3, "b", 1), ("b", 1, "c", 7), ("c", 7, None, None)]
+
+
+def test_psi_ignores_nan_and_does_not_stretch_to_infinity(spark):
+    ref = spark.range(1000).select(F.col("id").cast("double").alias("x"))
+    cur = spark.range(1000).select((F.col("id") + 700).cast("double").alias("x"))
+    plain = DR.psi(ref, cur, ["x"]).first()["psi"]
+    odd = spark.createDataFrame([(float("nan"),), (None,)], "x double")
+    assert abs(DR.psi(ref.union(odd), cur.union(odd), ["x"]).first()["psi"] - plain) < 1e-12
+    far = spark.createDataFrame([(float("inf"),)], "x double")
+    assert DR.psi(ref.union(far), cur, ["x"]).first()["psi"] > 0.5 * plain
+
+
+def test_a_damaged_buffer_stops_the_batch(spark, tmpdir_path):
+    import os
+
+    import pytest
+
+    from panelspark.streaming.drift_stream import buffered_rows
+
+    assert buffered_rows(spark, f"{tmpdir_path}/none") == 0
+    os.makedirs(f"{tmpdir_path}/s/buffer/epoch=0")
+    with open(f"{tmpdir_path}/s/buffer/epoch=0/part-0.parquet", "wb") as f:
+        f.write(b"damaged")
+    with pytest.raises(Exception):  # noqa: B017
+        buffered_rows(spark, f"{tmpdir_path}/s")

@@ -122,3 +122,22 @@ def test_category_codes_dense_per_feature_over_many_ranges(spark):
     for feature, cats in (("region", {r for r, _ in data}), ("income_group_lag1", {g for _, g in data})):
         want = {(feature, c): i for i, c in enumerate(sorted(cats))}
         assert {k: v for k, v in got.items() if k[0] == feature} == want
+
+
+def test_quantiles_of_infinite_and_extreme_values(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(1.0,), (2.0,), (inf,), (float("nan"),), (None,)], "x double")
+    assert exact_medians(df, ["x"])["x"] == 2.0
+    ends = spark.createDataFrame([(1.7e308,), (-1.7e308,), (5.0,), (-inf,), (inf,)], "x double")
+    assert exact_medians(ends, ["x"])["x"] == 5.0
+
+
+def test_a_code_listed_twice_raises(spark):
+    import pytest
+
+    from panelspark.operators.codes import map_codes
+
+    df = spark.createDataFrame([("FR",)], "c string")
+    twice = spark.createDataFrame([("FR", "FRA"), ("FR", "FRX")], "code string, entity string")
+    with pytest.raises(ValueError, match="not unique"):
+        map_codes(df, "c", twice)

@@ -112,3 +112,24 @@ def test_serving_version_latest_vs_production_f1(spark):
     )
     assert rows(RG.serving_versions(st, "latest"), "target", "version") == [("gini", 3), ("mobility", 1)]
     assert rows(RG.serving_versions(st, "production"), "target", "version") == [("gini", 2)]
+
+
+def test_nan_metric_does_not_pass_a_gate(spark):
+    from panelspark.operators.registry import gates_table, version_stages
+
+    runs = spark.createDataFrame([("gini", 1, "r2", 0.6), ("gini", 2, "r2", float("nan"))], "target string, version int, metric string, value double")
+    got = {r["version"]: (r["passed"], r["stage"]) for r in version_stages(runs, gates_table(spark)).collect()}
+    assert got == {1: (True, "Production"), 2: (False, "Staging")}
+
+
+def test_registry_keeps_the_other_targets_and_survives_a_replay(spark, tmpdir_path):
+    from panelspark.operators.registry import append_run, read_current
+
+    def rows_of(*rows):
+        return spark.createDataFrame(list(rows), "target string, version int")
+
+    path = f"{tmpdir_path}/registry"
+    append_run(rows_of(("gini", 1), ("mobility", 1)), path, 1)
+    for _ in range(2):
+        append_run(rows_of(("gini", 2)), path, 2)
+    assert sorted(tuple(r) for r in read_current(spark, path).collect()) == [("gini", 2), ("mobility", 1)]

@@ -156,3 +156,71 @@ def test_artifacts_round_trip_and_scoring_a7(spark, tmpdir_path):
     m2, med2 = read_artifacts(spark, f"{tmpdir_path}/none")
     out2 = prepare_scoring(score, ["gdp"], ["region"], m2, med2)
     assert out2.filter("gdp IS NULL OR region_code IS NULL").count() == 0
+
+
+def test_separator_is_found_per_file(spark, tmpdir_path):
+    from panelspark.sources.files import read_delimited
+
+    import os
+
+    os.makedirs(f"{tmpdir_path}/mixed")
+    for name, text in (("a.csv", "Country;Year;Value\nNA;2020;1\n"), ("b.csv", "Country,Year,Value\nDE,2021,2\n"), ("c.csv", "")):
+        with open(f"{tmpdir_path}/mixed/{name}", "w") as f:
+            f.write(text)
+    got = sorted(tuple(r) for r in read_delimited(spark, f"{tmpdir_path}/mixed").select("country", "year", "value").collect())
+    assert got == [("DE", "2021", "2"), ("NA", "2020", "1")]
+
+
+def test_odd_observations_do_not_empty_a_payload(spark):
+    import json
+
+    from panelspark.sources.payloads import flatten_sdmx
+
+    dims = {"series": [{"id": "REF_AREA", "values": [{"id": "FRA", "name": "France"}]}], "observation": [{"id": "TIME", "values": [{"id": str(2000 + i)} for i in range(5)]}]}
+    obs = {"0": [0.3], "1": 0.4, "2": ["0.5"], "3": [0.6, "A"], "4": [None, 1]}
+    payload = {"data": {"dataSets": [{"series": {"0": {"observations": obs}}}], "structures": [{"dimensions": dims}]}}
+    out = flatten_sdmx(spark.createDataFrame([(json.dumps(payload),)], "value string"))
+    got = {r.time_period: r.value for r in out.collect()}
+    assert got == {"2000": 0.3, "2001": 0.4, "2002": 0.5, "2003": 0.6, "2004": None}
+
+
+def test_index_positions_may_begin_anywhere(spark):
+    import json
+
+    from panelspark.sources.payloads import flatten_jsonstat
+
+    cube = {"id": ["geo"], "size": [2], "dimension": {"geo": {"category": {"index": {"B": 2, "A": 1}, "label": {"A": "a", "B": "b"}}}}, "value": {"0": 1.0, "1": 2.0}}
+    out = flatten_jsonstat(spark.createDataFrame([(json.dumps(cube),)], "value string"))
+    assert {r.codes["geo"]: r.value for r in out.collect()} == {"A": 1.0, "B": 2.0}
+
+
+def test_a_source_that_fails_while_it_is_read(spark, tmpdir_path):
+    import os
+
+    os.makedirs(f"{tmpdir_path}/broken")
+    with open(f"{tmpdir_path}/broken/part-0.parquet", "wb") as f:
+        f.write(b"PAR1 not parquet PAR1")
+    df, status = SL.best_effort(spark, lambda: spark.read.schema("entity string").parquet(f"{tmpdir_path}/broken"))
+    assert status.startswith("failed") and df.count() == 0
+
+
+def test_damaged_artifacts_raise_and_absent_ones_do_not(spark, tmpdir_path):
+    import os
+
+    import pytest
+
+    from panelspark.sources.artifacts import read_artifacts
+
+    assert read_artifacts(spark, f"{tmpdir_path}/none") == (None, {})
+    os.makedirs(f"{tmpdir_path}/bad/feature_medians")
+    with open(f"{tmpdir_path}/bad/feature_medians/part-0.parquet", "wb") as f:
+        f.write(b"nothing")
+    with pytest.raises(Exception):  # noqa: B017
+        read_artifacts(spark, f"{tmpdir_path}/bad")
+
+
+def test_years_written_as_decimals(spark):
+    from panelspark.functions.columns import to_int
+
+    df = spark.createDataFrame([("2021.0",), ("2021",), ("20x",), (None,), ("1e99",)], "y string")
+    assert [r[0] for r in df.select(to_int("y")).collect()] == [2021, 2021, None, None, None]
