@@ -10,9 +10,9 @@ probability of their weighted Jaccard similarity.  The rows of a band make one k
 
 Texts of equal word sequences are one node.  Nodes that share a band key form a
 bucket, and every node of a bucket is compared with its hub, the least node.  A node
-that is not similar to its hub is compared with the others of its bucket where
-these are few (``FEW``); in a larger bucket it goes on to finer ones, in which the nodes
-share one more band key, and so on until no two nodes share a bucket.  Similar nodes share many
+that the links found so far leave outside its hub's class is compared with the nodes of
+other classes in its bucket where these are few (``FEW``); in a larger bucket it goes on to finer
+ones, in which the nodes share one more band key, and so on until no two nodes share a bucket.  Similar nodes share many
 bands, so they meet a common hub, or each other, on the way; unlike nodes that meet by a
 common passage part soon.  No step makes all pairs of a bucket: a node is compared
 at most ``FEW`` times in each bucket it is in, however large that is.  Every pair is verified
@@ -43,7 +43,7 @@ from .shingles import mix, shingles
 SIMILARITY = 0.8
 BANDS, ROWS = 15, 4
 # Nodes of a bucket up to which one that is not similar to the hub is compared with all others.
-FEW = 64
+FEW = 16
 DF_BUCKETS = 1 << 18
 IDF_POWER = 0.25
 _SEED = 20240101
@@ -237,20 +237,29 @@ def link(
             texts = _candidates(docs, staged(wanted, "wanted"), text, doc_id)
             buckets = buckets.drop("r")
         verify(buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-        same = links.select(F.col("a").alias("hub"), F.col("b").alias("node"))
-        rest = staged(buckets.filter("node <> hub").join(same, ["hub", "node"], "left_anti"), "rest")
-        # up to FEW nodes: what is not similar to the hub is compared with the others
-        few = buckets.filter((F.col("n") <= FEW) & (F.col("node") != F.col("hub"))).select("bucket", F.col("node").alias("other"))
-        both = rest.filter(F.col("n") <= FEW).select("bucket", "node").join(few, "bucket").filter("node <> other")
+        labels = components(links)
+        apart = staged(_apart(buckets, labels), "apart")
+        # up to FEW nodes: what is not in the hub's class is compared with the nodes of other classes
+        few = _apart(buckets, labels, False).filter(F.col("n") <= FEW).select("bucket", F.col("node").alias("other"), F.col("label").alias("of"))
+        both = apart.filter(F.col("n") <= FEW).join(few, "bucket").filter((F.col("label") != F.col("of")) & (F.col("other") != F.col("hub")))
         verify(both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
         # more than FEW: it goes on by every later band
+        rest = apart.filter((F.col("n") > FEW) & (F.col("band") < bands - 1))
         at = F.explode(F.sequence(F.col("band") + 1, F.lit(bands - 1)))
-        finer = rest.filter((F.col("n") > FEW) & (F.col("band") < bands - 1)).select("node", "keys", "bucket", at.alias("band"))
+        finer = rest.select("node", "keys", "bucket", at.alias("band"))
         left = staged(finer.select("node", "keys", "band", F.xxhash64("bucket", F.get("keys", F.col("band"))).alias("bucket")), "left")
         if left.limit(1).count() == 0:
             return signed.select("d", "x", "node"), links
 
 
+def _apart(buckets: DataFrame, labels: DataFrame, only: bool = True) -> DataFrame:
+    """The rows of buckets with the ``label`` of their node; only those outside their hub's class."""
+    of_hub = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+    out = buckets.join(labels, "node", "left").join(of_hub, "hub", "left")
+    out = out.withColumns({"label": F.coalesce("label", "node"), "hub_label": F.coalesce("hub_label", "hub")})
+    return out.filter(F.col("label") != F.col("hub_label")).drop("hub_label") if only else out.drop("hub_label")
+
+
 def classes(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
