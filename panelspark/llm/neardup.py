@@ -11,8 +11,9 @@ probability of their weighted Jaccard similarity.  The rows of a band make one k
 Texts of equal word sequences are one node.  Nodes that share a band key form a
 bucket, and every node of a bucket is compared with its hub, the least node.  A node
 that the links found so far leave outside its hub's class is compared with the nodes of
-other classes in its bucket where these are few (``FEW``); in a larger bucket it goes on to finer
-ones, in which the nodes share one more band key, and so on until no two nodes share a bucket.  Similar nodes share many
+other classes in its bucket, all of up to ``FEW`` or the ``HUBS`` least of more, and in a larger
+bucket it goes on to finer ones, in which the nodes share one more band key and meet
+another hub, and so on until no two nodes share a bucket.  Similar nodes share many
 bands, so they meet a common hub, or each other, on the way; unlike nodes that meet by a
 common passage part soon.  No step makes all pairs of a bucket: a node is compared
 at most ``FEW`` times in each bucket it is in, however large that is.  Every pair is verified
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, col, fresh, staged
@@ -44,6 +45,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 15, 4
 # Nodes of a bucket up to which one that is not similar to the hub is compared with all others.
 FEW = 16
+# Further hubs of a larger bucket.
+HUBS = 4
 DF_BUCKETS = 1 << 18
 IDF_POWER = 0.25
 _SEED = 20240101
@@ -220,6 +223,7 @@ def link(
     texts: DataFrame | None = None
     done: DataFrame | None = None
     links: DataFrame | None = None
+    labels: DataFrame | None = None
 
     def verify(pairs: DataFrame) -> None:
         nonlocal done, links
@@ -236,17 +240,26 @@ def link(
             wanted = buckets.groupBy("node").agg(F.min("r").alias("r")).select("node", F.col("r.d").alias("d"), F.col("r.x").alias("x"))
             texts = _candidates(docs, staged(wanted, "wanted"), text, doc_id)
             buckets = buckets.drop("r")
-        verify(buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-        labels = components(links)
-        apart = staged(_apart(buckets, labels), "apart")
-        # up to FEW nodes: what is not in the hub's class is compared with the nodes of other classes
-        few = _apart(buckets, labels, False).filter(F.col("n") <= FEW).select("bucket", F.col("node").alias("other"), F.col("label").alias("of"))
-        both = apart.filter(F.col("n") <= FEW).join(few, "bucket").filter((F.col("label") != F.col("of")) & (F.col("other") != F.col("hub")))
-        verify(both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
-        # more than FEW: it goes on by every later band
-        rest = apart.filter((F.col("n") > FEW) & (F.col("band") < bands - 1))
+        if labels is None:
+            verify(buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+            # then with other nodes of the bucket, where classes still differ: all of up to FEW, the least HUBS of more
+            labels = components(links)
+            apart = staged(_apart(buckets, labels), "apart")
+            nth = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
+            others = _apart(buckets.withColumn("nth", nth), labels, False).filter((F.col("n") <= FEW) | (F.col("nth") <= HUBS + 1))
+            others = others.select("bucket", F.col("node").alias("other"), F.col("label").alias("of"))
+            both = apart.join(others, "bucket").filter((F.col("label") != F.col("of")) & (F.col("other") != F.col("hub")))
+            verify(both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+            labels = components(links)
+            apart = _apart(buckets, labels).filter(F.col("n") > FEW)
+        else:
+            apart = _apart(buckets, labels)
+            verify(apart.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+            same = links.select(F.col("a").alias("hub"), F.col("b").alias("node"))
+            apart = apart.join(same, ["hub", "node"], "left_anti")
+        # what is still outside the hub's class goes on by every later band
         at = F.explode(F.sequence(F.col("band") + 1, F.lit(bands - 1)))
-        finer = rest.select("node", "keys", "bucket", at.alias("band"))
+        finer = apart.filter(F.col("band") < bands - 1).select("node", "keys", "bucket", at.alias("band"))
         left = staged(finer.select("node", "keys", "band", F.xxhash64("bucket", F.get("keys", F.col("band"))).alias("bucket")), "left")
         if left.limit(1).count() == 0:
             return signed.select("d", "x", "node"), links
