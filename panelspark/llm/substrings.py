@@ -196,20 +196,23 @@ def _send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _reader(folder: str, columns: list[str]):
-    """Rows found for a part of the written documents, read by the tasks that read the part."""
+    """Rows found for a part of the written documents, as arrays in order of (id, p),
+    read by the tasks that read the part."""
+    import pyarrow as pa
     import pyarrow.dataset as ds
 
     fs, root = _files(folder)
-    last: dict[int, pd.DataFrame] = {}
+    last: dict[int, dict[str, np.ndarray]] = {}
 
-    def of(part: int) -> pd.DataFrame:
+    def of(part: int) -> dict[str, np.ndarray]:
         if part not in last:
             last.clear()
             path = f"{root}/part={part}"
-            if fs.get_file_info(path).is_file or fs.get_file_info(path).type.name == "NotFound":
-                last[part] = pd.DataFrame({c: [] for c in columns})
+            if fs.get_file_info(path).type.name == "Directory":
+                table = ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=columns).sort_by([("id", "ascending"), ("p", "ascending")])
             else:
-                last[part] = ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=columns).to_pandas().sort_values(["id", "p"])
+                table = pa.table({c: pa.array([], pa.int64()) for c in columns})
+            last[part] = {c: table[c].to_numpy() for c in columns}
         return last[part]
 
     return of
@@ -224,13 +227,16 @@ def _by_part(found: DataFrame, name: str) -> str:
 
 
 def _with_rows(folder: str, columns: list[str], batches: Iterator[pd.DataFrame]):
-    """(id, d, raw text, its rows) of every text."""
+    """(id, d, raw text, arrays of its rows) of every text."""
     of = _reader(folder, columns)
     for batch in batches:
-        for id_, d, raw in zip(batch["id"].tolist(), batch["d"], _raw(batch["t"]), strict=True):
-            rows = of(id_ >> 33)
-            ids = rows["id"].to_numpy(np.int64)
-            yield id_, d, raw, rows.iloc[np.searchsorted(ids, id_) : np.searchsorted(ids, id_, side="right")]
+        ids, d, raw = batch["id"].to_numpy(np.int64), batch["d"].tolist(), _raw(batch["t"])
+        for part in dict.fromkeys((ids >> 33).tolist()):
+            rows = of(part)
+            here = np.flatnonzero((ids >> 33) == part)
+            lo, hi = (np.searchsorted(rows["id"], ids[here], side=side).tolist() for side in ("left", "right"))
+            for i, a, b in zip(here.tolist(), lo, hi, strict=True):
+                yield int(ids[i]), d[i], raw[i], {c: v[a:b] for c, v in rows.items()}
 
 
 def _resolve(batch: pd.DataFrame, length: int = LENGTH) -> pd.DataFrame:
@@ -292,11 +298,11 @@ def repeated(docs: DataFrame, many: int = MANY) -> tuple[DataFrame, DataFrame]:
 
     def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for id_, d, raw, rows in _with_rows(open_, columns, batches):
-            rows = rows[rows["around"] > many]
-            if len(rows):
-                starts = np.concatenate([np.arange(p, p + k) for p, k in zip(rows["p"], rows["n"], strict=True)])
+            hot = rows["around"] > many
+            if hot.any():
+                starts = np.concatenate([np.arange(p, p + k) for p, k in zip(rows["p"][hot].tolist(), rows["n"][hot].tolist(), strict=True)])
                 names = [hashlib.blake2b(raw[s : s + LENGTH], digest_size=16).digest() for s in starts.tolist()]
-                yield pd.DataFrame({"name": names, "d": pd.array([d] * len(starts), "Int64"), "id": id_, "p": starts})
+                yield pd.DataFrame({"name": names, "d": pd.array([None if pd.isna(d) else int(d)] * len(starts), "Int64"), "id": id_, "p": starts})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # rows come in order of the gram; what is held is compared where a gram ends
@@ -315,16 +321,16 @@ def repeated(docs: DataFrame, many: int = MANY) -> tuple[DataFrame, DataFrame]:
     few = bytes_.repartition(n, "key").sortWithinPartitions("key").mapInPandas(compare, "id bigint, p bigint, n bigint")
     found = marks.filter("past").select("id", "p", "n").union(few)
     if marks.filter((F.col("around") > many) & ~F.col("past")).limit(1).count():
-        each = written.mapInPandas(strings, "name binary, d bigint, id bigint, p bigint")
+        each = staged(written.mapInPandas(strings, "name binary, d bigint, id bigint, p bigint"), "strings")
         first = each.groupBy("name").agg(F.min(F.struct(F.col("d").isNull().alias("none"), "d", "p")).alias("f"))
         rest = each.join(first, "name").filter(~(F.col("f.d").eqNullSafe(F.col("d")) & (F.col("f.p") == F.col("p"))))
         found = found.union(rest.select("id", "p", F.lit(1).cast("bigint").alias("n")))
     return written, found
 
 
-def _spans(rows: pd.DataFrame, size: int) -> np.ndarray:
+def _spans(rows: dict[str, np.ndarray], size: int) -> np.ndarray:
     """Removed runs (start, end), maximal, in order."""
-    p, end = rows["p"].to_numpy(np.int64), (rows["p"] + rows["n"]).to_numpy(np.int64) - 1 + LENGTH
+    p, end = rows["p"], rows["p"] + rows["n"] - 1 + LENGTH
     if not len(p):
         return np.zeros((0, 2), np.int64)
     order = np.argsort(p, kind="stable")
