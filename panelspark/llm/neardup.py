@@ -9,15 +9,15 @@ its own common shingles weightless.  Improved consistent weighted sampling draws
 probability of their weighted Jaccard similarity.  The rows of a band make one key.
 
 Texts of equal word sequences are one node.  Nodes that share a band key form a
-bucket, and every node of a bucket is compared with its hub, the least node.  A node
-that the links found so far leave outside its hub's class is compared with the nodes of
-other classes in its bucket, all of up to ``FEW`` or the ``HUBS`` least of more, and in a larger
-bucket it goes on to finer ones, in which the nodes share one more band key and meet
-another hub, and so on until no two nodes share a bucket.  Similar nodes share many
-bands, so they meet a common hub, or each other, on the way; unlike nodes that meet by a
-common passage part soon.  No step makes all pairs of a bucket: a node is compared
-at most ``FEW`` times in each bucket it is in, however large that is.  Every pair is verified
-once, by the weighted Jaccard similarity of the whole texts; a pair whose plain
+bucket, and every node of a bucket is compared with its hub, the least node.  Where
+nodes are left outside their hub's class, all pairs of the bucket that lie in different
+classes are settled, those in the hub's class included: in buckets of up to ``FEW``
+nodes by comparing them, in larger ones in tasks of two blocks of nodes each.  A block
+has some ``BLOCK`` nodes and ``BLOCK_CHARS`` characters, so a task does not grow with the bucket.
+Inside a task a pair is passed over only if both are in one class by then, or if the
+bits in which their shingles differ prove it unlike (no similar pair is lost); the
+task returns the links that join classes, fewer than it has nodes.  Every link is verified
+by the weighted Jaccard similarity of the whole texts; a pair whose plain
 similarity is as high is linked as well, so that what a large family has in common,
 and its low weights, cannot hide a copy.  Classes are the connected components of the
 links, found by exchanging least labels.
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, col, fresh, staged
@@ -43,10 +43,12 @@ from .shingles import mix, shingles
 
 SIMILARITY = 0.8
 BANDS, ROWS = 15, 4
-# Nodes of a bucket up to which one that is not similar to the hub is compared with all others.
+# Nodes of a bucket up to which its pairs are compared as rows.
 FEW = 16
-# Further hubs of a larger bucket.
-HUBS = 4
+# Nodes and characters of the blocks a larger bucket is dealt into.
+BLOCK = 512
+BLOCK_CHARS = 1 << 24
+_BITS = 1024
 DF_BUCKETS = 1 << 18
 IDF_POWER = 0.25
 _SEED = 20240101
@@ -179,6 +181,92 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: fl
     return pairs.join(one, "a").join(two, "b").select("a", "ta", "b", "tb").mapInPandas(check, "a binary, b binary, similarity double")
 
 
+def _parities(s: np.ndarray) -> np.ndarray:
+    """``_BITS`` bits of a set, each the parity of its elements there: two sets differ in
+    as many elements at least as in bits."""
+    at = np.bincount((mix(s) & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS)
+    return np.packbits((at & 1).astype(np.uint8)).view(np.uint64)
+
+
+def settle(sets: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, side: np.ndarray | None, threshold: float) -> list[tuple[int, int, float]]:
+    """Links (i, j, weighted similarity) that join the classes ``label`` of weighted sets as all
+    pairs of ``threshold`` or more would; with ``side`` only pairs of different sides count."""
+    m = len(sets)
+    size = np.array([len(k) for k, _ in sets], np.float64)
+    total = np.array([w.sum(dtype=np.float64) for _, w in sets])
+    least = np.array([w.min() if len(w) else 1.0 for _, w in sets], np.float64)
+    bits = np.stack([_parities(k) for k, _ in sets])
+    _, flat = np.unique(np.concatenate([k for k, _ in sets]), return_inverse=True)
+    weight = np.concatenate([w for _, w in sets])
+    ends = np.cumsum(size).astype(np.int64)
+    starts = ends - size.astype(np.int64)
+    mine = np.zeros(int(flat.max()) + 1 if len(flat) else 1, np.float32)
+    group = np.unique(label, return_inverse=True)[1]
+    # what two similar sets may differ in, of the sum of both
+    may = (1 - threshold) / (1 + threshold) * (1 + 1e-6)
+    out = []
+    # the largest class comes last: its own pairs need no look
+    for i in np.argsort(np.bincount(group)[group], kind="stable").tolist():
+        left = group != group[i]
+        if side is not None:
+            left &= side != side[i]
+        other = np.flatnonzero(left & (size > 0))
+        if not len(other) or not size[i]:
+            continue
+        differ = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        plain = differ <= may * (size[other] + size[i])
+        heavy = differ * np.minimum(least[other], least[i]) <= may * (total[other] + total[i])
+        near = plain | heavy
+        other = other[near][np.argsort(differ[near], kind="stable")]
+        own = flat[starts[i] : ends[i]]
+        mine[own] = weight[starts[i] : ends[i]]
+        for first in range(0, len(other), 64):
+            some = other[first : first + 64]
+            some = some[group[some] != group[i]]
+            if not len(some):
+                continue
+            n = size[some].astype(np.int64)
+            begin = np.cumsum(n) - n
+            at = np.arange(int(n.sum())) + np.repeat(starts[some] - begin, n)
+            there = mine[flat[at]]
+            low = np.add.reduceat(np.minimum(there, weight[at]), begin, dtype=np.float64)
+            both = np.add.reduceat((there > 0).astype(np.float64), begin)
+            value = low / (total[some] + total[i] - low)
+            alike = np.maximum(value, both / (size[some] + size[i] - both)) >= threshold
+            for j, v in zip(some[alike].tolist(), value[alike].tolist(), strict=True):
+                if group[j] != group[i]:
+                    out.append((i, j, v))
+                    group[group == group[j]] = group[i]
+        mine[own] = 0
+    return out
+
+
+def _settled(rows: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Links (a, b, similarity) that join the classes of large buckets (bucket, n, node, label)."""
+    shared = rows.sparkSession.sparkContext.broadcast(idf)
+    sized = texts.select("node", F.length("t").alias("chars"))
+    rows = staged(rows.join(_small(sized), "node"), "large")
+    of = rows.groupBy("bucket").agg(F.greatest(F.ceil(F.first("n") / BLOCK), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
+    dealt = rows.join(_small(staged(of, "blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
+    # a block meets every block, itself included
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "label")
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        label = pd.factorize(pdf["label"])[0]
+        found: list[tuple[int, int, float]] = []
+        if label.any():
+            idf = shared.value
+            sets = [weighted(s, idf) for s in shingles(pdf["t"].tolist())]
+            side = pdf["block"].to_numpy() if pdf["i"].iloc[0] != pdf["j"].iloc[0] else None
+            found = settle(sets, label, side, threshold)
+        node = pdf["node"].tolist()
+        ends = [(*sorted((bytes(node[i]), bytes(node[j]))), v) for i, j, v in found]
+        return pd.DataFrame(ends, columns=["a", "b", "similarity"])
+
+    return met.join(texts, "node").groupBy("bucket", "i", "j").applyInPandas(join, "a binary, b binary, similarity double").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node in a link (a, b); the label is the least node it is connected to."""
     edges = staged(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -219,58 +307,40 @@ def link(
     signed = staged(_nodes(docs, text, doc_id, idf, bands, rows), "signatures")
     # any row of a node can stand for it, as its word sequence is the node
     nodes = signed.groupBy("node").agg(F.min(F.struct("d", "x")).alias("r"), F.first("keys").alias("keys"))
-    left = nodes.select("node", "r", "keys", F.posexplode("keys").alias("band", "bucket"))
-    texts: DataFrame | None = None
-    done: DataFrame | None = None
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-
-    def verify(pairs: DataFrame) -> None:
-        nonlocal done, links
-        new = staged(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    left = nodes.select("node", "r", F.posexplode("keys").alias("band", "bucket")).drop("band")
+    shared = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1")
+    buckets = staged(left.join(shared, "bucket"), "buckets")
+    wanted = buckets.groupBy("node").agg(F.min("r").alias("r")).select("node", F.col("r.d").alias("d"), F.col("r.x").alias("x"))
+    texts = _candidates(docs, staged(wanted, "wanted"), text, doc_id)
+    buckets = buckets.drop("r")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        new = staged(pairs, "pairs")
         some = staged(new.select("a").union(new.select("b")).distinct().withColumnRenamed("a", "node"), "nodes")
-        found = staged(_verified(new, texts.join(_small(some), "node", "left_semi"), idf, threshold), "links")
-        done = new if done is None else done.union(new)
-        links = found if links is None else links.union(found)
-
-    while True:
-        shared = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1")
-        buckets = staged(left.join(shared, "bucket"), "buckets")
-        if texts is None:
-            wanted = buckets.groupBy("node").agg(F.min("r").alias("r")).select("node", F.col("r.d").alias("d"), F.col("r.x").alias("x"))
-            texts = _candidates(docs, staged(wanted, "wanted"), text, doc_id)
-            buckets = buckets.drop("r")
-        if labels is None:
-            verify(buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-            # then with other nodes of the bucket, where classes still differ: all of up to FEW, the least HUBS of more
-            labels = components(links)
-            apart = staged(_apart(buckets, labels), "apart")
-            nth = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-            others = _apart(buckets.withColumn("nth", nth), labels, False).filter((F.col("n") <= FEW) | (F.col("nth") <= HUBS + 1))
-            others = others.select("bucket", F.col("node").alias("other"), F.col("label").alias("of"))
-            both = apart.join(others, "bucket").filter((F.col("label") != F.col("of")) & (F.col("other") != F.col("hub")))
-            verify(both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
-            labels = components(links)
-            apart = _apart(buckets, labels).filter(F.col("n") > FEW)
-        else:
-            apart = _apart(buckets, labels)
-            verify(apart.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-            same = links.select(F.col("a").alias("hub"), F.col("b").alias("node"))
-            apart = apart.join(same, ["hub", "node"], "left_anti")
-        # what is still outside the hub's class goes on by every later band
-        at = F.explode(F.sequence(F.col("band") + 1, F.lit(bands - 1)))
-        finer = apart.filter(F.col("band") < bands - 1).select("node", "keys", "bucket", at.alias("band"))
-        left = staged(finer.select("node", "keys", "band", F.xxhash64("bucket", F.get("keys", F.col("band"))).alias("bucket")), "left")
-        if left.limit(1).count() == 0:
-            return signed.select("d", "x", "node"), links
-
-
-def _apart(buckets: DataFrame, labels: DataFrame, only: bool = True) -> DataFrame:
-    """The rows of buckets with the ``label`` of their node; only those outside their hub's class."""
+        return staged(_verified(new, texts.join(_small(some), "node", "left_semi"), idf, threshold), "links")
+
+    hubs = buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    links = verify(hubs)
+    labelled = staged(_labelled(buckets, components(links)), "labelled")
+    # where a node is outside its hub's class, all pairs of different classes
+    apart = staged(labelled.filter("label <> hub_label"), "apart")
+    others = labelled.filter(F.col("n") <= FEW).select("bucket", F.col("node").alias("other"), F.col("label").alias("of"))
+    both = apart.filter(F.col("n") <= FEW).join(others, "bucket").filter((F.col("label") != F.col("of")) & (F.col("other") != F.col("hub")))
+    few = verify(both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct().join(hubs, ["a", "b"], "left_anti"))
+    links = links.union(few)
+    large = apart.filter(F.col("n") > FEW).select("bucket").distinct()
+    if large.limit(1).count():
+        rows_ = labelled.join(_small(staged(large, "large-buckets")), "bucket", "left_semi").select("bucket", "n", "node")
+        rows_ = rows_.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        links = links.union(staged(_settled(rows_, texts, idf, threshold), "links"))
+    return signed.select("d", "x", "node"), links
+
+
+def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets with the ``label`` of their node and that of their hub."""
     of_hub = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
     out = buckets.join(labels, "node", "left").join(of_hub, "hub", "left")
-    out = out.withColumns({"label": F.coalesce("label", "node"), "hub_label": F.coalesce("hub_label", "hub")})
-    return out.filter(F.col("label") != F.col("hub_label")).drop("hub_label") if only else out.drop("hub_label")
+    return out.withColumns({"label": F.coalesce("label", "node"), "hub_label": F.coalesce("hub_label", "hub")})
 
 
 def classes(

@@ -253,6 +253,46 @@ def test_near_duplicates(spark):
     assert (False, True) not in pairs
 
 
+def _large_family(n=300, twins=40, seed=9):
+    """Variants of one text, unlike one another by about a third, and a twin of some of them."""
+    rng = random.Random(seed)
+    base = corpus.prose(rng, 220).split(" ")
+    texts = []
+    for k in range(n):
+        copy = list(base)
+        for at in rng.sample(range(220), rng.randint(2, 9)):
+            copy[at] = f"own{k}x{at}"
+        texts.append(copy)
+    for k in rng.sample(range(n), twins):
+        twin = list(texts[k])
+        twin[rng.randint(0, 219)] = f"twin{k}"
+        texts.append(twin)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("block", [neardup.BLOCK, 64])
+def test_large_families_are_settled_whole(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    data = _large_family()
+    got = neardup.classes(spark.createDataFrame(data, "doc_id bigint, text string"))
+    label = {r.d: bytes(r.label) for r in got.collect()}
+    want = brute.similar(data)
+    assert len(set(want)) > 20  # a large bucket of many classes
+    assert [label[i] == label[j] for i in range(len(data)) for j in range(i)] == [want[i] == want[j] for i in range(len(data)) for j in range(i)]
+
+
+def test_settled_links_join_what_all_pairs_join():
+    data = _large_family(120, 20, 10)
+    idf = np.ones(neardup.DF_BUCKETS, np.float32)
+    sets = [neardup.weighted(s, idf) for s in neardup.shingles([t for _, t in data])]
+    of = list(range(len(data)))
+    for i, j, value in neardup.settle(sets, np.arange(len(data)), None, neardup.SIMILARITY):
+        assert abs(value - neardup.similarity(sets[i], sets[j])) < 1e-9
+        of = [of[i] if x == of[j] else x for x in of]
+    want = brute.similar(data)
+    assert [a == b for a in of for b in of] == [a == b for a in want for b in want]
+
+
 def test_samples_agree_as_often_as_the_weighted_similarity():
     rng = np.random.default_rng(4)
     keys = np.sort(neardup.mix(np.arange(1, 400, dtype=np.uint64)))
