@@ -6,9 +6,11 @@ shows over the host's pages; a leaf's content importance is one minus the mean
 entropy of its texts over the pages (a text that comes back on many pages carries
 little); the composite importance of a node joins its own with that of its children,
 bottom up.  Branches of low composite importance are cut from every page, beside those
-whose element, role or class says that they are not the article; the text of an
-article element itself is never cut for being repeated.  A host needs ``MIN_PAGES``
-pages for its tree to count.
+whose element, role or class says that they are not the article.  html, body and what
+holds an article element are never cut with it.  Pages with the same
+text in their article (or, without one, on the whole page) count as one page
+together, so copies are no boilerplate.  A host needs ``MIN_PAGES`` such pages for its
+tree to count.
 
 Only counts are gathered: pages by (host, path, text) and (host, path, child sequence),
 summed before the shuffle, so a host with a third of all pages is no larger a group
@@ -73,16 +75,20 @@ _MARKUP = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"\s+")
+# For Spark: the article of a page, and what is not its text.
+_ARTICLE = r"(?is)<(article|main)\b.*</\1\s*>"
+_BARE = r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|\s+"
 _NAME = re.compile(r"[a-z]+")
 
 
 class Node:
-    """An open element: its path, whether it is outside the article, whether inside one."""
+    """An open element: its path, whether its names or the tree cut it, whether it is inside an article."""
 
-    __slots__ = ("tag", "path", "cut", "article", "children")
+    __slots__ = ("tag", "path", "named", "low", "cut", "article", "children")
 
-    def __init__(self, tag: str, path: str, cut: bool, article: bool):
-        self.tag, self.path, self.cut, self.article, self.children = tag, path, cut, article, []
+    def __init__(self, tag: str, path: str, named: bool, low: bool, article: bool):
+        self.tag, self.path, self.named, self.low, self.article, self.children = tag, path, named, low, article, []
+        self.cut = named or low
 
 
 def _named(attrs: str, tag: str, article: bool) -> tuple[str, bool, bool]:
@@ -95,7 +101,7 @@ def _named(attrs: str, tag: str, article: bool) -> tuple[str, bool, bool]:
     hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
     words = set(_NAME.findall(names))
     out = hidden or role in ROLES or bool(words & NAMES) or (not article and "header" in words)
-    return ".".join(sorted(given.get("class", "").split())), out, role == "main"
+    return ".".join(sorted(given.get("class", "").replace("/", "|").split())), out, role == "main"
 
 
 def blocks(page: str | None, cut_paths: frozenset[str] = frozenset()) -> Iterator[tuple[str, str, bool, bool]]:
@@ -104,7 +110,7 @@ def blocks(page: str | None, cut_paths: frozenset[str] = frozenset()) -> Iterato
 
 
 def _walk(page: str, cut_paths: frozenset[str], closed: list[Node] | None) -> Iterator[tuple[str, str, bool, bool]]:
-    root = Node("", "", False, False)
+    root = Node("", "", False, False, False)
     stack, parts, place = [root], [], 0
 
     def text() -> str:
@@ -161,13 +167,16 @@ def _walk(page: str, cut_paths: frozenset[str], closed: list[Node] | None) -> It
         path = f"{top.path}/{tag}{'.' + name if name else ''}"
         article = top.article or tag in ("article", "main") or main
         said_cut = out and tag not in ("body", "html", "article", "main")
-        cut = top.cut or said_cut or tag in OUTSIDE or (tag == "header" and not top.article) or (path in cut_paths and not article)
+        named = top.named or said_cut or tag in OUTSIDE or (tag == "header" and not top.article)
+        # an article begins anew where the tree cuts what it lies in
+        low = (top.low or (path in cut_paths and tag not in ("body", "html"))) and not article
+        new = Node(tag, path, named, low, article)
         top.children.append(tag)
-        if cut and not top.cut and parts:
+        if new.cut != top.cut and parts:
             said = text()
             if said:
                 yield top.path, said, top.cut, top.article
-        stack.append(Node(tag, path, cut, article))
+        stack.append(new)
     parts.append(page[place:])
     said = text()
     if said:
@@ -224,19 +233,25 @@ def cut_branches(pages: DataFrame, html: str = "html", url: str = "url", min_pag
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(h, *fact) for h, page in zip(batch["host"], batch["html"], strict=True) if page for fact in _facts(page)]
-            yield pd.DataFrame(rows, columns=["host", "path", "kind", "value"])
+            share = 1 / batch["copies"].fillna(1)
+            rows = [(h, *fact, w) for h, page, w in zip(batch["host"], batch["html"], share, strict=True) for fact in _facts(page)]
+            yield pd.DataFrame(rows, columns=["host", "path", "kind", "value", "share"])
 
     source = pages.select(F.coalesce(F.try_parse_url(col(url), F.lit("HOST")), F.lit("")).alias("host"), col(html).alias("html"))
-    facts = source.mapInPandas(gather, "host string, path string, kind string, value string")
-    # the hash stands for the text: only how often it comes back counts
-    seen = facts.groupBy("host", "path", "kind", F.xxhash64("value").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    article = F.regexp_extract("html", _ARTICLE, 0)
+    same = F.xxhash64(F.regexp_replace(F.when(article != "", article).otherwise(F.col("html")), _BARE, ""))
+    source = source.filter("html <> ''").withColumn("same", same)
+    copies = staged(source.groupBy("host", "same").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "page-copies")
+    facts = join_small(source, copies, ["host", "same"]).drop("same")
+    facts = facts.mapInPandas(gather, "host string, path string, kind string, value string, share double")
+    # the hash stands for the text: only on how many distinct pages it comes back counts
+    seen = facts.groupBy("host", "path", "kind", F.xxhash64("value").alias("v")).agg(F.round(F.sum("share"), 6).alias("n"))
     seen = staged(seen, "site-counts")
     of_node = seen.filter("kind = 'page'").select("host", "path", F.col("n").alias("m"))
     with_m = seen.join(of_node, ["host", "path"]).filter(F.col("m") > 1)
     share = F.col("n") / F.col("m")
     log_m = F.log(F.col("m"))
-    entropy = F.when(F.col("kind") == "style", -share * F.log(share) / log_m).otherwise(F.log("n") / log_m)
+    entropy = F.when(F.col("kind") == "style", -share * F.log(share) / log_m).otherwise(F.log(F.greatest(F.col("n"), F.lit(1.0))) / log_m)
     nodes = with_m.groupBy("host", "path", "kind").agg(F.count(F.lit(1)).alias("k"), F.sum(entropy).alias("h"), F.max("m").alias("n"))
     large = of_node.groupBy("host").agg(F.max("m").alias("pages")).filter(F.col("pages") >= min_pages).select("host")
 

@@ -75,6 +75,30 @@ def test_repeated_branches_are_cut_by_their_entropy(spark):
     assert out[101] == out[102] == ""
 
 
+def _framed(body, menu="Menu"):
+    return f"<html><body><div class=c1><span>{menu}</span></div>{body}<div class=c2><p>Same on all</p></div></body></html>"
+
+
+@pytest.mark.parametrize("tag", ["article", "div class=text"])
+def test_copies_of_pages_are_no_boilerplate(spark, tag):
+    def body(i):
+        return f"<{tag}><h1>Title {i}</h1><p>Words of article {i}</p></{tag.split()[0]}>"
+
+    data = [(i, "http://one.example/", _framed(body(0))) for i in range(12)]
+    data += [(100 + i, "http://five.example/", _framed(body(i % 5), f"Menu {i // 50}")) for i in range(100)]
+    data += [(300 + i, "http://many.example/", _framed(body(i % 11))) for i in range(990)]
+    out = {r.page_id: r.text for r in sitetree.extract(spark.createDataFrame(data, "page_id bigint, url string, html string")).collect()}
+    for first, n, articles in ((0, 12, 1), (100, 100, 5), (300, 990, 11)):
+        for i in range(n):
+            assert f"Title {i % articles}\nWords of article {i % articles}" in out[first + i]
+    assert out[300] == "Title 0\nWords of article 0"
+
+
+def test_an_article_stays_where_the_branch_around_it_is_cut():
+    page = "<html><body><div class=c>Menu<article><p>Text</p></article></div></body></html>"
+    assert sitetree.main_text(page, frozenset({"/html", "/html/body", "/html/body/div.c"})) == "Text"
+
+
 def test_pages_keep_other_columns_and_repeats(spark):
     data = [(1, "http://a/", PAGE, "x", 5)] * 2
     out = sitetree.extract(spark.createDataFrame(data, "page_id bigint, url string, html string, text string, `c0` int"))
