@@ -7,7 +7,8 @@ entropy of its texts over the pages (a text that comes back on many pages carrie
 little); the composite importance of a node joins its own with that of its children,
 bottom up.  Branches of low composite importance are cut from every page, beside those
 whose element, role or class says that they are not the article.  html, body and what
-holds an article element are never cut with it.  Pages with the same
+holds an article element are never cut with it; inside an article a branch is cut if it is
+there on ``MIN_PAGES`` pages, but never all of the article.  Pages with the same
 text in their article (or, without one, on the whole page) count as one page
 together, so copies are no boilerplate.  A host needs ``MIN_PAGES`` such pages for its
 tree to count.
@@ -166,10 +167,11 @@ def _walk(page: str, cut_paths: frozenset[str], closed: list[Node] | None) -> It
         name, out, main = _named(m["attrs"] or "", tag, top.article)
         path = f"{top.path}/{tag}{'.' + name if name else ''}"
         article = top.article or tag in ("article", "main") or main
-        said_cut = out and tag not in ("body", "html", "article", "main")
+        begins = article and not top.article
+        said_cut = out and tag not in ("body", "html") and not (begins and tag in ("article", "main"))
         named = top.named or said_cut or tag in OUTSIDE or (tag == "header" and not top.article)
         # an article begins anew where the tree cuts what it lies in
-        low = (top.low or (path in cut_paths and tag not in ("body", "html"))) and not article
+        low = (top.low or (path in cut_paths and tag not in ("body", "html"))) and not begins
         new = Node(tag, path, named, low, article)
         top.children.append(tag)
         if new.cut != top.cut and parts:
@@ -189,6 +191,8 @@ def main_text(page: str | None, cut_paths: frozenset[str] = frozenset()) -> str:
     blocks of the page that are not cut."""
     every = [(t, article) for _, t, cut, article in blocks(page, cut_paths) if not cut]
     inside = [t for t, article in every if article]
+    if not inside and cut_paths:
+        inside = [t for _, t, cut, article in blocks(page) if article and not cut]
     return "\n".join(inside or [t for t, _ in every])
 
 
@@ -200,6 +204,8 @@ def _facts(page: str) -> Iterator[tuple[str, str, str]]:
         runs = [t for i, t in enumerate(node.children) if i == 0 or node.children[i - 1] != t]
         facts.add((node.path, "style", " ".join(runs)))
         facts.add((node.path, "page", ""))
+        if node.article:
+            facts.add((node.path, "inside", ""))
     return iter(facts)
 
 
@@ -257,7 +263,8 @@ def cut_branches(pages: DataFrame, html: str = "html", url: str = "url", min_pag
 
     def judge(tree: pd.DataFrame) -> pd.DataFrame:
         # a branch goes where neither it nor any part of it matters
-        low = sorted(p for p, (_, highest) in importance(tree).items() if highest < least)
+        inside = {r.path for r in tree.itertuples() if r.kind == "inside" and r.n < min_pages}
+        low = sorted(p for p, (_, highest) in importance(tree).items() if highest < least and p not in inside)
         return pd.DataFrame({"host": [tree["host"].iloc[0]], "paths": [low]})
 
     return nodes.join(large, "host").groupBy("host").applyInPandas(judge, "host string, paths array<string>")

@@ -94,6 +94,20 @@ def test_copies_of_pages_are_no_boilerplate(spark, tag):
     assert out[300] == "Title 0\nWords of article 0"
 
 
+def test_repeated_branches_inside_an_article_are_cut(spark):
+    def page(i):
+        rare = "<div class=quote><p>Quoted words</p></div>" if i < 3 else ""
+        own = f"<p>Own words of page {i}</p>{rare}<article class=comment><p>Reader {i} says so</p></article>"
+        return f"<html><body><main><div class=left-col><p>Same menu</p></div><div class=body>{own}</div></main></body></html>"
+
+    data = [(i, "http://h.example/", page(i)) for i in range(30)]
+    data += [(100 + i, "http://copies.example/", page(i % 4)) for i in range(40)]
+    out = {r.page_id: r.text for r in sitetree.extract(spark.createDataFrame(data, "page_id bigint, url string, html string")).collect()}
+    assert out[7] == "Own words of page 7" and out[1] == "Own words of page 1\nQuoted words"
+    assert out[103] == "Same menu\nOwn words of page 3"  # four distinct pages are too few to tell
+    assert sitetree.main_text("<main><div class=a><p>All</p></div></main>", frozenset({"/main/div.a"})) == "All"
+
+
 def test_an_article_stays_where_the_branch_around_it_is_cut():
     page = "<html><body><div class=c>Menu<article><p>Text</p></article></div></body></html>"
     assert sitetree.main_text(page, frozenset({"/html", "/html/body", "/html/body/div.c"})) == "Text"
