@@ -51,7 +51,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the token files hold of every document."""
-    return encode_corpus(docs, public_tokenizer(spark))
+    return encode_corpus(docs, public_tokenizer(spark), literals=True)
 
 
 STAGES = [

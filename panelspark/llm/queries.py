@@ -43,7 +43,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_corpus(table(spark, sf_dir, "documents"), public_tokenizer(spark))
+    return encode_corpus(table(spark, sf_dir, "documents"), public_tokenizer(spark), literals=True)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,9 @@ slice.
 
 The tokenizer drops white space and never joins pieces across it, so texts are cut at
 ASCII white space, and each distinct piece is encoded once for a while and looked up.
+With ``literals`` a text that contains an added token of the vocabulary literally
+(``<|endoftext|>``) goes through the tokenizer whole, which gives the literal its own id as
+the library does by default; without, the literal is encoded as other text.
 
 Defined results: null and empty texts have the end id alone; null ids come last;
 rows with equal ids follow one another by the hash of their text; an empty table
@@ -58,16 +61,24 @@ _SHORT_WAY = {"NFC", "Replace", "Lowercase"}
 class Encoder:
     """Ids of texts, by way of remembered pieces."""
 
-    def __init__(self, path: str, end_id: int = END_ID):
+    def __init__(self, path: str, end_id: int = END_ID, literals: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.whole = Tokenizer.from_file(path)
+        # for pieces, which hold no added token
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.end_id = end_id
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = {x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])}
+        added = spec.get("added_tokens") or [] if literals else []
+        self.raw = [x["content"] for x in added if not x.get("normalized")]
+        # these are looked for in the normalized text
+        self.normalized = [x["content"] for x in added if x.get("normalized")]
+        if self.whole.normalizer is not None:
+            self.normalized = [self.whole.normalizer.normalize_str(c) for c in self.normalized]
         self.short_way = steps == _SHORT_WAY and spec["model"].get("end_of_word_suffix") == "</w>"
         self._forget()
 
@@ -115,8 +126,26 @@ class Encoder:
         self.starts[first + 1 : first + 1 + len(ids)] = self.n_flat + np.cumsum(length)
         self.n_flat = total
 
+    def _has_added(self, text: str) -> bool:
+        if any(c in text for c in self.raw):
+            return True
+        if self.normalized and self.whole.normalizer is not None:
+            text = self.whole.normalizer.normalize_str(text)
+        return any(c in text for c in self.normalized)
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each with the end id, and the starts (one more than texts)."""
+        added = {i for i, t in enumerate(texts) if t and self._has_added(t)}
+        if not added:
+            return self._by_pieces(texts)
+        ids, at = self._by_pieces([None if i in added else t for i, t in enumerate(texts)])
+        own = [
+            np.array([*self.whole.encode(t, add_special_tokens=False).ids, self.end_id], ids.dtype) if i in added else ids[at[i] : at[i + 1]]
+            for i, t in enumerate(texts)
+        ]
+        return np.concatenate(own), np.cumsum([0, *map(len, own)])
+
+    def _by_pieces(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > REMEMBERED:
             self._forget()
         pieces = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
@@ -136,14 +165,14 @@ class Encoder:
         return ids, to[np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])]
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
+_encoders: dict[tuple[str, int, bool], Encoder] = {}
 
 
-def _encoder(path: str, end_id: int) -> Encoder:
+def _encoder(path: str, end_id: int, literals: bool) -> Encoder:
     """One encoder per Python worker, so that its tasks share what it remembers."""
-    if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = Encoder(path, end_id)
-    return _encoders[path, end_id]
+    if (path, end_id, literals) not in _encoders:
+        _encoders[path, end_id, literals] = Encoder(path, end_id, literals)
+    return _encoders[path, end_id, literals]
 
 
 def _files(uri: str):
@@ -166,7 +195,7 @@ class TokenFiles:
     bases: DataFrame
 
 
-def write(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", folder: str | None = None, end_id: int = END_ID) -> TokenFiles:
+def write(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", folder: str | None = None, end_id: int = END_ID, literals: bool = False) -> TokenFiles:
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "tokens")
     from tokenizers import Tokenizer
@@ -177,7 +206,7 @@ def write(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "do
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         fs, root = _files(folder)
-        encoder, out, starts, done = _encoder(tokenizer, end_id), None, [np.zeros(1, np.int64)], 0
+        encoder, out, starts, done = _encoder(tokenizer, end_id, literals), None, [np.zeros(1, np.int64)], 0
         attempt = f"{root}/_attempt-{part:05d}-{uuid.uuid4().hex}"
         for batch in batches:
             if not len(batch):
@@ -249,9 +278,9 @@ def read(files: TokenFiles, doc_id: str = "doc_id") -> DataFrame:
     return rows.mapInPandas(take, f"d {kind}, start bigint, n_tokens bigint, ids_crc32 bigint").withColumnRenamed("d", doc_id)
 
 
-def encode_corpus(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def encode_corpus(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", literals: bool = False) -> DataFrame:
     """Writes the token files of ``docs`` to the shared folder and reads them back."""
-    return read(write(docs, tokenizer, text, doc_id), doc_id)
+    return read(write(docs, tokenizer, text, doc_id, literals=literals), doc_id)
 
 
 def public_tokenizer(spark: SparkSession, name: str = "word_bpe_49k.json") -> str:

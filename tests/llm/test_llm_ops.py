@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.llm import neardup, secrets, sharding, sitetree, substrings, tokens, toxicity
+from panelspark.llm import neardup, queries, secrets, sharding, sitetree, substrings, tokens, toxicity
 from tests.llm import brute, corpus
 
 SF = "/root/testdata/sf0.001"
@@ -172,6 +172,22 @@ def test_token_files(spark):
     assert tokens.encode_corpus(corpus.frame(spark, []), path).collect() == []
 
 
+def test_literal_added_tokens_have_their_own_ids(spark, tmpdir_path):
+    from tokenizers import Tokenizer
+
+    path = tokens.public_tokenizer(spark)
+    texts = ["a <|endoftext|> b", "in<|startoftext|>side <|ENDOFTEXT|>", None, "", "plain <|endoftext |> text", "<|endoftext|>" * 3, "it's é"]
+    plain = Tokenizer.from_file(path)
+    want = [plain.encode(t or "", add_special_tokens=False).ids + [tokens.END_ID] for t in texts]
+    ids, at = tokens.Encoder(path, literals=True).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs.write.parquet(f"{tmpdir_path}/documents.parquet")
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op6_token_files(spark, tmpdir_path).collect()}
+    starts = np.cumsum([0, *map(len, want)]).tolist()
+    assert got == {i: (starts[i], len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(want)}
+
+
 def test_encoder_forgets_and_still_agrees(spark, monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 5)
     enc = tokens.Encoder(tokens.public_tokenizer(spark))
