@@ -394,6 +394,22 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert next(r.spans for i, r in out.items() if i < 20 and r.n_random) == "random:4:48"
 
 
+def test_random_tokens_of_every_encoding_are_found(spark):
+    rng = random.Random(12)
+    data, of = [], {}
+    for name, _, alphabet in secrets.ENCODINGS:
+        n = 30 if name in ("decimal", "hex") else 40  # shorter than the fixed pattern for hex
+        for _ in range(15):
+            of[len(data)] = name
+            data.append((len(data), f"see {''.join(rng.choices(alphabet.replace('=', ''), k=n))} here, " + corpus.prose(rng, 40)))
+    written = ["internationalizationofconfigurations", "environmentvariablesandtheirdefaults", "getAuthenticationTokenFromRequest", "THEQUICKBROWNFOXJUMPSOVERTHELAZYDOG"]
+    data += [(5000 + i, f"the {w} here") for i, w in enumerate(written)]
+    out = {r.doc_id: r.n_random for r in secrets.scan(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
+    found = {name: sum(out[i] for i in of if of[i] == name) for name in of.values()}
+    assert all(n >= 13 for n in found.values()), found
+    assert not any(out[5000 + i] for i in range(len(written)))
+
+
 def test_battery_against_numpy(spark):
     token = "q8Zt0LmX2vB7nKc5RwYh3PdJs9FgTeUa"
     r = secrets.battery(spark.createDataFrame([(token,)], "token string")).collect()[0]
