@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from . import toxicity
 from .common import table
+from .convtrie import prefix_trie
 from .decontaminate import judge
 from .mixing import mix
 from .neardup import near_duplicates
+from .negatives import hard_negatives
+from .packing import pack
 from .quality import apply_rules
 from .secrets import scan
 from .sharding import assign
@@ -66,6 +69,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizer(spark, "byte_bpe_50k.json"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"), relabel=7)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -79,5 +94,8 @@ QUERIES: dict[str, Query] = {
         op8_near_duplicates,
         op9_decontamination,
         op10_secret_scan,
+        op11_packing,
+        op12_prefix_trie,
+        op13_hard_negatives,
     )
 }

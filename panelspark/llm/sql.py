@@ -123,3 +123,38 @@ found AS (SELECT texts.*, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0)
 
 ORACLE_SQL["op9_decontamination"] = f"""WITH {decontamination_ctes("documents", "benchmark")}
 SELECT doc_id, n_words, n_hit, n_items, items_sha256, (n_hit > 0 AND 20 * n_hit >= n_words) AS contaminated FROM found"""
+
+
+# crc32 of a conversation's decimal id, bit by bit: -1 is a shift, other numbers are bytes
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(s) + 1),
+    lambda i: [ord(substr(s, CAST(i AS INT), 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END), 4294967295::BIGINT)"""
+
+ORACLE_SQL["op12_prefix_trie"] = f"""WITH original AS (
+    SELECT c, r, x, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, r, md5(concat(length(r), ':', r, x))) AS i
+    FROM (SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (SELECT c, {_CRC32} % 6 AS h FROM (SELECT DISTINCT c, CAST(c AS VARCHAR) AS s FROM original)),
+built AS (SELECT v.c, i AS k, r, x FROM convs v JOIN original o ON o.c = v.c - v.c % 100 AND i <= h
+    UNION ALL SELECT v.c, 10 + i, r, x FROM convs v JOIN original o ON o.c = v.c AND i > h),
+path AS (SELECT c, row_number() OVER w AS d, length(x) AS n, string_agg(sha256(concat(length(r), ':', r, x)), '') OVER w AS id FROM built WINDOW w AS (PARTITION BY c ORDER BY k)),
+ends AS (SELECT c, coalesce(max(d), 0) AS d, coalesce(max_by(id, d), '') AS id FROM convs LEFT JOIN path USING (c) GROUP BY c),
+nodes AS (SELECT id, d, min(c) AS conv_id, count(*) AS n_convs, any_value(n) AS n FROM (SELECT c, d, n, id FROM path UNION ALL SELECT c, 0, 0, '' FROM convs) GROUP BY id, d),
+kids AS (SELECT left(id, length(id) - 64) AS id, count(*) AS k FROM nodes WHERE d > 0 GROUP BY 1),
+full_nodes AS (SELECT nodes.*, coalesce(k, 0) AS k FROM nodes LEFT JOIN kids USING (id)),
+below AS (SELECT a.id, sum(CASE WHEN b.k = 0 THEN 1 ELSE 0 END) AS leaves, sum((b.n_convs - 1) * b.n) AS saved FROM full_nodes a JOIN full_nodes b ON starts_with(b.id, a.id) GROUP BY a.id),
+closed AS (SELECT id, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS cs FROM ends GROUP BY id)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, CAST(f.n_convs AS BIGINT) AS n_convs, CAST(f.k AS BIGINT) AS n_children,
+    CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(cs, '')) AS ends_sha256
+FROM full_nodes f JOIN below USING (id) LEFT JOIN closed USING (id) LEFT JOIN nodes up ON f.d > 0 AND up.id = left(f.id, length(f.id) - 64)"""
+
+ORACLE_SQL["op13_hard_negatives"] = """WITH rows AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+    FROM rows a, rows r WHERE a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) QUALIFY row_number() OVER w <= 3"""

@@ -284,8 +284,9 @@ def encode_corpus(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: s
 
 
 def public_tokenizer(spark: SparkSession, name: str = "word_bpe_49k.json") -> str:
-    """Path of a vocabulary file, the same on every machine; ``spark.panelspark.tokenizer`` overrides it."""
-    given = spark.conf.get("spark.panelspark.tokenizer", None)
+    """Path of a vocabulary file, the same on every machine; ``spark.panelspark.tokenizer`` (for other files
+    than the default, with its name behind a dot) overrides it."""
+    given = spark.conf.get("spark.panelspark.tokenizer" + ("" if name == "word_bpe_49k.json" else f".{name}"), None)
     if given:
         return given
     import public_tokenizers
