@@ -47,7 +47,7 @@ FILLINGS = 12
 FEW = 48
 # Distinct pieces of text a worker remembers, and characters encoded together.
 REMEMBERED = 800_000
-_TEXT_BLOCK = 1 << 21
+_TEXT_BLOCK = 1 << 23
 # A space is a safe place to cut a text if what follows is surely no space itself: the tokenizer's pattern
 # then starts a piece at it.  Other spaces stay inside a piece, which is always right.
 _UNSURE = "\\x00-\\x20\\x7f-\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\u3000\\ufeff"
@@ -64,9 +64,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.added = [t.content for t in added.values()]
-        self.mark = next(((t.content, i) for i, t in added.items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)), None)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # a byte-level vocabulary writes every byte as one character
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)
         self._forget()
 
     def _forget(self) -> None:
@@ -79,21 +82,23 @@ class Encoder:
         self.starts = np.zeros(1 << 14, np.int64)
         self.starts[2] = 1
 
-    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces without added tokens, one after another, and their numbers."""
-        if not self.mark:
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-            return np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists))
-        # an added token cuts a text before anything else does, so one text holds all pieces
-        mark, number = self.mark
-        ids = np.array(self.tokenizer.encode_batch_fast([mark.join([*pieces, ""])], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.flatnonzero(ids == number)
-        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+    def _ids(self, pieces: list[str], space: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces without added tokens, each behind ``space``, one after another, and their numbers."""
+        if space:
+            # the pattern cuts at these spaces in any text, so one text holds all pieces; a token's bytes tell whose it is
+            ids = np.array(self.tokenizer.encode_batch_fast([space + space.join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
+            at = np.cumsum(self.n_bytes[ids])
+            upto = np.searchsorted(at, ends) + 1
+            if len(at) and (at[upto - 1] == ends).all():
+                return ids, np.diff(upto, prepend=0)
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast([space + p for p in pieces], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists))
 
     def _learn(self, known: dict[str, int], pieces: list[str], space: str) -> None:
         known.update(zip(pieces, range(self.n, self.n + len(pieces)), strict=True))
         for i in range(0, len(pieces), 20_000):
-            ids, length = self._ids([space + p for p in pieces[i : i + 20_000]])
+            ids, length = self._ids(pieces[i : i + 20_000], space)
             used, more = int(self.starts[self.n]), len(length)
             total = used + len(ids)
             if total > len(self.flat):
