@@ -14,10 +14,11 @@ between splits go to the first feature, then the lowest bin; a row without a lab
 
 from __future__ import annotations
 
+import json
 import random
 from collections import defaultdict
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -224,3 +225,14 @@ def as_table(spark, model: Boosted) -> DataFrame:
                 edge = model.edges[f][t.bin[node]] if f >= 0 and t.bin[node] < len(model.edges[f]) else None
                 rows.append((r, model.classes[k] if model.classes else None, node, model.features[f] if f >= 0 else None, edge, t.weight[node]))
     return spark.createDataFrame(rows, "round int, class string, node int, feature string, edge double, weight double")
+
+
+def save_boosted(spark, model: Boosted, path: str) -> None:
+    """The model as one JSON row."""
+    spark.createDataFrame([(json.dumps(asdict(model)),)], "model string").write.mode("overwrite").parquet(path)
+
+
+def load_boosted(spark, path: str) -> Boosted:
+    saved = json.loads(spark.read.parquet(path).first()["model"])
+    saved["rounds"] = [[Tree(**t) for t in trees] for trees in saved["rounds"]]
+    return Boosted(**saved)

@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-from .boost_queries import DEPTH, EDGES, PENALTY, RATE, ROUNDS
+from .boost_queries import DEPTH, EDGES, FEATURES, PENALTY, RATE, ROUNDS
 from .oracle import SQL
 
 
-def _bins() -> str:
-    cols = ["quantity", "discount", "ship_month"]
-    each = [f"len(list_filter({e}, lambda e: {c} > e))" for c, e in zip(cols, EDGES, strict=True)]
-    return f"[{', '.join(each)}]"
+LINE_ITEMS = """
+li AS MATERIALIZED (SELECT row_number() OVER () AS i, l_orderkey, l_linenumber, true AS train, CAST(l_quantity AS DOUBLE) AS quantity, CAST(l_discount AS DOUBLE) AS discount,
+    CAST((year(l_shipdate) - 1992) * 12 + month(l_shipdate) AS DOUBLE) AS ship_month, CAST(l_extendedprice / 1000 AS DOUBLE) AS price, l_returnflag AS flag FROM lineitem)"""
 
 
-def boosted(classes: bool) -> str:
-    """CTEs that end in ``state``: (id, line, k, t, b, m) with the margin m of every row and class."""
-    out = f"""
-li AS MATERIALIZED (SELECT row_number() OVER () AS i, l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS quantity, CAST(l_discount AS DOUBLE) AS discount,
-    CAST((year(l_shipdate) - 1992) * 12 + month(l_shipdate) AS DOUBLE) AS ship_month, CAST(l_extendedprice / 1000 AS DOUBLE) AS price, l_returnflag AS flag FROM lineitem),
+def boosted(classes: bool, li: str = LINE_ITEMS, columns: list[str] = FEATURES, edges: list[list[float]] = EDGES) -> str:
+    """CTEs that end in ``state``: (i, id, line, k, t, b, m) with the margin m of every row and class; rows of ``train`` decide."""
+    bins = ", ".join(f"len(list_filter({e}, lambda e: {c} > e))" for c, e in zip(columns, edges, strict=True))
+    out = f"""{li},
 kinds AS (SELECT {"flag AS k FROM li WHERE flag IS NOT NULL GROUP BY flag" if classes else "'' AS k"}),
-state0 AS MATERIALIZED (SELECT i, l_orderkey, l_linenumber, k, {_bins()} AS b,
-    {"CASE WHEN flag = k THEN 1e0 ELSE 0e0 END AS t, 0e0 AS m" if classes else "price AS t, (SELECT avg(price) FROM li) AS m"} FROM li, kinds)"""
+state0 AS MATERIALIZED (SELECT i, train, l_orderkey, l_linenumber, k, [{bins}] AS b,
+    {"CASE WHEN flag = k THEN 1e0 ELSE 0e0 END AS t, 0e0 AS m" if classes else "price AS t, (SELECT avg(price) FROM li WHERE train) AS m"} FROM li, kinds)"""
     for r in range(ROUNDS):
         if classes:
             grad = """greatest(2 * p * (1 - p), 1e-16) AS h, p - t AS g FROM (SELECT *, exp(m - top) / sum(exp(m - top)) OVER one AS p
@@ -27,11 +25,11 @@ state0 AS MATERIALIZED (SELECT i, l_orderkey, l_linenumber, k, {_bins()} AS b,
         else:
             grad = f"1e0 AS h, m - t AS g FROM state{r}"
         out += f""",
-n{r}_0 AS MATERIALIZED (SELECT i, l_orderkey, l_linenumber, k, b, t, m, 0 AS node, {grad})"""
+n{r}_0 AS MATERIALIZED (SELECT i, train, l_orderkey, l_linenumber, k, b, t, m, 0 AS node, {grad})"""
         for d in range(DEPTH):
             p = f"n{r}_{d}"
             out += f""",
-hist{r}_{d} AS (SELECT k, node, f, b[f] AS bin, sum(g) AS g, sum(h) AS h FROM {p}, range(1, {len(EDGES) + 1}) AS x(f) GROUP BY ALL),
+hist{r}_{d} AS (SELECT k, node, f, b[f] AS bin, sum(g) AS g, sum(h) AS h FROM {p}, range(1, {len(edges) + 1}) AS x(f) WHERE train GROUP BY ALL),
 cum{r}_{d} AS (SELECT k, node, f, bin, sum(g) OVER o AS gl, sum(h) OVER o AS hl, sum(g) OVER a AS gt, sum(h) OVER a AS ht
     FROM hist{r}_{d} WINDOW o AS (PARTITION BY k, node, f ORDER BY bin), a AS (PARTITION BY k, node, f)),
 best{r}_{d} AS (SELECT k, node, f, bin FROM (SELECT *, gl * gl / (hl + {PENALTY}) + (gt - gl) * (gt - gl) / (ht - hl + {PENALTY}) - gt * gt / (ht + {PENALTY}) AS gain FROM cum{r}_{d})
@@ -39,8 +37,8 @@ best{r}_{d} AS (SELECT k, node, f, bin FROM (SELECT *, gl * gl / (hl + {PENALTY}
 n{r}_{d + 1} AS MATERIALIZED (SELECT n.* REPLACE (CASE WHEN s.f IS NULL THEN n.node ELSE n.node * 2 + 1 + CAST(b[s.f] > s.bin AS INT) END AS node)
     FROM {p} n LEFT JOIN best{r}_{d} s ON n.k = s.k AND n.node = s.node)"""
         out += f""",
-w{r} AS (SELECT k, node, -{RATE} * sum(g) / (sum(h) + {PENALTY}) AS w FROM n{r}_{DEPTH} GROUP BY k, node),
-state{r + 1} AS MATERIALIZED (SELECT i, l_orderkey, l_linenumber, n.k, b, t, m + w AS m FROM n{r}_{DEPTH} n JOIN w{r} ON n.k = w{r}.k AND n.node = w{r}.node)"""
+w{r} AS (SELECT k, node, -{RATE} * sum(g) / (sum(h) + {PENALTY}) AS w FROM n{r}_{DEPTH} WHERE train GROUP BY k, node),
+state{r + 1} AS MATERIALIZED (SELECT i, train, l_orderkey, l_linenumber, n.k, b, t, m + coalesce(w, 0) AS m FROM n{r}_{DEPTH} n LEFT JOIN w{r} ON n.k = w{r}.k AND n.node = w{r}.node)"""
     return out + f",\nstate AS (SELECT * FROM state{ROUNDS})"
 
 
