@@ -58,7 +58,7 @@ def _c(name: str) -> Column:
 def quantile_edges(df: DataFrame, features: Sequence[str], bins: int = 64) -> list[list[float]]:
     """Edges from mergeable approximate percentiles, at most ``bins`` - 1 a feature."""
     probs = [i / bins for i in range(1, bins)]
-    row = df.agg(*[F.percentile_approx(_c(f).cast("double"), probs, 10_000).alias(f"e{i}") for i, f in enumerate(features)]).first()
+    row = df.agg(*[F.percentile_approx(F.nanvl(_c(f).cast("double"), F.lit(None).cast("double")), probs, 10_000).alias(f"e{i}") for i, f in enumerate(features)]).first()
     return [sorted(set(row[f"e{i}"] or [])) for i in range(len(features))]
 
 
