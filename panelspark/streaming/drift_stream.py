@@ -148,7 +148,10 @@ def run_drift_stream(
     q.awaitTermination()
     try:
         return spark.read.parquet(f"{root}/reports").drop("epoch")
-    except Exception:  # noqa: BLE001 - fewer rows than one report
+    except AnalysisException as exc:
+        if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        # fewer rows than one report
         return spark.createDataFrame(
             [],
             "report_no long, n_rows int, n_columns int, n_drifted int, share_of_drifted_columns double, dataset_drift boolean",
