@@ -3,7 +3,7 @@
 Each query is executed in full into Spark's ``noop`` sink (no collect to
 the driver).  Prints one JSON line:
 {"metric": ..., "value": total_sec, "unit": "sec", "queries": {...}, "sf": ...}
-Model training queries (fixed 300-500 tree ensembles) are left out of the
+Model training queries are left out of the
 headline set; set BENCH_MODELS=1 to include them.
 """
 
@@ -20,7 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from panelspark.plans.all import QUERIES  # noqa: E402
 from panelspark.session import build_session, size_shuffles  # noqa: E402
 
-MODEL_QUERIES = {"gbt_regress", "rf_regress", "rf_classify", "model_metrics", "attribution_topn"}
+MODEL_QUERIES = {"boost_classify", "boost_regress", "stream_score", "gbt_regress", "rf_regress", "rf_classify", "model_metrics", "attribution_topn"}
 
 
 def main() -> None:
