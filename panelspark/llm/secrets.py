@@ -9,8 +9,8 @@ runs about the middle of the alphabet, lag-1 serial correlation (each at
 ``ALPHA`` / 3).  The evidence of a candidate that passes is the likelihood of its neighbouring
 characters under uniform draws from its alphabet against written text in the
 same alphabet: written text exceeds a ratio R with a probability of at most 1/R, which is
-the p-value.  Frequencies of written pairs come from short words of the corpus (at most
-some ``SAMPLE`` rows, chosen by a hash) and, for the other half, from a fixed list of words; where both
+the p-value.  Frequencies of written pairs come from the short words of all whole texts
+and, for the other half, from a fixed list of words; where both
 cases are in the alphabet, a change of case between letters counts with ``CASE_CHANGES``.  A second
 test asks whether a token changes between lower case, capitals, digits and signs more
 often than written text does; the lesser p-value counts twice.  Benjamini-Hochberg control at ``FDR``
@@ -19,7 +19,8 @@ p-values (at most ``_BUCKETS`` rows a stratum), so that nothing is sorted.
 
 Defined results: null and empty texts have no spans; a candidate that overlaps a
 base span is left out; repeated rows have the same spans; a corpus without
-candidates has base spans only; result columns replace input columns of the same name.
+candidates has base spans only; matches of a very long text are placed in blocks of
+``_BLOCK``, so that the work grows with them; result columns replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -68,8 +69,6 @@ ENCODINGS = (
 
 # Written characters: letters in either case, digits and signs; and words that any corpus is counted with.
 _WRITTEN = _LOWER + _DIGITS + "+/-_="
-SAMPLE = 4_000
-_SAMPLE_CHARS = 20_000
 CASE_CHANGES = 0.15
 # Draws a pair's frequency is held towards that of its second character.
 _HELD = 10.0
@@ -87,6 +86,7 @@ _WORDS = (
 )
 
 _SPAN = "array<struct<start:int,end:int,found:string>>"
+_BLOCK = 256
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -94,8 +94,8 @@ def located(text: Column, pattern: str) -> Column:
     them (a split by the same pattern) gives the distances."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(found, gaps, lambda f, g: F.struct(F.length(g).alias("gap"), f.alias("found")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    steps = F.filter(F.zip_with(found, gaps, lambda f, g: F.struct(F.length(g).alias("gap"), f.alias("found"))), lambda s: s["found"].isNotNull())
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         a = acc["at"] + s["gap"]
@@ -103,10 +103,26 @@ def located(text: Column, pattern: str) -> Column:
         new = F.array(F.struct(a.alias("start"), b.alias("end"), s["found"].alias("found")))
         return F.struct(b.alias("at"), F.concat(acc["out"], new).alias("out"))
 
-    spans = F.aggregate(F.filter(steps, lambda s: s["found"].isNotNull()), start, step)["out"]
+    def placed(steps: Column) -> Column:
+        # places within blocks first, then the blocks one after another: no list grows by a match at a time
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(steps), F.lit(1)), F.lit(_BLOCK))
+        blocks = F.transform(firsts, lambda i: F.aggregate(F.slice(steps, i, F.lit(_BLOCK)), none, step))
+        return F.transform(F.array(blocks), lambda bs: F.flatten(F.zip_with(bs, _before(bs), lambda b, at: F.transform(
+            b["out"], lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["found"].alias("found"))))))
+
+    spans = F.get(F.flatten(F.transform(F.array(steps), placed)), F.lit(0))
     return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(F.array().cast(_SPAN))
 
 
+def _before(blocks: Column) -> Column:
+    """Code points before every block: one number a block."""
+    return F.aggregate(
+        blocks,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+    )["out"]
+
+
 def _upper_tail(z: Column) -> Column:
     """Share of a normal distribution above ``z`` (rational approximation, error below 1e-7 times the density)."""
     a = F.abs(z)
@@ -122,12 +138,9 @@ def _sum(xs: Column) -> Column:
 
 def written(docs: DataFrame, text: str = "text") -> dict[tuple[str, str], float]:
     """How often written characters follow one another in short words of the corpus."""
-    n = docs.count()
-    t = F.coalesce(col(text), F.lit(""))
-    some = docs.select(F.substring(t, 1, _SAMPLE_CHARS).alias("t"), F.pmod(F.xxhash64(t), F.lit(1_000_000)).alias("h")).filter(F.col("h") <= 1_000_000 * SAMPLE // max(n, 1))
     # candidates themselves are no written words
     own = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{2,19}(?![A-Za-z0-9+/_=-])"
-    words = some.select(F.explode(F.regexp_extract_all("t", F.lit(own), F.lit(0))).alias("w")).groupBy(F.lower("w").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    words = docs.select(F.explode(F.regexp_extract_all(col(text), F.lit(own), F.lit(0))).alias("w")).groupBy(F.lower("w").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     at = F.explode(F.sequence(F.lit(1), F.length("w") - 1))
     pairs = words.select("w", "n", at.alias("i")).groupBy(F.expr("substring(w, i, 2)").alias("pair")).agg(F.sum("n").alias("n"))
     return {(r.pair[0], r.pair[1]): float(r.n) for r in pairs.collect()}  # at most len(_WRITTEN) squared rows
@@ -251,6 +264,19 @@ def discoveries(tested: DataFrame, alpha: float = ALPHA, fdr: float = FDR) -> Da
     return rows.join(F.broadcast(limits), (F.col("__s") == F.col("__t")) & (F.col("__b") >= F.col("least")) & (F.col("__b") > 0)).drop("__s", "__b", "__t", "least")
 
 
+def _free(rows: DataFrame) -> DataFrame:
+    """(rid, start, end, found) of the candidates that overlap no base span of their row: in the order of places,
+    the farthest end of the base spans that begin before a candidate ends lies at or before its start."""
+    alone = rows.filter(F.size("base") == 0).select("rid", F.inline("random"))
+    both = rows.filter((F.size("base") > 0) & (F.size("random") > 0))
+    spans = both.select("rid", F.inline("base")).select("rid", F.col("start").alias("at"), F.lit(1).alias("order"), F.col("end").alias("reach"), *[
+        F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("end", "int"), ("found", "string"))])
+    asked = both.select("rid", F.inline("random")).select("rid", F.col("end").alias("at"), F.lit(0).alias("order"), F.lit(0).alias("reach"), "start", "end", "found")
+    so_far = Window.partitionBy("rid").orderBy("at", "order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = spans.unionByName(asked).withColumn("reach", F.max("reach").over(so_far))
+    return alone.unionByName(told.filter(F.col("found").isNotNull() & (F.col("reach") <= F.col("start"))).select(*alone.columns))
+
+
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns (default: all) of every row with ``n_assign``,
     ``n_access``, ``n_hex``, ``n_random``, ``base_sha256`` and ``spans``."""
@@ -269,9 +295,8 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
         return F.transform(kinds[i], lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end")))
 
     rows = rows.withColumn("base", F.sort_array(F.concat(*[of_kind(i) for i in range(len(kinds))])))
-    free = F.filter("random", lambda r: ~F.exists("base", lambda b: (r["start"] < b["end"]) & (b["start"] < r["end"])))
-    rows = staged(rows.select("rid", "row", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in kinds], "base", free.alias("tokens")), "secrets")
-    tokens = rows.select("rid", F.explode("tokens").alias("s")).select("rid", "s.start", "s.end", F.col("s.found").alias("token"))
+    rows = staged(rows.select("rid", "row", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in kinds], "base", "random"), "secrets")
+    tokens = _free(rows).select("rid", "start", "end", F.col("found").alias("token"))
     found = discoveries(staged(battery(tokens, written(docs, text)).drop("token"), "secret-tests"))
     span = F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")
     more = found.groupBy(F.col("rid").alias("rid_")).agg(F.collect_list(span).alias("more"))

@@ -424,3 +424,50 @@ def test_battery_against_numpy(spark):
     c = v - v.mean()
     zs = ((c[:-1] * c[1:]).sum() / (c * c).sum() + 1 / n) * np.sqrt(n)
     assert abs(r.p_serial - erfc(abs(zs) / sqrt(2))) < 1e-6
+
+
+def test_many_matches_in_one_text(spark):
+    n = 100_000
+    text = "".join(f"AKIA{i:012d} \U0001f600" for i in range(n))
+    rows = spark.createDataFrame([(1, text), (2, "AKIA012345678901"), (3, "")], "doc_id bigint, text string")
+    out = {r.doc_id: r for r in secrets.scan(rows).collect()}
+    spans = ",".join(f"access:{i * 18}:{i * 18 + 16}" for i in range(n))
+    assert out[1].n_access == n and out[1].n_random == 0 and out[1].base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+    assert (out[2].n_access, out[2].spans, out[3].spans) == (1, "access:0:16", "")
+
+
+def test_candidates_that_overlap_no_base_span(spark):
+    span = "array<struct<start:int,kind:int,end:int>>"
+    rng = random.Random(5)
+    rows, want = [], set()
+    for rid in range(60):
+        pieces = lambda most: [(a, a + rng.randint(1, 9)) for a in rng.sample(range(60), rng.randint(0, most))]
+        base, asked = sorted(pieces(5)), pieces(6)
+        rows.append((rid, [(a, 0, b) for a, b in base], [(a, b, f"t{a}") for a, b in asked]))
+        want |= {(rid, a, b, f"t{a}") for a, b in asked if all(b <= c or d <= a for c, d in base)}
+    frame = spark.createDataFrame(rows, f"rid bigint, base {span}, random array<struct<start:int,end:int,found:string>>")
+    assert {tuple(r) for r in secrets._free(frame).collect()} == want
+
+
+def test_false_discovery_control_against_a_plain_version(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(400):
+        p = 10 ** -rng.choice([0.2, 0.5, 1.4, 2.2, 3.1, 5.6, 9.3])
+        rows.append((i, rng.choice([20, 31, 40, 70, 200]), rng.choice([0.5, 0.4, 0.0001]), 0.5, 0.5, p, 0.9))
+    tested = spark.createDataFrame(rows, "id bigint, length int, p_uniform double, p_runs double, p_serial double, p_text double, p_fit double")
+    want = set()
+    for least, above in zip(secrets.STRATA, (*secrets.STRATA[1:], 10**9), strict=True):
+        part = [(2 * min(r[5], r[6]) if r[2] >= secrets.ALPHA / 3 else 1.0, r[0]) for r in rows if least <= r[1] < above]
+        power = {i: min(max(int(np.floor(-10 * np.log10(p))), 0), 400) for p, i in part}
+        # the largest rank whose p-value, rounded up to its bucket, lies under the line
+        ranked = sorted(part, key=lambda x: -power[x[1]])
+        good = [power[i] for k, (_, i) in enumerate(ranked) if power[i] and len(part) * 10 ** (-power[i] / 10) <= secrets.FDR * sum(power[j] >= power[i] for _, j in ranked)]
+        want |= {i for _, i in part if good and power[i] >= min(good)}
+    assert want and {r.id for r in secrets.discoveries(tested).collect()} == want
+
+
+def test_pairs_of_written_characters_come_from_whole_texts(spark):
+    late = "x " * 30_000 + "zq zq Zq"
+    counts = secrets.written(spark.createDataFrame([(late,), (None,), ("",), ("ab",)], "text string"))
+    assert counts[("z", "q")] == 3.0 and counts[("a", "b")] == 1.0
