@@ -20,7 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from panelspark.plans.all import QUERIES  # noqa: E402
 from panelspark.session import build_session, size_shuffles  # noqa: E402
 
-MODEL_QUERIES = {"boost_classify", "boost_regress", "stream_score", "gbt_regress", "rf_regress", "rf_classify", "model_metrics", "attribution_topn"}
+MODEL_QUERIES = {"boost_classify", "boost_regress", "load_and_score", "metrics_table", "stream_score", "gbt_regress", "rf_regress", "rf_classify", "model_metrics", "attribution_topn"}
 
 
 def main() -> None:
