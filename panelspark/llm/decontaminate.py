@@ -5,7 +5,8 @@ window is 13 consecutive words of an item; an item of fewer words is one window.
 The distinct beginnings (up to five words) of the windows form a hash set that is
 broadcast while its size allows; the words of every document are scanned
 against it position by position inside generated code, and only the positions that
-hit are carried on: the words there are compared in full with the windows, and the
+hit are carried on (beyond that size the hashes of all positions are dealt by hash, without words, and
+the words of the documents that hit are read again): the words there are compared in full with the windows, and the
 hit words, the items they belong to and the verdict are gathered per document.
 
 Defined results: null and empty texts have no words and no hits; an item without
@@ -27,6 +28,8 @@ BEGINNING = 5
 SHARE = 20
 # A hash set of so many longs is broadcast; a larger one is joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
+# Copies of a larger set, so that a frequent beginning is dealt to as many tasks.
+SALTS = 16
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -81,14 +84,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
     )
     # outer, as the filter that Spark derives from an inner one would compute the words anew for every place
     at = scan.select("d", "x", "w", F.posexplode_outer("hs").alias("p", "h"))
+    i = F.col("p") % F.size("w")
     if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        found = at.join(F.broadcast(keys.select("h", "m")), "h")
+        found = at.join(F.broadcast(keys.select("h", "m")), "h").filter(i + F.col("m") <= F.size("w")).select("d", "x", "w", i.alias("i"), "m")
     else:
-        found = at.join(keys.select("h", "m"), "h")
-    i = F.col("p") % F.size("w")
-    found = found.filter(i + F.col("m") <= F.size("w")).select(
-        "d", "x", i.alias("i"), "m", F.array_join(F.slice("w", i + 1, F.col("m")), " ").alias("window")
-    )
+        hit = staged(_dealt(at.select("d", "x", i.alias("i"), F.size("w").alias("n"), "h"), keys), "benchmark-places")
+        texts = scan.select("d", "x", "w").join(hit.withColumnsRenamed({"d": "d_", "x": "x_"}), F.col("d").eqNullSafe(F.col("d_")) & (F.col("x") == F.col("x_")))
+        found = texts.select("d", "x", "w", F.inline("places"))
+    found = found.select("d", "x", "i", "m", F.array_join(F.slice("w", F.col("i") + 1, F.col("m")), " ").alias("window"))
     verified = found.join(win.select("window", "items"), "window")
     return verified.groupBy("d", "x").agg(
         F.sort_array(F.collect_set(F.struct("i", "m"))).alias("spans"),
@@ -96,6 +99,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
     )
 
 
+def _dealt(at: DataFrame, keys: DataFrame) -> DataFrame:
+    """Where documents may hold a window: one row per distinct (d, x) with ``places`` (i, m).
+    ``at``: (d, x, i, n words, h); the side of the keys is copied per salt, the hashes are dealt over the salts."""
+    salted = at.filter(F.col("h").isNotNull()).withColumn("salt", F.pmod(F.xxhash64("x", "i"), F.lit(SALTS)).cast("int"))
+    copies = keys.select("h", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    found = salted.join(copies, ["h", "salt"]).filter(F.col("i") + F.col("m") <= F.col("n"))
+    return found.groupBy("d", "x").agg(F.collect_set(F.struct("i", "m")).alias("places"))
+
+
 def _hit_words(spans: str) -> Column:
     """Words under the union of the sorted spans."""
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))

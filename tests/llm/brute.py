@@ -70,3 +70,19 @@ def similar(rows, threshold=0.8, size=5):
             if both and both >= threshold * (len(sets[i]) + len(sets[j]) - both):
                 parent[max(root(i), root(j))] = min(root(i), root(j))
     return [root(i) for i in range(len(rows))]
+
+
+def contaminated(text, items):
+    """Whether words under windows of 13 of the items are a twentieth of the words or more."""
+
+    def cut(t):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+    windows = set()
+    for item in items:
+        w = cut(item)
+        windows |= {tuple(w[i : i + 13]) for i in range(max(len(w) - 12, 1))} if w else set()
+    w = cut(text)
+    hit = {j for x in windows for i in range(len(w) - len(x) + 1) if tuple(w[i : i + len(x)]) == x for j in range(i, i + len(x))}
+    return bool(hit) and 20 * len(hit) >= len(w)

@@ -98,6 +98,20 @@ def test_decontamination_beyond_the_broadcast_bound(spark, monkeypatch):
     want = sorted(judge(docs, bench, keep=["doc_id"]).drop("hit_spans").collect(), key=key)
     monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", 1)
     assert sorted(judge(docs, bench, keep=["doc_id"]).drop("hit_spans").collect(), key=key) == want
+    # a beginning that holds most places, and documents that come twice
+    many = [(i % 300, "one two " * 200 + f"w{i % 300}", "en", "s", 1) for i in range(400)]
+    same(judge(corpus.frame(spark, many), bench, keep=["doc_id"]).drop("hit_spans"), sql.ORACLE_SQL["op9_decontamination"], documents=corpus.frame(spark, many), benchmark=bench.fillna({"item_id": -1}))
+
+
+def test_the_shuffle_beyond_the_bound_carries_no_words(spark):
+    from panelspark.llm import decontaminate
+
+    docs = corpus.frame(spark).selectExpr("doc_id as d", "xxhash64(text) as x", "split(text, ' ') as w")
+    at = docs.selectExpr("d", "x", "w", "posexplode_outer(transform(w, y -> xxhash64(y))) as (i, h)").selectExpr("d", "x", "i", "size(w) as n", "h")
+    keys = spark.range(1000).selectExpr("id as h", "13 as m")
+    plan = decontaminate._dealt(at, keys)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    dealt = [part.split("Input [", 1)[1].splitlines()[0] for part in plan.split("\n\n") if ") Exchange" in part and "Input [" in part]
+    assert dealt and not any("w#" in columns or "text#" in columns for columns in dealt)
 
 
 def test_clean_documents_are_left_as_they_are(spark):
