@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``, rows of their input as they were.  A stage's
 output is written to the shared checkpoint folder and read back as the next one's input.
+
+Defined results: a null text has no words and goes at the quality rules, as does an empty one; null ids,
+languages and sources are values of their own; of equal rows one stays; very long texts are judged whole; further columns, also
+ones with names of the stages' results, are passed on as they are until the last stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -62,7 +66,7 @@ STAGES = [
     ("token-ID / binary output", token_files),
 ]
 
-# Weighted samples and byte-pair ids have no SQL form; tests/llm compares every stage with a brute-force version.
+# Weighted samples and byte-pair ids have no SQL form; tests/llm/test_pipeline.py tests every stage and the run.
 ORACLE_SQL = None
 
 
