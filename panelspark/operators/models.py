@@ -3,6 +3,8 @@
 Spark ML estimators: boosted trees and forests are trained with
 distributed histogram aggregation over the partitions of the feature
 table; scoring is ``PipelineModel.transform`` on a batch or a stream.
+The forests keep the node that every row has reached in every tree (``cacheNodeIds``), so that a level does not
+walk all trees from their roots again; the trees are the same.
 Boosted multi-class trees are not in Spark ML (``GBTClassifier`` is binary
 only), so the income-group model is a random forest classifier.  XGBoost's
 L2 leaf penalty has no Spark ML counterpart.
@@ -56,6 +58,7 @@ def rf_regressor(label: str, params: Mapping = MODEL_MOBILITY, seed: int = RANDO
         numTrees=int(params["n_estimators"]),
         maxDepth=int(params["max_depth"]),
         minInstancesPerNode=int(params.get("min_samples_leaf", 1)),
+        cacheNodeIds=True,
         seed=seed,
     )
 
@@ -68,6 +71,7 @@ def rf_classifier(label: str, params: Mapping = MODEL_INCOME_GROUP, seed: int =
         numTrees=int(params["n_estimators"]),
         maxDepth=int(params["max_depth"]),
         subsamplingRate=float(params.get("subsample", 1.0)),
+        cacheNodeIds=True,
         seed=seed,
     )
 

@@ -8,7 +8,8 @@ balance (random forest, like the static mobility measures) and the income
 group = nation name (random forest classifier; ``income_group_lag1_code``
 leaks it exactly as in the original, see the leakage query).
 Trained models are kept per session and data folder so the attribution
-query reuses the boosted model instead of training it again.
+query reuses the boosted model instead of training it again; the models of a
+folder share one persisted feature table.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ CATEGORICAL = ["region", "income_group_lag1"]
 FEATURES = NUMERIC + [c + "_code" for c in CATEGORICAL]
 
 _MODELS: dict[tuple, tuple] = {}
+_FEATURES: dict[tuple, DataFrame] = {}
 
 
 def feature_table(spark, sf_dir) -> DataFrame:
@@ -49,7 +51,10 @@ def trained(spark, sf_dir, name: str):
     key = _key(spark, sf_dir, name)
     if key in _MODELS:
         return _MODELS[key]
-    ft = feature_table(spark, sf_dir).persist()
+    at = _key(spark, sf_dir, "features")
+    if at not in _FEATURES:
+        _FEATURES[at] = feature_table(spark, sf_dir).persist()
+    ft = _FEATURES[at]
     train = ft.filter(F.col("side") == "train")
     test = ft.filter(F.col("side") == "test")
     if name == "income_group":

@@ -133,3 +133,25 @@ def test_registry_keeps_the_other_targets_and_survives_a_replay(spark, tmpdir_pa
     for _ in range(2):
         append_run(rows_of(("gini", 2)), path, 2)
     assert sorted(tuple(r) for r in read_current(spark, path).collect()) == [("gini", 2), ("mobility", 1)]
+
+
+def test_forests_keep_the_nodes_of_rows_and_share_the_feature_table(spark, monkeypatch):
+    from panelspark.operators import models as M
+    from panelspark.plans import model_queries as Q
+
+    df = spark.createDataFrame([(float(i % 7), float(i % 5), float(i % 3)) for i in range(200)], "a double, b double, y double").coalesce(1)
+    rows_in = M.assembler(["a", "b"]).transform(df)
+    est = M.rf_regressor("y", {"n_estimators": 5, "max_depth": 4, "min_samples_leaf": 3})
+    assert est.getCacheNodeIds() and M.rf_classifier("y").getCacheNodeIds()
+    plain = est.copy().setCacheNodeIds(False).fit(rows_in)
+    assert est.fit(rows_in).toDebugString.split("\n")[1:] == plain.toDebugString.split("\n")[1:]
+
+    table = df.selectExpr("a as priority_level", "b as urgent_share", "y as gini_index_lag1", "a as region_code", "b as income_group_lag1_code", "y as gini_index", "a as acctbal",
+                          "if(a = 3, 'test', 'train') as side")
+    built = []
+    monkeypatch.setattr(Q, "feature_table", lambda *_: built.append(1) or table)
+    for name in ("MODEL_GINI", "MODEL_MOBILITY"):
+        monkeypatch.setattr(Q, name, {**getattr(Q, name), "n_estimators": 2, "max_depth": 2})
+    for target in ("gini", "mobility"):
+        assert Q.trained(spark, "no folder", target)[2]["n_test"] > 0
+    assert len(built) == 1
