@@ -122,3 +122,22 @@ def test_quantile_edges_empty_table_and_saved_model(spark, tmpdir_path):
     empty = B.fit(df.limit(0), FEATURES, "target", PARAMS, EDGES)
     assert {r["prediction"] for r in B.predict(empty, df).collect()} == {0.0}
     assert B.fit(df.limit(0), FEATURES, "kind", PARAMS, EDGES, classify=True).classes == []
+
+
+@pytest.mark.parametrize("classify", [False, True])
+def test_rows_of_equal_bins_are_one(spark, monkeypatch, classify):
+    rng = random.Random(8)
+    values = [(rng.choice([0.1, 0.5, None]), rng.choice([0.5, 3.0]), rng.choice("uvw"), rng.random()) for _ in range(600)]
+    df = spark.createDataFrame(values, "a double, b double, flag string, price double")
+    sizes, write = [], B._written
+
+    def written(rows, name):
+        out = write(rows, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(B, "_written", written)
+    params = {"n_estimators": 2, "max_depth": 2, "learning_rate": 0.3, "reg_lambda": 1.0}
+    model = B.fit(df, ["a", "b"], "flag" if classify else "price", params, [[0.2], [1.0, 2.0]], classify=classify)
+    assert max(sizes) <= (12 if classify else 4)
+    assert len(model.rounds) == 2 and any(t.feature[0] >= 0 for t in model.rounds[0])
