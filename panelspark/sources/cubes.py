@@ -4,7 +4,8 @@ A range alone does not say whether it begins inside a string or how deep.  Every
 tells its quotes and its change of depth for both beginnings (one row a range); sums over the ranges before
 give its true beginning, a second pass finds the members of the top object, and the cells of ``value`` are read by
 ranges of their own.  A cell belongs to the range that holds the byte after its comma.  Dense arrays
-number their cells by the commas before a range.  Every task reads ``id``, ``size`` and ``dimension`` for itself.
+number their cells by the commas before a range.  A task takes as many ranges as make up ``TASK_BYTES``, one after
+the other and those of a file side by side, and reads ``id``, ``size`` and ``dimension`` once a file.
 
 One cube a file, in any order of members, on any file system that the tasks can open by its address.
 Null cells and cells without a place in the cube are skipped, as in ``payloads.flatten_jsonstat``;
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RANGE_BYTES = 32 * 1024 * 1024
+TASK_BYTES = 32 * 1024 * 1024
 _KEY_BYTES = 4096
 _RESULT = "path string, flat bigint, codes map<string,string>, labels map<string,string>, value double"
 _ESCAPED = re.compile(rb"\\.", re.S)
@@ -114,6 +116,7 @@ def _dimensions(path: str, members: dict) -> tuple[list, list[int], list[list],
 
 
 def _cells(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    of, described = None, None
     for part in parts:
         for r in part.to_pylist():
             members = {m["key"]: m for m in r["members"]}
@@ -127,7 +130,9 @@ def _cells(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cells = json.loads(b"{" + text + b"}")
                 found, flat = list(cells.values()), np.fromiter((int(k) for k in cells), "int64", len(cells))
             value = np.array([np.nan if x is None else float(x) for x in found])
-            ids, sizes, codes, labels = _dimensions(r["path"], members)
+            if of != r["path"]:
+                of, described = r["path"], _dimensions(r["path"], members)
+            ids, sizes, codes, labels = described
             keep = np.array([x is not None for x in found]) & (flat >= 0) & (flat < np.prod(np.array(sizes, dtype=object)))
             flat, value = flat[keep], value[keep]
             stride, of_code, of_label = 1, [], []
@@ -150,8 +155,10 @@ def read_jsonstat(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
     """(path, flat, codes, labels, value): one row per present cell of every file under ``path``."""
     files = spark.read.format("binaryFile").load(path).select("path", F.col("length").cast("bigint").alias("length")).filter("length > 0")
     total = files.agg(F.sum("length")).first()[0] or 0
-    # one task a range, not merged by size: the rows are only addresses
-    tasks = max(int(min(-(-total // range_bytes), 100_000)), 1)
+    # dealt by the bytes they stand for, not merged by size: the rows are only addresses
+    at_once = max(-(-total // max(range_bytes, TASK_BYTES)), 2 * spark.sparkContext.defaultParallelism)
+    tasks = max(int(min(-(-total // range_bytes), at_once, 100_000)), 1)
+    stretch = F.floor(F.col("start") / max(range_bytes, TASK_BYTES // 8))
 
     def dealt(df: DataFrame, first: str, last: str) -> DataFrame:
         start = F.explode(F.sequence(F.expr(first), F.expr(last) - 1, F.lit(range_bytes)))
@@ -173,4 +180,5 @@ def read_jsonstat(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
     ranges = dealt(cubes, "first", "last").select("path", "start", "end", "first", "last", "dense", "members")
     counted = ranges.mapInPandas(_commas, T.StructType([*ranges.schema.fields, T.StructField("commas", T.LongType())]))
     placed = counted.withColumn("before", F.coalesce(F.sum("commas").over(before), F.lit(0)))
-    return placed.drop("commas").repartition(tasks).mapInArrow(_cells, _RESULT)
+    beside = placed.drop("commas").repartition(tasks, "path", stretch).sortWithinPartitions("path", "start")
+    return beside.mapInArrow(_cells, _RESULT)

@@ -47,3 +47,10 @@ def test_files_without_cells(spark, tmp_path):
     os.remove(tmp_path / "c.json")
     (tmp_path / "d.json").write_text(json.dumps({"id": ["t"], "size": [2], "dimension": {"t": {"category": {"index": ["1", "2"]}}}, "value": [None, 4, 5]}))
     assert [(r.flat, r.codes, r.value) for r in read_jsonstat(spark, str(tmp_path)).collect()] == [(1, {"t": "2"}, 4.0)]  # the third has no place
+
+
+def test_many_small_ranges_share_tasks(spark, tmp_path):
+    rng = random.Random(2)
+    for n in range(12):
+        (tmp_path / f"{n}.json").write_text(json.dumps(cube(n % 2 == 0, rng)))
+    assert read_jsonstat(spark, str(tmp_path), 61).rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
