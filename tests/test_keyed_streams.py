@@ -106,3 +106,49 @@ def test_a_target_without_a_served_version_raises(spark, tmpdir_path):
     with pytest.raises(ValueError, match="serves no version"):
         served_version(spark, f"{tmpdir_path}/registry", "price")
     assert served_version(spark, f"{tmpdir_path}/registry", "price", "latest") == 1
+
+
+@pytest.mark.parametrize("n", [1, 9, 10, 500])
+def test_rows_of_a_key_are_ordered_in_bounded_memory(n, monkeypatch):
+    import pandas as pd
+
+    from panelspark.streaming import keyed as K
+
+    monkeypatch.setattr(K, "SORT_ROWS", 10)
+    monkeypatch.setattr(K, "_BLOCK_ROWS", 3)
+    rng = random.Random(n)
+    rows = [(None if rng.random() < 0.05 else START + dt.timedelta(seconds=rng.randrange(n)), i // 3, float(i)) for i in range(n)]
+    frame = pd.DataFrame(rows, columns=["ts", "id", "v"]).astype({"ts": "datetime64[ns]"})
+    parts = [frame.iloc[i : i + 4] for i in range(0, n, 4)] or [frame]
+    want = frame.sort_values(["ts", "id"], kind="stable", na_position="first", ignore_index=True)
+    got = list(K.in_order(iter(parts), ["ts", "id"], 10))
+    assert pd.concat(got, ignore_index=True).equals(want)
+    assert n < 100 or max(map(len, got)) < 3 * (n // 8 + 1)
+
+    class State:
+        def __init__(self):
+            self.value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def clear(self):
+            self.value = None
+
+        put = update = lambda self, value: setattr(self, "value", value)
+
+    class Handle:
+        getValueState = getListState = lambda self, *_: State()  # noqa: N815
+
+    from pyspark.sql import types as T
+
+    kept = T.StructType([T.StructField("ts", T.TimestampType()), T.StructField("id", T.LongType()), T.StructField("v", T.DoubleType())])
+    windows = K.CountWindows("k", T.StringType(), ["ts", "id"], kept, 7)
+    windows.init(Handle())
+    out = list(windows.handleInputRows(("a",), iter(parts), None))
+    assert [v for o in out for v in o["v"]] == list(want["v"])[: n // 7 * 7]
+    assert [w for o in out for w in o["window_no"]] == [i // 7 for i in range(n // 7 * 7)]
+    assert len(windows.waiting.value or []) == n % 7 and max(map(len, out), default=0) <= 16
