@@ -5,9 +5,10 @@ is the sum of the steps between neighbouring samples in it, where a step down co
 whole new value.  A rate stretches the increase over the part of the window the samples don't reach: to an
 edge nearer than 1.1 times the mean distance of samples, else by half that distance, and never to before the counter's zero.
 
-Neighbours come from ranges of the (series, time) order (``ordering.next_in_order``), and each
-sample is added to the evaluations whose window holds it, so no series and no window has to fit a task.  Bucket
-rates add up over instances; a quantile is interpolated inside the bucket that holds its rank.
+The sample before each comes from ranges of the (series, time) order (``ordering.next_in_order``, latest first), and each
+sample is added, with its step, to the evaluations whose window holds it, as plain sums: no series and no window has to fit a task, and
+nothing is sorted once it is dealt to its evaluations.  Counters sampled together (the buckets of a histogram) are
+columns of one sample.  Bucket rates add up over instances; a quantile is interpolated inside the bucket that holds its rank.
 
 Defined results: null times and values are no samples; a null series key is a key; a window with one sample (or
 several of one moment) has no rate; samples of one moment follow one another by value; an empty table has no window.
@@ -28,29 +29,42 @@ STEP_SECONDS = 60
 NEAR = 1.1  # fixed value: an edge is near within this many mean distances
 
 
-def increases(samples: DataFrame, series: Sequence[str], ts: str = "ts", value: str = "value", window: int = WINDOW_SECONDS, step: int = STEP_SECONDS) -> DataFrame:
+def increases(samples: DataFrame, series: Sequence[str], ts: str = "ts", value: str | Sequence[str] = "value", window: int = WINDOW_SECONDS, step: int = STEP_SECONDS) -> DataFrame:
     """Per series and evaluation (every ``step`` seconds, over the ``window`` seconds up to it): ``eval_us``,
-    ``n_samples``, ``increase`` and ``rate`` per second."""
+    ``n_samples``, ``increase`` and ``rate`` per second.
+
+    Several values are counters of one sample (a row without one of them is none): ``increase_<value>`` and ``rate_<value>`` of each."""
+    values = [value] if isinstance(value, str) else list(value)
+    places = range(len(values))
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = samples.filter(F.col(ts).isNotNull() & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    rows = rows.select(*series, us.alias("us"), F.col(value).cast("double").alias("v"))
-    order = [*series, "us", "v"]
-    nxt = next_in_order(rows, order, order)
+    present = F.col(ts).isNotNull()
+    for c in values:
+        present = present & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    # latest first: the next row is the sample before
+    rows = samples.filter(present).select(*series, (-us).alias("_us"), *[(-F.col(c).cast("double")).alias(f"_v{i}") for i, c in enumerate(values)])
+    order = [*series, "_us", *[f"_v{i}" for i in places]]
+    near = next_in_order(rows, order, order)
     same = F.lit(True)
     for c in series:
         same = same & F.col(f"_next_{c}").eqNullSafe(F.col(c))
-    nxt = nxt.withColumn("us2", F.when(same, F.col("_next_us"))).withColumn("v2", F.when(same, F.col("_next_v")))
-    grown = F.when(F.col("v2") < F.col("v"), F.col("v2")).otherwise(F.col("v2") - F.col("v"))
+    near = near.select(
+        *series,
+        (-F.col("_us")).alias("us"),
+        F.when(same, -F.col("_next__us")).alias("us0"),
+        *[(-F.col(f"_v{i}")).alias(f"v{i}") for i in places],
+        *[F.when(F.col(f"_v{i}") > F.col(f"_next__v{i}"), -F.col(f"_v{i}")).otherwise(F.col(f"_next__v{i}") - F.col(f"_v{i}")).alias(f"grown{i}") for i in places],
+    )
     tick = step * 1_000_000
     first = (F.floor((F.col("us") - 1) / tick) + 1).cast("bigint") * tick
     last = (F.floor((F.col("us") + window * 1_000_000 - 1) / tick)).cast("bigint") * tick
-    each = nxt.withColumn("grown", grown).withColumn("eval_us", F.explode(F.when(first <= last, F.sequence(first, last, F.lit(tick).cast("bigint")))))
+    each = near.withColumn("eval_us", F.explode(F.when(first <= last, F.sequence(first, last, F.lit(tick).cast("bigint")))))
+    joined = F.coalesce(F.col("us0") > F.col("eval_us") - window * 1_000_000, F.lit(False))  # the sample before is in the window too
     per = each.groupBy(*series, "eval_us").agg(
         F.count(F.lit(1)).alias("n_samples"),
         F.min("us").alias("from_us"),
         F.max("us").alias("to_us"),
-        F.min(F.struct("us", "v"))["v"].alias("first_value"),
-        F.coalesce(F.sum(F.when(F.col("us2") <= F.col("eval_us"), F.col("grown"))), F.lit(0.0)).alias("increase"),
+        *[F.sum(F.when(~joined, F.col(f"v{i}"))).alias(f"first{i}") for i in places],  # one sample of a window
+        *[F.coalesce(F.sum(F.when(joined, F.col(f"grown{i}"))), F.lit(0.0)).alias(f"increase{i}") for i in places],
     )
     per = per.filter((F.col("n_samples") > 1) & (F.col("to_us") > F.col("from_us")))
     covered = (F.col("to_us") - F.col("from_us")) / 1e6
@@ -60,10 +74,16 @@ def increases(samples: DataFrame, series: Sequence[str], ts: str = "ts", value:
         return F.when(distance >= mean * NEAR, mean / 2).otherwise(distance)
 
     before = reach((F.col("from_us") - F.col("eval_us")) / 1e6 + float(window))
-    zero = F.when((F.col("increase") > 0) & (F.col("first_value") >= 0), covered * F.col("first_value") / F.col("increase"))
     after = reach((F.col("eval_us") - F.col("to_us")) / 1e6)
-    stretched = (covered + F.least(before, zero) + after) / covered
-    return per.select(*series, "eval_us", "n_samples", "increase", (F.col("increase") * stretched / float(window)).alias("rate"))
+
+    def told(i: int) -> list[Column]:
+        grown, start = F.col(f"increase{i}"), F.col(f"first{i}")
+        zero = F.when((grown > 0) & (start >= 0), covered * start / grown)
+        stretched = (covered + F.least(before, zero) + after) / covered
+        end = "" if isinstance(value, str) else f"_{values[i]}"
+        return [grown.alias(f"increase{end}"), (grown * stretched / float(window)).alias(f"rate{end}")]
+
+    return per.select(*series, "eval_us", "n_samples", *[c for i in places for c in told(i)])
 
 
 def bucket_quantile(rates: DataFrame, by: Sequence[str], q: float, le: str = "le", rate: str = "rate") -> DataFrame:

@@ -36,9 +36,11 @@ def q_bucket_p95_5m(spark, sf_dir):
     bounds = [*BOUNDS, float("inf")]
     held = F.transform(F.array(*[F.lit(b) for b in bounds]), lambda b: F.struct(b.alias("le"), (F.coalesce(F.col("value"), F.lit(0.0)) <= b).cast("bigint").alias("one")))
     totals = [F.sum(F.get(held, F.lit(i))["one"]).over(day) for i in range(len(bounds))]
-    wide = ev.select("event_type", "ts", F.array(*[F.struct(F.lit(b).alias("le"), t.alias("total")) for b, t in zip(bounds, totals, strict=True)]).alias("s"))
-    samples = wide.select("event_type", "ts", F.inline("s"))
-    rates = increases(samples, ["event_type", "le"], "ts", "total")
+    names = [f"le{i}" for i in range(len(bounds))]
+    # an event samples all buckets of its type at once
+    rates = increases(ev.select("event_type", "ts", *[t.alias(n) for n, t in zip(names, totals, strict=True)]), ["event_type"], "ts", names)
+    each = F.array(*[F.struct(F.lit(b).alias("le"), F.col(f"rate_{n}").alias("rate")) for b, n in zip(bounds, names, strict=True)])
+    rates = rates.select("event_type", "eval_us", F.inline(each))
     out = bucket_quantile(rates, ["eval_us"], 0.95)
     return rounded(out.select(_when("eval_us").alias("eval_time"), F.col("quantile").alias("p95"), (F.col("quantile") > P95_LATENCY_LIMIT).alias("breach")))
 

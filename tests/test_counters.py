@@ -73,3 +73,19 @@ def test_bucket_quantile(spark):
     assert got["above"] == 3.0
     assert got["none"] is None and got["open"] is None
     assert got["dip"] == pytest.approx(2.0)
+
+
+def test_counters_of_one_sample_are_measured_together(spark):
+    rng = random.Random(12)
+    rows, a, b = [], 0, 0
+    for t in range(0, 2000, 9):
+        a, b = (0 if rng.random() < 0.02 else a) + rng.randrange(3), (0 if rng.random() < 0.02 else b) + rng.randrange(5)
+        rows.append((rng.choice(["x", None]), START + dt.timedelta(seconds=t), float(a), float(b)))
+    df = spark.createDataFrame(rows, "s string, ts timestamp, a double, b double")
+    both = increases(df, ["s"], "ts", ["a", "b"])
+    assert "SortAggregate" not in both._jdf.queryExecution().executedPlan().toString()
+    got = both.collect()
+    for c in ("a", "b"):
+        want = sorted(map(str, increases(df, ["s"], "ts", c).collect()))
+        assert want and sorted(str(r) for r in both.selectExpr("s", "eval_us", "n_samples", f"increase_{c} as increase", f"rate_{c} as rate").collect()) == want
+    assert len(got) == len(want)
