@@ -3,10 +3,13 @@
 Path-dependent TreeSHAP (Lundberg, Erion, Lee 2018, "Consistent
 individualized feature attribution for tree ensembles"), in its per-path
 form: every root-to-leaf path contributes on its own (as in GPUTreeShap,
-Mitchell et al. 2022).  For a path with unique features, the EXTEND /
-UNWIND weight recursion runs with numpy over a whole Arrow batch of rows at
-once (the row only decides whether each split is "hot", 0/1), so the work
-per batch is O(paths x depth^2) vectorised operations.
+Mitchell et al. 2022).  For a path with unique features, a row only decides
+whether each split is "hot", 0/1, so the EXTEND / UNWIND weight recursion runs
+once for every pattern of hot splits of the path (2^depth, before the rows are
+dealt), and a row looks its pattern up; which rows meet a
+condition is found once for all paths that hold it.  The work per batch is
+O(paths x depth) vectorised operations.  Paths of more than ``TABLE_DEPTH``
+features run the recursion over the rows of the batch.
 
 The trees come from the saved model (Spark ML writes every node with its
 split, children, prediction and ``rawCount`` = training rows reaching the
@@ -18,7 +21,7 @@ scoring table is processed by ``mapInPandas``: the rows never leave Spark.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 
 from ..params import TOP_N_CONTRIBUTIONS
 
+TABLE_DEPTH = 10
+
 
 @dataclass
 class Path:
@@ -37,6 +42,7 @@ class Path:
     value: np.ndarray  # leaf value (scalar regression, vector of class shares)
     weight: float  # tree weight
     cover: float  # training rows reaching the leaf
+    table: np.ndarray | None = None  # per element and pattern of hot splits (bit per element): its share of the value
 
 
 def _paths_of_tree(nodes: pd.DataFrame, weight: float, classes: int | None) -> list[Path]:
@@ -123,18 +129,9 @@ def load_paths(spark: SparkSession, model_path: str, kind: str) -> tuple[list[Pa
     return paths, np.atleast_1d(base)
 
 
-def _path_shap(x: np.ndarray, p: Path, phi: np.ndarray) -> None:
-    """Adds the path's contribution to ``phi`` (rows x features x outputs)."""
-    n = x.shape[0]
-    d = len(p.features)
-    if d == 0:
-        return
-    cols = x[:, p.features]
-    with np.errstate(invalid="ignore"):
-        inside = (cols > p.lo) & (cols <= p.hi)
-    # Spark sends NaN right at every split: it satisfies only bounds open to the right
-    one = np.where(np.isnan(cols), np.isinf(p.hi), inside).astype(float)
-    zero = p.zero
+def _shares(one: np.ndarray, zero: np.ndarray) -> np.ndarray:
+    """Share of the path's value per element and row of ``one`` (rows x elements, 1.0 where the split is hot)."""
+    n, d = one.shape
     # EXTEND over the root (z=1, o=1) and the d elements
     w = [np.ones(n)]
     zs = [1.0]
@@ -149,6 +146,7 @@ def _path_shap(x: np.ndarray, p: Path, phi: np.ndarray) -> None:
         zs.append(z)
         os_.append(o)
     L = len(w) - 1
+    out = np.zeros((d, n))
     for k in range(1, L + 1):
         z, o = zs[k], os_[k]
         # UNWOUND_SUM with element k removed, for o = 1 and o = 0 at once
@@ -162,16 +160,54 @@ def _path_shap(x: np.ndarray, p: Path, phi: np.ndarray) -> None:
         if z > 0:
             for j in range(L - 1, -1, -1):
                 total0 += w[j] / (z * (L - j) / (L + 1))
-        s = np.where(o > 0, total1, total0)
-        contrib = s * (o - z)
-        phi[:, p.features[k - 1], :] += contrib[:, None] * (p.value[None, :] * p.weight)
+        out[k - 1] = np.where(o > 0, total1, total0) * (o - z)
+    return out
 
 
-def shap_values(x: np.ndarray, paths: Sequence[Path], n_out: int) -> np.ndarray:
-    phi = np.zeros((x.shape[0], x.shape[1], n_out))
+def with_tables(paths: Sequence[Path]) -> list[Path]:
+    """The paths with the shares of all their patterns, paths of equal cover fractions sharing one table."""
+    known: dict[bytes, np.ndarray] = {}
+    out = []
     for p in paths:
-        _path_shap(x, p, phi)
-    return phi
+        d = len(p.features)
+        if p.table is None and 0 < d <= TABLE_DEPTH:
+            key = p.zero.tobytes()
+            if key not in known:
+                known[key] = _shares((np.arange(1 << d)[:, None] >> np.arange(d) & 1).astype(float), p.zero)
+            p = replace(p, table=known[key])
+        out.append(p)
+    return out
+
+
+def shap_values(x: np.ndarray, paths: Sequence[Path], n_out: int) -> np.ndarray:
+    """Contributions, rows x features x outputs."""
+    n = x.shape[0]
+    phi = np.zeros((n_out, x.shape[1], n))
+    columns = np.ascontiguousarray(x.T)
+    hot: dict[tuple[int, float, float], np.ndarray] = {}
+
+    def meets(f: int, lo: float, hi: float) -> np.ndarray:
+        if (f, lo, hi) not in hot:
+            c = columns[f]
+            # Spark sends NaN right at every split: it satisfies only bounds open to the right
+            hot[f, lo, hi] = np.where(np.isnan(c), np.isinf(hi), (c > lo) & (c <= hi))
+        return hot[f, lo, hi]
+
+    for p in with_tables(paths):
+        d = len(p.features)
+        if d == 0:
+            continue
+        ones = [meets(int(f), float(lo), float(hi)) for f, lo, hi in zip(p.features, p.lo, p.hi, strict=True)]
+        if p.table is None:
+            shares = _shares(np.stack(ones, axis=1).astype(float), p.zero)
+        else:
+            pattern = np.zeros(n, np.int16)
+            for k, one in enumerate(ones):
+                pattern |= one.astype(np.int16) << k
+        for k, f in enumerate(p.features):
+            for c, value in enumerate(p.value):
+                phi[c, f] += (p.table[k] * (value * p.weight))[pattern] if p.table is not None else shares[k] * (value * p.weight)
+    return phi.transpose(2, 1, 0)
 
 
 def contributions(
@@ -194,7 +230,7 @@ def contributions(
     keep = list(keep)
     n_out = len(base)
     # model-sized, shipped once per executor (a closure would travel with every task)
-    paths_bc = df.sparkSession.sparkContext.broadcast(list(paths))
+    paths_bc = df.sparkSession.sparkContext.broadcast(with_tables(paths))
     base = np.asarray(base, dtype=float)
     extra = [c for c in ([class_col] if class_col else []) if c not in keep]
     src = df.select(*keep, *extra, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(feats)])

@@ -60,6 +60,19 @@ def test_tree_shap_equals_brute_force():
         assert abs(base + phi[row].sum() - tree_value(x, 0, {0, 1, 2})) < 1e-12
 
 
+def test_shares_of_a_path_are_worked_out_before_the_rows(monkeypatch):
+    from panelspark.operators import attribution as A
+
+    xs = np.random.default_rng(1).normal(size=(300, 3)) * 2
+    xs[::17, 0] = np.nan
+    paths = A.with_tables(_paths_of_tree(NODES, 0.5, None))
+    assert all(p.table.shape == (len(p.features), 2 ** len(p.features)) for p in paths)
+    monkeypatch.setattr(A, "TABLE_DEPTH", 0)  # the recursion over the rows
+    plain = shap_values(xs, _paths_of_tree(NODES, 0.5, None), 1)
+    monkeypatch.setattr(A, "_shares", None)
+    np.testing.assert_array_equal(shap_values(xs, paths, 1), plain)
+
+
 def test_nan_goes_right_like_spark():
     paths = _paths_of_tree(NODES, 1.0, None)
     x = np.array([[np.nan, 0.0, 0.0]])
