@@ -155,3 +155,100 @@ def test_forests_keep_the_nodes_of_rows_and_share_the_feature_table(spark, monke
     for target in ("gini", "mobility"):
         assert Q.trained(spark, "no folder", target)[2]["n_test"] > 0
     assert len(built) == 1
+
+
+def _tabular(spark, n=3000):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(0)
+    pdf = pd.DataFrame({"a": rng.normal(size=n), "b": rng.integers(0, 6, n).astype(float), "c": rng.random(n).round(3)})
+    pdf["y"] = pdf.a * 2 + pdf.b**2 + rng.normal(size=n)
+    pdf["k"] = [f"c{int(v) // 2}" for v in pdf.b + rng.integers(0, 3, n)]
+    return spark.createDataFrame(pdf).repartition(3).persist()
+
+
+def test_trees_over_cells_are_spark_mls_where_no_row_is_drawn(spark, monkeypatch):
+    from panelspark.operators import forests
+    from panelspark.operators import models as M
+
+    monkeypatch.setattr(forests, "CHUNK_ROWS", 700)  # cells that span chunks
+    monkeypatch.setattr(forests, "BLOCK_SUMS", 5000)  # a few rounds at a time
+    df, features = _tabular(spark), ["a", "b", "c"]
+    idx = M.label_indexer("k", "_l").fit(df)
+    estimators = [
+        (M.gbt_regressor("y", {"n_estimators": 5, "max_depth": 5, "learning_rate": 0.05}), df, 0),
+        (M.rf_regressor("y", {"n_estimators": 1, "max_depth": 8, "min_samples_leaf": 3}).setBootstrap(False), df, 0),
+        (M.rf_classifier("_l", {"n_estimators": 1, "max_depth": 4}).setBootstrap(False), idx.transform(df), len(idx.labels)),
+    ]
+    for est, table, classes in estimators:
+        vectors = M.assembler(features).transform(table)
+        plain, ours = est.fit(vectors), forests.train(est, table, features, classes)
+        assert type(ours) is type(plain) and ours.treeWeights == plain.treeWeights
+        assert (ours.totalNumNodes, ours.getMaxDepth()) == (plain.totalNumNodes, plain.getMaxDepth())
+        assert max(abs(ours.featureImportances.toArray() - plain.featureImportances.toArray())) < 1e-12
+        both = plain.transform(vectors).select(*df.columns, F.col("prediction").alias("p"), "features")
+        assert ours.transform(both).filter(F.abs(F.col("p") - F.col("prediction")) > 1e-9).count() == 0
+
+
+def test_large_tables_train_over_cells_with_every_row_drawn(spark, monkeypatch):
+    import numpy as np
+    import pytest
+
+    from panelspark.operators import forests
+    from panelspark.operators import models as M
+
+    df, features = _tabular(spark), ["a", "b", "c"]
+    monkeypatch.setattr(forests, "LARGE_ROWS", 1000)
+    monkeypatch.setattr(M.Pipeline, "fit", None)  # not Spark ML's training
+    gbt = M.fit_regressor(df, features, "y", "gbt", {"n_estimators": 30, "max_depth": 4, "learning_rate": 0.1, "subsample": 0.8, "colsample_bytree": 0.8})
+    rf = M.fit_regressor(df, features, "y", "rf", {"n_estimators": 25, "max_depth": 8, "min_samples_leaf": 3})
+    classes = M.fit_classifier(df, features, "k", {"n_estimators": 25, "max_depth": 4, "subsample": 0.8})
+    for m in (gbt, rf):
+        assert regression_metrics(m.transform(df), "y", "prediction").first()["r2"] > 0.95
+    assert class_metrics(M.score_classes(classes, df, "k"), "k", "predicted_label").first()["accuracy"] > 0.6
+    assert [len(m.stages[1].treeWeights) for m in (gbt, rf)] == [30, 25] and len(classes.stages[2].treeWeights) == 25
+    with pytest.raises(Exception, match="NaN or infinite"):
+        M.fit_regressor(df.withColumn("y", F.when(F.col("b") == 1, F.lit(float("nan"))).otherwise(F.col("y"))), features, "y", "rf")
+    # the roots' rows: Poisson of rate 1, and 80 of 100 rows each once; other rows for every tree
+    path = forests.scratch_path(spark, "draws")
+    for m, low, high in ((rf, 2800, 3200), (gbt, 2300, 2500)):
+        m.write().overwrite().save(path)
+        raw = [r[0] for r in spark.read.parquet(f"{path}/stages/1_{m.stages[1].uid}/data").filter("nodeData.id = 0").select("nodeData.rawCount").collect()]
+        assert all(low < x < high for x in raw) and len(set(raw)) > 15
+    w = forests.weights_of(1.0, True)(np.random.default_rng(1), 400_000)
+    for k, p in enumerate([0.36788, 0.36788, 0.18394, 0.06131, 0.01533]):
+        assert abs((w == k).mean() - p) < 0.004
+
+
+def test_too_many_cells_go_to_spark_ml(spark, monkeypatch):
+    from panelspark.operators import forests
+    from panelspark.operators import models as M
+
+    df = _tabular(spark)
+    monkeypatch.setattr(forests, "LARGE_ROWS", 1000)
+    monkeypatch.setattr(forests, "MAX_CELLS", 100)
+    monkeypatch.setattr(forests, "_save", None)
+    m = M.fit_regressor(df, ["a", "b", "c"], "y", "rf", {"n_estimators": 2, "max_depth": 3})
+    assert m.transform(df).filter("prediction is null").count() == 0
+
+
+def test_rows_between_the_same_thresholds_are_scored_once(spark, tmpdir_path, monkeypatch):
+    from panelspark.operators import forests
+    from panelspark.operators import models as M
+
+    df, features = _tabular(spark), ["a", "b", "c"]
+    monkeypatch.setattr(forests, "LARGE_ROWS", 1000)
+    m = M.fit_regressor(df, features, "y", "rf", {"n_estimators": 3, "max_depth": 2, "min_samples_leaf": 3})
+    m.write().overwrite().save(tmpdir_path)
+    points = forests.model_points(spark, f"{tmpdir_path}/stages/1_{m.stages[1].uid}", 3)
+    odd = df.select(F.when(F.col("b") > 0, F.col("a")).alias("a"), "b", F.when(F.col("b") == 2, F.lit(float("nan"))).otherwise(F.col("c")).alias("c"), "y", "k")
+    odd = odd.unionByName(df.limit(5)).unionByName(spark.createDataFrame([(float(points[0][0]), 1.0, 0.5, 0.0, "x")], df.schema))
+    seen = []
+    transform = type(m).transform
+    monkeypatch.setattr(type(m), "transform", lambda self, d: seen.append(d) or transform(self, d))
+    plain, fast = transform(m, odd), M.predicted(m, odd, points)
+    assert fast.columns == plain.columns
+    key = ["a", "b", "c", "y", "k", "prediction"]
+    assert plain.select(key).exceptAll(fast.select(key)).count() == 0 and fast.count() == odd.count()
+    assert min(d.count() for d in seen) < 100  # rows that were scored
