@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from ..operators.attribution import contributions, load_paths
 from ..operators.evaluation import class_metrics, regression_metrics
 from ..operators.features import build_features
-from ..operators.models import class_labels, fit_classifier, fit_regressor, score_classes, score_regression
+from ..operators.forests import LARGE_ROWS, model_points
+from ..operators.models import class_labels, fit_classifier, fit_regressor, predicted, score_classes, score_regression
 from ..operators.split import group_split
 from ..params import END_YEAR, MIN_YEARS_REQUIRED, MODEL_GINI, MODEL_INCOME_GROUP, MODEL_MOBILITY, START_YEAR
 from ..schemas import DEFAULT_ROLES as R
@@ -46,6 +47,11 @@ def _key(spark, sf_dir, name):
     return (spark.sparkContext.applicationId, sf_dir, name)
 
 
+def stage_dir(model, path: str) -> str:
+    """Where the trees of a saved regression model are."""
+    return f"{path}/stages/1_{model.stages[1].uid}"
+
+
 def trained(spark, sf_dir, name: str):
     """(model, scored test rows, metrics dict) for 'gini', 'mobility' or 'income_group'."""
     key = _key(spark, sf_dir, name)
@@ -57,19 +63,21 @@ def trained(spark, sf_dir, name: str):
     ft = _FEATURES[at]
     train = ft.filter(F.col("side") == "train")
     test = ft.filter(F.col("side") == "test")
+    path = scratch_path(spark, f"model-{name}")
     if name == "income_group":
         model = fit_classifier(train, FEATURES, "income_group", MODEL_INCOME_GROUP)
         scored = score_classes(model, test.filter(F.col("income_group").isNotNull()), "income_group")
         m = class_metrics(scored, "income_group", "predicted_label").first().asDict()
+        model.write().overwrite().save(path)  # S12
     else:
         label = "gini_index" if name == "gini" else "acctbal"
         kind, params = ("gbt", MODEL_GINI) if name == "gini" else ("rf", MODEL_MOBILITY)
         model = fit_regressor(train, FEATURES, label, kind, params)
-        pre = model.transform(test.filter(F.col(label).isNotNull()))
-        m = regression_metrics(pre, label, "prediction").first().asDict()
-        scored = score_regression(model, test, m.get("residual_std"))
-    path = scratch_path(spark, f"model-{name}")
-    model.write().overwrite().save(path)  # S12
+        model.write().overwrite().save(path)  # S12
+        points = model_points(spark, stage_dir(model, path), len(FEATURES)) if test.count() >= LARGE_ROWS else None
+        pre = predicted(model, test, points)
+        m = regression_metrics(pre.filter(F.col(label).isNotNull()), label, "prediction").first().asDict()
+        scored = score_regression(model, test, m.get("residual_std"), scored=pre)
     _MODELS[key] = (model, scored, m, path)
     return _MODELS[key]
 
@@ -119,8 +127,7 @@ def q_model_metrics(spark, sf_dir):
 @query("attribution_topn")
 def q_attribution_topn(spark, sf_dir):
     model, scored, _, path = trained(spark, sf_dir, "gini")
-    stage_dir = f"{path}/stages/1_{model.stages[1].uid}"
-    paths, base = load_paths(spark, stage_dir, "gbt")
+    paths, base = load_paths(spark, stage_dir(model, path), "gbt")
     out = contributions(scored, FEATURES, paths, base, keep=[R.entity, R.time, "prediction"])
     return out.select(
         R.entity,
