@@ -16,6 +16,7 @@ split, children, prediction and ``rawCount`` = training rows reaching the
 node, i.e. the cover).  The node table is read once on the driver (its size
 is the model's, not the data's), broadcast to the executors, and the
 scoring table is processed by ``mapInPandas``: the rows never leave Spark.
+Rows that lie between the same bounds of all paths are brought together and worked out once a batch.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import TOP_N_CONTRIBUTIONS
+from ..session import scratch_path
+from .forests import bins_of, countable, with_cell
 
 TABLE_DEPTH = 10
 
@@ -240,6 +243,12 @@ def contributions(
     )
     xcols = [f"_x{i}" for i in range(len(feats))]
 
+    def shares(x: np.ndarray, k: np.ndarray) -> tuple[list, np.ndarray]:
+        """Top contributions and their sum per row of ``x``, for the output ``k`` of each."""
+        sel = shap_values(x, paths_bc.value, n_out)[np.arange(len(x)), :, k]
+        order = np.argsort(-np.abs(sel), axis=1, kind="stable")[:, :top_n]
+        return [[{"feature": feats[j], "value": float(sel[i, j])} for j in order[i]] for i in range(len(x))], sel.sum(axis=1)
+
     def run(batches):
         for pdf in batches:
             res = pdf[keep].copy()
@@ -249,16 +258,29 @@ def contributions(
                 res["contribution_sum"] = []
                 yield res
                 continue
-            x = pdf[xcols].to_numpy(dtype=float)
-            phi = shap_values(x, paths_bc.value, n_out)
             k = pdf[class_col].to_numpy(dtype=int) if class_col else np.zeros(len(pdf), dtype=int)
-            sel = phi[np.arange(len(pdf)), :, k]
-            order = np.argsort(-np.abs(sel), axis=1, kind="stable")[:, :top_n]
             res["base_value"] = base[k]
-            res["contributions"] = [
-                [{"feature": feats[j], "value": float(sel[i, j])} for j in order[i]] for i in range(len(pdf))
-            ]
-            res["contribution_sum"] = sel.sum(axis=1)
+            if points is None:
+                top, total = shares(pdf[xcols].to_numpy(dtype=float), k)
+            else:
+                found, row = np.unique(np.stack([pdf["_cell"].to_numpy(np.int64), k]), axis=1, return_inverse=True)
+                # the upper end of a bin lies on the same sides of all conditions as the rows of the bin
+                ends = [np.append(p, np.inf)[b] for p, b in zip(points, bins_of(found[0], points), strict=True)]
+                top, total = shares(np.stack(ends, axis=1), found[1])
+                row = row.reshape(-1)
+                top, total = [top[i] for i in row], total[row]
+            res["contributions"] = top
+            res["contribution_sum"] = total
             yield res
 
-    return src.mapInPandas(run, out_schema)
+    # bounds of the paths' conditions: rows between the same bounds have the same contributions
+    points = [np.unique([b for p in paths for f, lo, hi in zip(p.features, p.lo, p.hi, strict=True) if f == i for b in (lo, hi) if np.isfinite(b)]) for i in range(len(feats))]
+    if not countable(points):
+        points = None
+        return src.mapInPandas(run, out_schema)
+    # such rows come together in batches, a large cell dealt to many tasks; written first, as range bounds are sampled
+    written = scratch_path(df.sparkSession, "attributed")
+    with_cell(src, xcols, points).drop(*xcols).withColumn("_spread", F.xxhash64(*keep)).write.parquet(written)
+    rows = df.sparkSession.read.parquet(written)
+    n = max(4 * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartitionByRange(n, "_cell", "_spread").sortWithinPartitions("_cell").mapInPandas(run, out_schema)

@@ -108,3 +108,28 @@ def test_contributions_add_up_to_prediction_on_spark_models(spark, tmpdir_path):
     sc = sc.withColumn("pk", F.col("probability_array")[F.col("k")])
     out = contributions(sc, FEATURES, paths, base, keep=["entity", "pk"], class_col="k").toPandas()
     assert (out.base_value + out.contribution_sum - out.pk).abs().max() < 1e-9
+
+
+def test_rows_between_the_same_bounds_are_attributed_once_a_batch(spark, monkeypatch):
+    from panelspark.operators import attribution as A
+
+    paths = _paths_of_tree(NODES, 0.5, None)
+    xs = np.random.default_rng(2).normal(size=(400, 3)).round(2) * 2
+    xs[::17, 0] = np.nan
+    xs[1] = [0.5, 1.0, 0.0]  # on the thresholds
+    xs[2] = [np.inf, 9.0, 9.0]
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(xs)], "id int, a double, b double, c double").coalesce(2)
+    worked = spark.sparkContext.accumulator(0)
+
+    def counting(x, p, n, f=A.shap_values):
+        worked.add(len(x))
+        return f(x, p, n)
+
+    plain = A.shap_values(xs, paths, 1)[:, :, 0]
+    monkeypatch.setattr(A, "shap_values", counting)
+    got = A.contributions(df, ["a", "b", "c"], paths, np.array([1.0]), keep=["id"]).toPandas()
+    assert sorted(got.id) == list(range(400)) and 0 < worked.value < 200
+    for r in got.itertuples():
+        assert abs(r.contribution_sum - plain[r.id].sum()) < 1e-12
+        found = [(c["feature"], c["value"]) for c in r.contributions]
+        assert sorted(found) == sorted(zip("abc", plain[r.id], strict=True))
